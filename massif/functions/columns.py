@@ -13,6 +13,12 @@ NULL_GROUP = "NaN"
 DEFAULT_UNIT = "units"
 
 
+def round_half_even(value: Column, digits: int) -> Column:
+    """Round the scaled value to the nearest whole number, halves to even."""
+    scale = float(10**digits)
+    return F.rint(value * scale) / scale
+
+
 def measure(name: str) -> Column:
     """A measure as DOUBLE with NaN turned into NULL."""
     value = F.col(name).cast("double")

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import BisectingKMeans, BisectingKMeansModel, KMeans, KMeansModel
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import vector_to_array
@@ -24,6 +25,10 @@ SEED = 10
 MAX_ITERATIONS = 300
 TOLERANCE = 1e-4
 CELLS_PER_PARTITION = 1_000_000
+TASK_CELLS = 5_000_000
+
+LABEL_SCHEMA = "segment_group string, feature string, k int, comb bigint, cluster int"
+POINT_SCHEMA = "segment_group string, feature string, comb bigint, pc1 double, pc2 double"
 
 
 @dataclass(frozen=True)
@@ -121,6 +126,27 @@ def read_vectors(spark: SparkSession, path: str, segment: SegmentVectors) -> Dat
     )
 
 
+def histogram_rows(profile: DataFrame) -> DataFrame:
+    """One row per (segment, comb): its filled bins and their counts, in bin order."""
+    cell = F.when(F.col("bin").isNotNull(), F.struct("bin", F.col("n").cast("double").alias("n")))
+    return (
+        profile.groupBy(*KEYS, "comb")
+        .agg(F.array_sort(F.collect_list(cell)).alias("cells"))
+        .select(*KEYS, "comb", F.col("cells.bin").alias("bins"), F.col("cells.n").alias("counts"))
+    )
+
+
+def split_by_size(profile: DataFrame, params: DataFrame, task_cells: int) -> tuple[DataFrame, DataFrame]:
+    """Segments whose combinations x bins fit one task, and the others."""
+    sizes = settle(
+        profile.groupBy(*KEYS)
+        .agg(F.countDistinct("comb").alias("combos"))
+        .join(params.select(*KEYS, "n_bins"), KEYS)
+        .withColumn("area", F.col("combos").cast("double") * F.col("n_bins"))
+    )
+    return sizes.where(F.col("area") <= task_cells), sizes.where(F.col("area") > task_cells)
+
+
 def sweep_labels(
     profile: DataFrame,
     params: DataFrame,
@@ -128,10 +154,34 @@ def sweep_labels(
     max_k: int,
     threads: int = 8,
     seed: int = SEED,
+    task_cells: int = TASK_CELLS,
 ) -> DataFrame:
     """Cluster labels (segment, k, comb, cluster) for every k in range of every segment.
 
-    The fits are independent Spark jobs, submitted from a few driver threads;
+    Segments small enough for one task are fitted side by side, one task input
+    per (segment, k), in a single job however many segments there are. Larger
+    segments are fitted by distributed K-Means.
+    """
+    small, large = split_by_size(profile, params, task_cells)
+    low, high = F.lit(max(2, min_k)), F.least(F.lit(max_k).cast("bigint"), F.col("combos") - 1).cast("int")
+    tested = small.where(high >= low).select(*KEYS, F.explode(F.sequence(low, high)).alias("k"))
+    fitted = (
+        histogram_rows(profile.join(small.select(*KEYS), KEYS, "left_semi"))
+        .join(tested, KEYS)
+        .withColumn("seed", F.lit(seed))
+        .groupBy(*KEYS, "k")
+        .applyInPandas(_fit_group, LABEL_SCHEMA)
+    )
+    if large.isEmpty():
+        return settle(fitted)
+    distributed = _sweep_large(
+        profile.join(large.select(*KEYS), KEYS, "left_semi"), params, min_k, max_k, threads, seed
+    )
+    return settle(fitted.unionByName(distributed))
+
+
+def _sweep_large(profile, params, min_k, max_k, threads, seed) -> DataFrame:
+    """The fits are independent Spark jobs, submitted from a few driver threads;
     each writes its labels, so no label passes through the driver.
     """
     spark = profile.sparkSession
@@ -160,10 +210,60 @@ def sweep_labels(
     finally:
         for frame in frames.values():
             frame.unpersist()
-    schema = "segment_group string, feature string, k int, comb bigint, cluster int"
     if not written:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{out}/part-*")
+        return spark.createDataFrame([], LABEL_SCHEMA)
+    return spark.read.schema(LABEL_SCHEMA).parquet(f"{out}/part-*")
+
+
+def _matrix(pdf: pd.DataFrame) -> np.ndarray:
+    columns = np.unique(np.concatenate([np.asarray(b, dtype=np.int64) for b in pdf["bins"]]))
+    matrix = np.zeros((len(pdf), max(1, len(columns))))
+    for row, (bins, counts) in enumerate(zip(pdf["bins"], pdf["counts"])):
+        matrix[row, np.searchsorted(columns, np.asarray(bins, dtype=np.int64))] = counts
+    return matrix
+
+
+def _square_distances(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    cross = points @ centres.T
+    return np.maximum((points**2).sum(1)[:, None] + (centres**2).sum(1)[None, :] - 2.0 * cross, 0.0)
+
+
+def _seed_centres(points: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """Spread-out starting points: of a few candidates drawn by squared distance, the best."""
+    chosen = [int(rng.integers(len(points)))]
+    nearest = _square_distances(points, points[chosen])[:, 0]
+    tries = 2 + int(math.log(k))
+    while len(chosen) < k and nearest.sum() > 0:
+        drawn = rng.choice(len(points), size=tries, p=nearest / nearest.sum())
+        after = np.minimum(nearest[:, None], _square_distances(points, points[drawn]))
+        best = int(after.sum(0).argmin())
+        chosen.append(int(drawn[best]))
+        nearest = after[:, best]
+    return points[chosen]
+
+
+def _kmeans_labels(points: np.ndarray, k: int, seed: int) -> np.ndarray:
+    centres = _seed_centres(points, k, np.random.default_rng(seed))
+    limit = TOLERANCE * points.var(0).mean()
+    for _ in range(MAX_ITERATIONS):
+        labels = _square_distances(points, centres).argmin(1)
+        members = np.eye(len(centres))[labels]
+        sizes = members.sum(0)
+        moved = np.where(sizes[:, None] > 0, members.T @ points / np.maximum(sizes, 1)[:, None], centres)
+        shift = ((moved - centres) ** 2).sum()
+        centres = moved
+        if shift <= limit:
+            break
+    return _square_distances(points, centres).argmin(1)
+
+
+def _fit_group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    group, feature, k = key
+    pdf = pdf.sort_values("comb", ignore_index=True)
+    labels = _kmeans_labels(_matrix(pdf), int(k), int(pdf["seed"].iloc[0]))
+    return pd.DataFrame(
+        {"segment_group": group, "feature": feature, "k": int(k), "comb": pdf["comb"], "cluster": labels}
+    )
 
 
 def within_cluster_ss(profile: DataFrame, labels: DataFrame) -> DataFrame:
@@ -204,37 +304,24 @@ def final_clusters(profile: DataFrame, labels: DataFrame, chosen: DataFrame) ->
     return at_k.join(numbers, [*KEYS, "raw"]).select(*KEYS, "comb", "cluster")
 
 
-def project_2d(spark: SparkSession, path: str, segments: Iterable[SegmentVectors], labels: DataFrame) -> DataFrame:
+def project_2d(profile: DataFrame, params: DataFrame, labels: DataFrame, task_cells: int = TASK_CELLS) -> DataFrame:
     """First two principal components of the histograms and of the cluster centres.
 
     Signs are fixed so that the largest loading of a component is positive.
     Segments with fewer than two bins or combinations have no projection.
     ``labels`` is (segment, comb, cluster); a centre is the mean of its members.
     """
-    projected = None
-    for s in segments:
-        if s.n_bins < 2 or s.combos < 2:
-            continue
-        raw = read_vectors(spark, path, s)
-        scaler = StandardScaler(inputCol="features", outputCol="centred", withMean=True, withStd=False).fit(raw)
-        centred = scaler.transform(raw)
-        model = PCA(k=2, inputCol="centred", outputCol="pc").fit(centred)
-        loadings = model.pc.toArray()
-        signs = [1.0 if column[abs(column).argmax()] >= 0 else -1.0 for column in loadings.T]
-        axes = vector_to_array("pc")
-        points = model.transform(centred).select(
-            F.lit(s.segment_group).alias("segment_group"),
-            F.lit(s.feature).alias("feature"),
-            "comb",
-            (axes[0] * signs[0]).alias("pc1"),
-            (axes[1] * signs[1]).alias("pc2"),
-        )
-        projected = points if projected is None else projected.unionByName(points)
-    if projected is None:
-        return spark.createDataFrame(
-            [], "segment_group string, feature string, kind string, comb bigint, cluster int, pc1 double, pc2 double"
-        )
-    members = settle(projected).join(labels.select(*KEYS, "comb", "cluster"), [*KEYS, "comb"])
+    small, large = split_by_size(profile, params.where(F.col("n_bins") > 1), task_cells)
+    several = F.col("combos") > 1
+    points = (
+        histogram_rows(profile.join(small.where(several).select(*KEYS), KEYS, "left_semi"))
+        .groupBy(*KEYS)
+        .applyInPandas(_project_group, POINT_SCHEMA)
+    )
+    if not large.isEmpty():
+        distributed = profile.join(large.where(several).select(*KEYS), KEYS, "left_semi")
+        points = points.unionByName(_project_large(distributed, params))
+    members = points.join(labels.select(*KEYS, "comb", "cluster"), [*KEYS, "comb"])
     centres = members.groupBy(*KEYS, "cluster").agg(F.avg("pc1").alias("pc1"), F.avg("pc2").alias("pc2"))
     columns = [*KEYS, "kind", "comb", "cluster", "pc1", "pc2"]
     return (
@@ -242,3 +329,44 @@ def project_2d(spark: SparkSession, path: str, segments: Iterable[SegmentVectors
         .select(*columns)
         .unionByName(centres.withColumns({"kind": F.lit("centre"), "comb": F.lit(None).cast("bigint")}).select(*columns))
     )
+
+
+def _signs(loadings: np.ndarray) -> list[float]:
+    """+1 or -1 per component (a column), making its largest loading positive."""
+    return [1.0 if axis[abs(axis).argmax()] >= 0 else -1.0 for axis in loadings.T]
+
+
+def _project_group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    group, feature = key
+    pdf = pdf.sort_values("comb", ignore_index=True)
+    points = _matrix(pdf)
+    centred = points - points.mean(0)
+    axes = np.linalg.svd(centred, full_matrices=False)[2][:2].T
+    placed = centred @ axes * _signs(axes)
+    second = placed[:, 1] if placed.shape[1] > 1 else 0.0
+    return pd.DataFrame(
+        {"segment_group": group, "feature": feature, "comb": pdf["comb"], "pc1": placed[:, 0], "pc2": second}
+    )
+
+
+def _project_large(profile: DataFrame, params: DataFrame) -> DataFrame:
+    spark = profile.sparkSession
+    path, segments = store_vectors(profile, params)
+    points = spark.createDataFrame([], POINT_SCHEMA)
+    for s in segments:
+        raw = read_vectors(spark, path, s)
+        scaler = StandardScaler(inputCol="features", outputCol="centred", withMean=True, withStd=False).fit(raw)
+        centred = scaler.transform(raw)
+        model = PCA(k=2, inputCol="centred", outputCol="pc").fit(centred)
+        signs = _signs(model.pc.toArray())
+        axes = vector_to_array("pc")
+        points = points.unionByName(
+            model.transform(centred).select(
+                F.lit(s.segment_group).alias("segment_group"),
+                F.lit(s.feature).alias("feature"),
+                "comb",
+                (axes[0] * signs[0]).alias("pc1"),
+                (axes[1] * signs[1]).alias("pc2"),
+            )
+        )
+    return points

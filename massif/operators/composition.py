@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from massif.functions.columns import measure
+from massif.functions.columns import measure, round_half_even
 from massif.operators.bounded import settle
 from massif.operators.quantiles import GROUP_ROWS, exact_percentiles
 from massif.operators.segments import KEYS
@@ -59,7 +59,7 @@ def cluster_composition(
     return (
         spine.join(counted, [*CLUSTER, "column", "value"], "left")
         .withColumn("count", F.coalesce("count", F.lit(0)).cast("bigint"))
-        .withColumn("percentage", F.round(F.col("count") * 100.0 / F.col("total_rows"), 2))
+        .withColumn("percentage", round_half_even(F.col("count") / F.col("total_rows") * 100, 2))
         .select(*CLUSTER, "total_rows", "column", "value", "count", "percentage")
     )
 

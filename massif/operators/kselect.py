@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from massif.functions.columns import round_half_even
 from massif.operators.segments import KEYS
 
 
@@ -17,7 +18,7 @@ def from_first_peak(scores: DataFrame, keys: Sequence[str] = KEYS, score: str =
     """
     per_key = Window.partitionBy(*keys)
     valid = scores.where(F.col(score).isNotNull() & ~F.isnan(score)).withColumn(
-        "__rounded", F.rint(F.col(score) * 100) / 100
+        "__rounded", round_half_even(F.col(score), 2)
     )
     top = valid.withColumn("__best", F.max("__rounded").over(per_key)).withColumn(
         "__peak", F.min(F.when(F.col("__rounded") == F.col("__best"), F.col("k"))).over(per_key)

@@ -23,7 +23,7 @@ BIN_CHUNK = 4096
 TILE_SCHEMA = "segment_group string, feature string, comb bigint, k int, other int, dist_sum double"
 
 
-def _tile_sums(key, pdf: pd.DataFrame) -> pd.DataFrame:
+def _tile_sums(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     group, feature, low, high = key
     sides = [pdf[pdf["block"] == low], pdf[pdf["block"] == high]]
     columns = np.unique(np.concatenate([np.asarray(b, dtype=np.int64) for b in pdf["bins"]] or [[]]))
@@ -168,10 +168,12 @@ def order_samples(samples: DataFrame) -> DataFrame:
     """Stacked chart positions: clusters in order, coefficients rising inside each.
 
     ``position`` runs over the whole (segment, k), from 0. It is the rank inside
-    the cluster plus the size of the clusters before it.
+    the cluster plus the size of the clusters before it. Coefficients equal to
+    nine digits are ties, so the order does not hang on the order of summation.
     """
     one_k = [*KEYS, "k"]
-    inside = F.row_number().over(Window.partitionBy(*one_k, "cluster").orderBy("silhouette", "comb"))
+    rising = Window.partitionBy(*one_k, "cluster").orderBy(F.round("silhouette", 9), "comb")
+    inside = F.row_number().over(rising)
     before = F.sum("size").over(Window.partitionBy(*one_k).orderBy("cluster")) - F.col("size")
     starts = settle(
         samples.groupBy(*one_k, "cluster").agg(F.count("*").alias("size")).withColumn("first_position", before)
