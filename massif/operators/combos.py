@@ -8,8 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from massif.operators.bounded import join_null_safe, settle
-from massif.session import shared_folder
+from massif.operators.bounded import join_null_safe, settle, stored
 
 SMALLEST_CUTOFF = 2
 ONE_TASK_COMBOS = 1_000_000
@@ -34,8 +33,7 @@ def number_combos(sizes: DataFrame, categoricals: Sequence[str], one_task: int =
         return sizes.withColumn("comb", F.lit(1).cast("bigint"))
     if sizes.limit(one_task + 1).count() <= one_task:
         return sizes.withColumn("comb", F.row_number().over(Window.orderBy(*cats)).cast("bigint"))
-    shared_folder(sizes.sparkSession)
-    ranged = sizes.repartitionByRange(*cats).withColumn("part", F.spark_partition_id()).checkpoint()
+    ranged = stored(sizes.repartitionByRange(*cats).withColumn("part", F.spark_partition_id()), "ranged")
     parts = settle(ranged.groupBy("part").agg(F.count("*").alias("in_part")))
     before = F.coalesce(F.sum("in_part").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     local_rank = F.row_number().over(Window.partitionBy("part").orderBy(*cats))

@@ -20,16 +20,6 @@ def label_rows(rows: DataFrame, comb_cluster: DataFrame) -> DataFrame:
     return rows.join(comb_cluster, [*KEYS, "comb"])
 
 
-def spread_over_segments(rows: DataFrame, comb_cluster: DataFrame) -> DataFrame:
-    """Every row of a combination, in whatever group, under each of its clusters.
-
-    This is the ``scope='all'`` reading of composition: the cluster of a segment
-    describes all filtered rows of its combinations, not the segment's alone.
-    """
-    keep = [c for c in rows.columns if c not in KEYS]
-    return rows.select(*keep).join(comb_cluster, "comb")
-
-
 def cluster_composition(
     combos: DataFrame, comb_cluster: DataFrame, categoricals: Sequence[str], scope: str = "all"
 ) -> DataFrame:
@@ -65,41 +55,71 @@ def cluster_composition(
 
 
 def cluster_describe(
-    labeled: DataFrame, measures: Sequence[str], group_rows: int = GROUP_ROWS, largest: int | None = None
+    rows: DataFrame,
+    comb_cluster: DataFrame,
+    measures: Sequence[str],
+    scope: str = "all",
+    group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """count, mean, std, min, quartiles, max of each measure per cluster.
 
-    ``labeled`` has the segment keys, ``cluster`` and the measure columns.
+    ``rows`` has ``comb`` and the measures, and ``segment_group`` when
+    ``scope='segment'``. With ``scope='all'`` a cluster describes all rows of its
+    combinations, in whatever group. Moments are first taken per combination and
+    then merged, so the rows are aggregated once however many segments there are.
     """
-    present = [m for m in measures if m in labeled.columns]
-    keyed = labeled.select(*CLUSTER, *[measure(m).alias(f"__m{i}") for i, m in enumerate(present)])
+    if scope not in ("all", "segment"):
+        raise ValueError("scope must be 'all' or 'segment'.")
+    present = [m for m in measures if m in rows.columns]
+    on = ["comb"] if scope == "all" else ["segment_group", "comb"]
+    wide = rows.select(*on, *[measure(m).alias(f"__m{i}") for i, m in enumerate(present)])
     names = F.create_map(*[F.lit(part) for i, m in enumerate(present) for part in (f"__m{i}", m)])
-    long = keyed.unpivot(CLUSTER, [f"__m{i}" for i in range(len(present))], "column", "value").withColumn(
+    long = wide.unpivot(on, [f"__m{i}" for i in range(len(present))], "column", "value").withColumn(
         "column", F.element_at(names, F.col("column"))
     )
+    per_comb = settle(
+        long.groupBy(*on, "column").agg(
+            F.count("value").alias("n"),
+            F.avg("value").alias("m"),
+            (F.var_pop("value") * F.count("value")).alias("ss"),
+            F.min("value").alias("lo"),
+            F.max("value").alias("hi"),
+        )
+    )
     keys = [*CLUSTER, "column"]
+    members = per_comb.join(comb_cluster, on)
     moments = settle(
-        long.groupBy(*keys).agg(
-            F.count("value").cast("double").alias("count"),
-            F.avg("value").alias("mean"),
-            F.stddev_samp("value").alias("std"),
-            F.min("value").alias("min"),
-            F.max("value").alias("max"),
+        members.groupBy(*keys).agg(
+            F.sum("n").alias("count"),
+            (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mean"),
+            F.min("lo").alias("min"),
+            F.max("hi").alias("max"),
         )
     )
-    if largest is None:
-        largest = int(moments.agg(F.max("count")).first()[0] or 0)
-    quartiles = exact_percentiles(long, keys, "value", [0.25, 0.5, 0.75], largest, group_rows)
-    return moments.join(quartiles, keys, "left").select(
-        *keys,
-        "count",
-        "mean",
-        "std",
-        "min",
-        F.col("pct")[0].alias("p25"),
-        F.col("pct")[1].alias("p50"),
-        F.col("pct")[2].alias("p75"),
-        "max",
+    # squares about the cluster mean: inside the combinations plus between them
+    squares = (
+        members.join(moments.select(*keys, "mean"), keys)
+        .groupBy(*keys)
+        .agg(F.sum(F.col("ss") + F.col("n") * F.pow(F.col("m") - F.col("mean"), F.lit(2))).alias("squares"))
+    )
+    largest = moments.agg(F.max("count")).first()[0] or 0
+    quartiles = exact_percentiles(
+        long.join(comb_cluster, on), keys, "value", [0.25, 0.5, 0.75], largest, group_rows
+    )
+    return (
+        moments.join(squares, keys, "left")
+        .join(quartiles, keys, "left")
+        .select(
+            *keys,
+            F.col("count").cast("double").alias("count"),
+            "mean",
+            F.when(F.col("count") > 1, F.sqrt(F.col("squares") / (F.col("count") - 1))).alias("std"),
+            "min",
+            F.col("pct")[0].alias("p25"),
+            F.col("pct")[1].alias("p50"),
+            F.col("pct")[2].alias("p75"),
+            "max",
+        )
     )
 
 

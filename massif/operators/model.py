@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from massif.functions.columns import bin_third, published_edge
-from massif.operators.binning import quantize
+from massif.operators.binning import placed_bin
 from massif.operators.bounded import join_null_safe, settle
 from massif.operators.segments import KEYS
 
@@ -168,45 +168,35 @@ def model_metadata(model: DataFrame, params: DataFrame) -> DataFrame:
 
 
 def score_rows(long: DataFrame, params: DataFrame, predictions: DataFrame, edge_rule: str = "right") -> DataFrame:
-    """Add bin, class probabilities and predicted cluster to long rows.
+    """Add bin, class probabilities, predicted cluster and context to long rows.
 
-    Works on batch and streaming input. Rows without parameters or model keep
+    Works on batch and streaming input. The context is the bounds of the bin,
+    its third of the axis and a title. Rows without parameters or model keep
     null results and a ``reject_reason``.
     """
-    binned = quantize(long, params, edge_rule, keep_unbinned=True)
-    known = params.select(*KEYS, F.lit(True).alias("has_params"))
-    scored = join_null_safe(binned.join(known, KEYS, "left"), predictions, CELL, "left")
-    reason = F.when(F.col("has_params").isNull() | F.col("predicted_cluster").isNull(), "no model or parameters")
-    return scored.withColumn("reject_reason", reason).drop("has_params")
-
-
-def with_context(scored: DataFrame, params: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
-    """Bin bounds, third of the axis and title text; optionally the cluster's profile.
-
-    ``profiles`` has (segment, cluster, ``cluster_counts``). A scored row whose
-    predicted cluster has no profile is rejected.
-    """
+    binned = long.join(params.select(*KEYS, "mn", "mx", "n_bins"), KEYS, "left").withColumn("bin", placed_bin(edge_rule))
     edge = lambda i: published_edge(i, F.col("mn"), F.col("mx"), F.col("n_bins"))
-    out = (
-        scored.join(params.select(*KEYS, "mn", "mx", "n_bins"), KEYS, "left")
+    title = F.format_string(
+        "Instance Prediction: Raw Value %.2f classified as Cluster %d", F.col("value"), F.col("predicted_cluster")
+    )
+    no_model = F.col("n_bins").isNull() | F.col("predicted_cluster").isNull()
+    return (
+        join_null_safe(binned, predictions, CELL, "left")
         .withColumn("bin_lower", edge(F.col("bin") - 1))
         .withColumn("bin_upper", edge(F.col("bin")))
         .withColumn("bin_third", bin_third(F.col("bin"), F.col("n_bins")))
-        .withColumn(
-            "title",
-            F.when(
-                F.col("predicted_cluster").isNotNull(),
-                F.format_string(
-                    "Instance Prediction: Raw Value %.2f classified as Cluster %d",
-                    F.col("value"),
-                    F.col("predicted_cluster"),
-                ),
-            ),
-        )
+        .withColumn("title", F.when(F.col("predicted_cluster").isNotNull(), title))
+        .withColumn("reject_reason", F.when(no_model, "no model or parameters"))
         .drop("mn", "mx", "n_bins")
     )
-    if profiles is None:
-        return out
+
+
+def with_profile(scored: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Add the counts of the predicted cluster; a row whose cluster has none is rejected.
+
+    ``profiles`` has (segment, cluster, ``cluster_counts``).
+    """
+    out = scored
     shown = profiles.select(*KEYS, F.col("cluster").alias("predicted_cluster"), "cluster_counts")
     return out.join(shown, [*KEYS, "predicted_cluster"], "left").withColumn(
         "reject_reason",

@@ -10,12 +10,10 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massif.functions.columns import measure
 from massif.operators import binning, clustering, combos, composition, density, kselect, model, profiles, segments
-from massif.operators.bounded import join_null_safe, settle
+from massif.operators.bounded import settle, stored
 from massif.operators.segments import KEYS
 from massif.plans.spec import AnalysisSpec
-from massif.session import scratch_path
 from massif.sources.tables import load_table, nan_to_null, numeric_columns, write_json, write_table
 
 log = logging.getLogger(__name__)
@@ -39,32 +37,36 @@ def run_id_for(spec: AnalysisSpec, moment: datetime | None = None) -> str:
     return f"{moment:%Y%m%d_%H%M%S}_run_{spec.name}"
 
 
-def prepare(df: DataFrame, spec: AnalysisSpec, measures: list[str], grouping: str | None):
-    """Combination table, cut-off and the filtered rows with their combination id.
+@dataclass
+class Prepared:
+    """What the first pass over the input gives."""
+
+    cells: DataFrame
+    sizes: DataFrame
+    threshold: int
+    kept: DataFrame
+    kept_cells: DataFrame
+    filtered: DataFrame
+
 
-    One pass over the input counts rows per (group, combination); sizes, cut-off
-    and composition counts all follow from those cells. A second pass writes the
-    filtered rows, reduced to the columns in use, for the steps that need values.
+def prepare(df: DataFrame, spec: AnalysisSpec, measures: list[str], grouping: str | None) -> Prepared:
+    """Cells, cut-off, kept combinations and the filtered rows with their combination id.
+
+    One pass over the input summarises each (group, combination); sizes, cut-off,
+    composition counts and segment statistics all follow from those cells. A
+    second pass writes the filtered rows, reduced to the columns in use, for the
+    steps that need values.
     """
     cats = spec.categorical
-    cells = settle(
-        segments.to_long(df, measures[:1], grouping, cats)
-        .groupBy("segment_group", *cats)
-        .agg(F.count("*").alias("n"))
-    )
-    sizes = cells.groupBy(*cats).agg(F.sum("n").alias("n")) if cats else cells.agg(F.sum("n").alias("n"))
-    sizes = settle(sizes)
+    cells = settle(binning.cell_stats(df, measures, grouping, cats))
+    sizes = settle(cells.groupBy(*cats).agg(F.sum("n").alias("n")))
     threshold = combos.cutoff(sizes, spec.min_combination_size)
     kept = settle(combos.number_combos(sizes.where(F.col("n") >= threshold), cats))
     if kept.isEmpty():
         raise ValueError(f"No data meets the minimum combination size threshold of {threshold}.")
     columns = list(dict.fromkeys(c for c in [grouping, *cats, *measures] if c))
-    rows = combos.with_comb(df.select(*columns), kept, cats)
-    path = scratch_path(df.sparkSession, "filtered")
-    rows.write.parquet(path)
-    filtered = df.sparkSession.read.schema(rows.schema).parquet(path)
-    in_group = join_null_safe(cells, kept.drop("n"), cats) if cats else cells.withColumn("comb", F.lit(1).cast("bigint"))
-    return kept, settle(in_group), sizes, threshold, filtered
+    filtered = stored(combos.with_comb(df.select(*columns), kept, cats), "filtered")
+    return Prepared(cells, sizes, threshold, kept, settle(combos.with_comb(cells, kept, cats)), filtered)
 
 
 def analyze(df: DataFrame, spec: AnalysisSpec, threads: int = 8, run_id: str | None = None) -> Analysis:
@@ -76,12 +78,12 @@ def analyze(df: DataFrame, spec: AnalysisSpec, threads: int = 8, run_id: str | N
     grouping = segments.check_roles(df, spec.grouping, spec.categorical, measures)
     run_id = run_id or run_id_for(spec)
 
-    chosen = segments.select_groups(df, grouping, spec.groups)
-    kept, in_group, sizes, threshold, filtered = prepare(df, spec, measures, grouping)
-
+    base = prepare(df, spec, measures, grouping)
+    kept, filtered = base.kept, base.filtered
     in_scope = segments.select_groups(filtered, grouping, spec.groups)
     long = segments.to_long(in_scope, measures, grouping, ["comb"])
-    stats = settle(binning.segment_stats(long))
+    kept_cells = segments.select_groups(base.kept_cells, "segment_group", spec.groups if grouping else ())
+    stats = settle(binning.stats_from_cells(kept_cells, measures))
     if stats.isEmpty():
         raise ValueError("No data groups left after filtering.")
     params = binning.bin_params(long, spec.n_bins, spec.units, stats=stats)
@@ -98,23 +100,23 @@ def analyze(df: DataFrame, spec: AnalysisSpec, threads: int = 8, run_id: str | N
     dense = settle(profiles.dense_profile(clustered, params))
     regions = settle(density.high_density_region(dense, params, spec.hdr_excluded_percent))
     parts = composition.cluster_composition(kept, comb_cluster, spec.categorical) if spec.categorical else None
-    describable = filtered.select("comb", *[measure(m).alias(m) for m in measures])
-    described = composition.cluster_describe(composition.spread_over_segments(describable, comb_cluster), measures)
+    described = composition.cluster_describe(filtered, comb_cluster, measures)
     table = settle(model.train_bin_model(model.training_cells(profile, comb_cluster), params))
     documents = profiles.profile_documents(dense, params, density.hdr_profile(regions), best)
 
     group_names = spec.value_names.get(spec.grouping or "", {})
-    initial = segments.to_long(chosen, measures, grouping)
-    initial_stats = settle(binning.segment_stats(initial))
+    initial = segments.to_long(segments.select_groups(df, grouping, spec.groups), measures, grouping)
+    all_cells = segments.select_groups(base.cells, "segment_group", spec.groups if grouping else ())
+    initial_stats = settle(binning.stats_from_cells(all_cells, measures))
     initial_params = binning.bin_params(initial, spec.n_bins, spec.units, stats=initial_stats)
     tables = {
         "initial_density": density.density_histogram(
             initial, initial_stats, initial_params, group_names, spec.column_names
         ),
-        "comb_size_stats": combos.size_stats(sizes),
-        "retention": combos.retention(sizes, threshold),
+        "comb_size_stats": combos.size_stats(base.sizes),
+        "retention": combos.retention(base.sizes, base.threshold),
         "combos": kept,
-        "comb_cells": in_group,
+        "comb_cells": base.kept_cells.select("segment_group", "comb", "n"),
         "filtered": filtered,
         "bin_params": binning.with_edges(params),
         "comb_profile": profile,
@@ -131,13 +133,13 @@ def analyze(df: DataFrame, spec: AnalysisSpec, threads: int = 8, run_id: str | N
         "model_metadata": model.model_metadata(table, params),
         "classification_report": model.classification_report(table),
         "profile_documents": documents,
-        "runs": run_summary(spark, spec, run_id, measures, threshold),
+        "runs": run_summary(spark, spec, run_id, measures, base.threshold),
     }
     if parts is not None:
         tables["composition"] = parts
         tables["composition_union"] = composition.composition_union(parts, described)
         tables["composition_documents"] = composition.composition_documents(parts)
-    return Analysis(spec, run_id, threshold, tables)
+    return Analysis(spec, run_id, base.threshold, tables)
 
 
 def run_summary(spark: SparkSession, spec: AnalysisSpec, run_id: str, measures: list[str], threshold: int) -> DataFrame:

@@ -376,15 +376,19 @@ ORACLE["cluster_composition"] = with_(composition(ALL_ROWS), "SELECT * FROM comp
 ORACLE["cluster_composition_segment"] = with_(composition(SEGMENT_ROWS), "SELECT * FROM composition")
 
 
-def _describe(column: str, digits: int) -> str:
+def _describe(column: str, digits: int, segment_only: bool = False) -> str:
+    only = "WHERE f.event_type = ruled.segment_group" if segment_only else ""
     return f"""SELECT ruled.segment_group, ruled.feature, cluster, '{column}' AS "column", CAST(count(f.{column}) AS DOUBLE) AS count,
     round(avg(f.{column}), {digits}) AS mean, round(stddev_samp(f.{column}), {digits}) AS std,
     round(CAST(min(f.{column}) AS DOUBLE), {digits}) AS min, round(quantile_cont(f.{column}, 0.25), {digits}) AS p25,
     round(quantile_cont(f.{column}, 0.5), {digits}) AS p50, round(quantile_cont(f.{column}, 0.75), {digits}) AS p75,
     round(CAST(max(f.{column}) AS DOUBLE), {digits}) AS max
-    FROM ruled JOIN f USING (comb) GROUP BY ALL"""
+    FROM ruled JOIN f USING (comb) {only} GROUP BY ALL"""
 
 
+ORACLE["cluster_describe_segment"] = with_(
+    KEPT, _describe("value", 5, True) + " UNION ALL " + _describe("user_id", 5, True)
+)
 ORACLE["cluster_describe"] = with_(KEPT, _describe("value", 5) + " UNION ALL " + _describe("user_id", 5))
 ORACLE["composition_union"] = with_(
     f"{composition(ALL_ROWS)}, described AS ({_describe('value', 5)})",

@@ -486,10 +486,16 @@ def cluster_composition_segment(spark, folder):
 @query
 def cluster_describe(spark, folder):
     parts = prepared(spark, folder)
-    spread = composition.spread_over_segments(
-        parts.rows.select("comb", "value", "user_id"), settle(parts.ruled(parts.profile()))
-    )
-    return rounded(composition.cluster_describe(spread, ["value", "user_id"]), 5)
+    ruled = settle(parts.ruled(parts.profile()))
+    return rounded(composition.cluster_describe(parts.rows, ruled, ["value", "user_id"]), 5)
+
+
+@query
+def cluster_describe_segment(spark, folder):
+    parts = prepared(spark, folder)
+    ruled = settle(parts.ruled(parts.profile()))
+    rows = parts.rows.withColumn("segment_group", F.col("event_type"))
+    return rounded(composition.cluster_describe(rows, ruled, ["value", "user_id"], scope="segment"), 5)
 
 
 @query
@@ -497,8 +503,8 @@ def composition_union(spark, folder):
     parts = prepared(spark, folder)
     ruled = settle(parts.ruled(parts.profile()))
     counted = composition.cluster_composition(parts.kept, ruled, CATS)
-    spread = composition.spread_over_segments(parts.rows.select("comb", "value"), ruled)
-    return rounded(composition.composition_union(counted, composition.cluster_describe(spread, ["value"])), 5)
+    described = composition.cluster_describe(parts.rows, ruled, ["value"])
+    return rounded(composition.composition_union(counted, described), 5)
 
 
 @query
@@ -583,7 +589,7 @@ def score_batch(spark, folder):
     parts = prepared(spark, folder)
     predictions = settle(model.bin_predictions(ruled_model(parts)))
     long = segments.to_long(events(spark, folder), ["value"], "event_type", ["event_id"])
-    scored = model.with_context(model.score_rows(long, parts.params, predictions), parts.params)
+    scored = model.score_rows(long, parts.params, predictions)
     return rounded(
         scored.select(
             "event_id",

@@ -91,9 +91,7 @@ def score(rows: DataFrame, tables: ScoringTables, source: str = "stream", edge_r
         F.coalesce(F.when(empty, "no payload"), missing_group).alias("row_reason"),
         F.explode(F.array(*pairs)).alias("m"),
     ).select("instance", "segment_group", "row_reason", "m.feature", "m.value")
-    scored = model.with_context(
-        model.score_rows(long, tables.params, tables.predictions, edge_rule), tables.params, tables.profiles
-    )
+    scored = model.with_profile(model.score_rows(long, tables.params, tables.predictions, edge_rule), tables.profiles)
     # a null group is a segment of its own when the run has one
     row_reason = F.when(
         (F.col("row_reason") != "grouping value absent") | F.col("predicted_cluster").isNull(), F.col("row_reason")
