@@ -174,6 +174,7 @@ def save(analysis: Analysis, folder: str, formats: Iterable[str] = ("parquet",))
             continue
         if name in JSON_TABLES:
             write_json(table, folder, name, analysis.run_id)
+            continue
         # nested columns cannot go to CSV
         flat = all(f.dataType.typeName() not in ("array", "map", "struct") for f in table.schema.fields)
         write_table(table, folder, name, analysis.run_id, [f for f in formats if f != "csv" or flat])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,7 +48,7 @@ def load_table(spark: SparkSession, path: str, schema: StructType | str | None =
         reader = reader.schema(schema).option("inferSchema", "false")
     try:
         return nan_to_null(reader.load(path))
-    except PySparkException as exc:
+    except (PySparkException, Py4JJavaError) as exc:
         raise RuntimeError(f"Error loading data from {path}") from exc
 
 
@@ -88,7 +89,10 @@ def write_table(df: DataFrame, folder: str, name: str, run_id: str, formats: Seq
 
 def read_table(spark: SparkSession, folder: str, name: str, run_id: str) -> DataFrame:
     """Read one result table of one run; only that run's folder is touched."""
-    return spark.read.parquet(f"{folder}/{safe_name(name)}/run_id={run_id}")
+    path = f"{folder}/{safe_name(name)}/run_id={run_id}"
+    if not _file_status(spark, path):
+        raise FileNotFoundError(f"Run {run_id} has no table '{name}' below {folder}.")
+    return spark.read.parquet(path)
 
 
 def write_json(df: DataFrame, folder: str, name: str, run_id: str) -> bool:
