@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from massif.operators.bounded import settle
 from massif.operators.segments import KEYS
-from massif.operators.silhouette import BLOCK, silhouette_scores
+from massif.operators.silhouette import BLOCK, cluster_sizes, silhouette_scores
 from massif.session import scratch_path
 
 SEED = 10
@@ -265,10 +265,10 @@ def _fit_group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     )
 
 
-def within_cluster_ss(profile: DataFrame, labels: DataFrame) -> DataFrame:
+def within_cluster_ss(profile: DataFrame, labels: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     """WCSS per (segment, k) from labels: sum of squares less the clusters' share."""
     one_k = [*KEYS, "k"]
-    sizes = settle(labels.groupBy(*one_k, "cluster").agg(F.count("*").alias("size")))
+    sizes = cluster_sizes(labels) if sizes is None else sizes
     cells = labels.join(profile.where(F.col("bin").isNotNull()), [*KEYS, "comb"], "left")
     by_bin = cells.groupBy(*one_k, "cluster", "bin").agg(
         F.sum("n").cast("double").alias("s"), F.sum(F.col("n").cast("double") * F.col("n")).alias("s2")
@@ -282,8 +282,9 @@ def within_cluster_ss(profile: DataFrame, labels: DataFrame) -> DataFrame:
 
 def k_scores(profile: DataFrame, labels: DataFrame, block: int = BLOCK) -> DataFrame:
     """WCSS and mean silhouette per (segment, k)."""
-    one_k = [*KEYS, "k"]
-    return within_cluster_ss(profile, labels).join(silhouette_scores(profile, labels, block), one_k, "left")
+    sizes = cluster_sizes(labels)
+    scores = silhouette_scores(profile, labels, block, sizes)
+    return within_cluster_ss(profile, labels, sizes).join(scores, [*KEYS, "k"], "left")
 
 
 def final_clusters(profile: DataFrame, labels: DataFrame, chosen: DataFrame) -> DataFrame:

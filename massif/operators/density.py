@@ -32,30 +32,26 @@ def high_density_region(profile: DataFrame, params: DataFrame, excluded_percent:
     per_cluster = Window.partitionBy(*cluster)
     falling = per_cluster.orderBy(F.desc("n"), "bin")
     running = falling.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    filled = profile.where((F.col("n") > 0) & F.col("bin").isNotNull())
     leveled = (
-        filled.withColumn("total", F.sum("n").over(per_cluster).cast("double"))
+        profile.where(F.col("bin").isNotNull())
+        .withColumn("total", F.sum("n").over(per_cluster).cast("double"))
         .withColumn("target", F.col("total") * F.lit(100.0 - excluded_percent) / 100.0)
         .withColumn("excess", (F.sum("n").over(running) - F.col("target")) / F.row_number().over(falling))
         .withColumn(
             "level",
-            F.when(F.col("target") <= 0, F.max("n").over(per_cluster).cast("double") + 1).otherwise(
-                F.floor(F.max("excess").over(per_cluster)).cast("double")
-            ),
+            F.when(F.col("total") == 0, F.lit(0.0))
+            .when(F.col("target") <= 0, F.max("n").over(per_cluster).cast("double") + 1)
+            .otherwise(F.floor(F.max("excess").over(per_cluster)).cast("double")),
         )
     )
-    levels = profile.select(*cluster).distinct().join(
-        leveled.groupBy(*cluster).agg(F.first("level").alias("level")), cluster, "left"
-    )
-
-    above = leveled.where(F.col("n") > F.col("level"))
-    by_bin = per_cluster.orderBy("bin")
-    islands = above.withColumn("block", F.col("bin") - F.row_number().over(by_bin)).withColumn(
-        "mass_above", F.sum("n").over(per_cluster)
+    above = F.col("n") > F.col("level")
+    # consecutive bins above the level share the number of bins above minus the bin
+    rank_above = F.sum(above.cast("int")).over(
+        per_cluster.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     blocks = (
-        islands.where(F.col("mass_above") >= SMALLEST_HDR_COUNT)
-        .groupBy(*cluster, "block")
+        leveled.withColumn("block", F.when(above, F.col("bin") - rank_above))
+        .groupBy(*cluster, "level", "block")
         .agg(
             F.min("bin").alias("start_bin"),
             F.max("bin").alias("end_bin"),
@@ -64,41 +60,33 @@ def high_density_region(profile: DataFrame, params: DataFrame, excluded_percent:
             F.min_by("bin", F.struct(-F.col("n"), F.col("bin"))).alias("peak_bin"),
         )
     )
-    best = blocks.withColumn(
-        "place", F.row_number().over(per_cluster.orderBy(F.desc("mass"), "start_bin"))
-    ).where("place = 1")
-
-    edge = lambda i: published_edge(i, F.col("mn"), F.col("mx"), F.col("n_bins"))
-    regions = (
-        best.join(params.select(*KEYS, "mn", "mx", "n_bins", "unit"), KEYS)
-        .where(F.col("end_bin") <= F.col("n_bins"))
-        .select(
-            *cluster,
-            "start_bin",
-            "end_bin",
-            ((F.col("start_bin") + F.col("end_bin")) / 2.0).alias("median_bin"),
-            "peak_bin",
-            edge(F.col("start_bin") - 1).alias("start_edge"),
-            edge(F.col("end_bin")).alias("end_edge"),
-            ((edge(F.col("peak_bin") - 1) + edge(F.col("peak_bin"))) / 2.0).alias("most_probable"),
-            "unit",
-            F.col("mass").cast("double").alias("mass"),
-            F.col("peak_count").cast("double").alias("peak_count"),
+    found = F.struct("start_bin", "end_bin", "peak_bin", "mass", "peak_count")
+    heaviest = F.when(F.col("block").isNotNull(), F.struct(-F.col("mass"), F.col("start_bin")))
+    mass_above = F.sum(F.when(F.col("block").isNotNull(), F.col("mass")))
+    best = (
+        blocks.groupBy(*cluster)
+        .agg(F.first("level").alias("level"), F.min_by(found, heaviest).alias("b"), mass_above.alias("mass_above"))
+        .join(params.select(*KEYS, "mn", "mx", "n_bins", "unit"), KEYS)
+        .withColumn(
+            "b", F.when((F.col("mass_above") >= SMALLEST_HDR_COUNT) & (F.col("b.end_bin") <= F.col("n_bins")), F.col("b"))
         )
     )
-    return levels.join(regions, cluster, "left").select(
+    edge = lambda i: published_edge(i, F.col("mn"), F.col("mx"), F.col("n_bins"))
+    start, end, peak = F.col("b.start_bin"), F.col("b.end_bin"), F.col("b.peak_bin")
+    has_region = F.col("b").isNotNull()
+    return best.select(
         *cluster,
-        F.coalesce("level", F.lit(0.0)).alias("hdr_threshold_count"),
-        "start_bin",
-        "end_bin",
-        "median_bin",
-        "peak_bin",
-        "start_edge",
-        "end_edge",
-        "most_probable",
-        "unit",
-        "mass",
-        "peak_count",
+        F.col("level").alias("hdr_threshold_count"),
+        start,
+        end,
+        ((start + end) / 2.0).alias("median_bin"),
+        peak,
+        F.when(has_region, edge(start - 1)).alias("start_edge"),
+        F.when(has_region, edge(end)).alias("end_edge"),
+        F.when(has_region, (edge(peak - 1) + edge(peak)) / 2.0).alias("most_probable"),
+        F.when(has_region, F.col("unit")).alias("unit"),
+        F.col("b.mass").cast("double").alias("mass"),
+        F.col("b.peak_count").cast("double").alias("peak_count"),
     )
 
 

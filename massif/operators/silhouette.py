@@ -20,7 +20,7 @@ from massif.operators.segments import KEYS
 BLOCK = 2048
 BIN_CHUNK = 4096
 
-TILE_SCHEMA = "segment_group string, feature string, comb bigint, k int, other int, dist_sum double"
+TILE_SCHEMA = "segment_group string, feature string, comb bigint, k int, cluster int, other int, dist_sum double"
 
 
 def _tile_sums(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -56,8 +56,9 @@ def _dense(side: pd.DataFrame, chunk: np.ndarray) -> np.ndarray:
 
 def _sums_by_cluster(rows: pd.DataFrame, others: pd.DataFrame, distance: np.ndarray) -> pd.DataFrame:
     if not len(rows) or not len(others):
-        return pd.DataFrame({"comb": [], "k": [], "other": [], "dist_sum": []})
+        return pd.DataFrame({"comb": [], "k": [], "cluster": [], "other": [], "dist_sum": []})
     ks = np.asarray(others["ks"].iloc[0])
+    own = np.array(rows["clusters"].tolist())
     labels = np.array(others["clusters"].tolist())
     parts = []
     for position, k in enumerate(ks):
@@ -68,6 +69,7 @@ def _sums_by_cluster(rows: pd.DataFrame, others: pd.DataFrame, distance: np.ndar
                 {
                     "comb": np.repeat(rows["comb"].to_numpy(), len(found)),
                     "k": int(k),
+                    "cluster": np.repeat(own[:, position], len(found)),
                     "other": np.tile(found, len(rows)),
                     "dist_sum": sums.ravel(),
                 }
@@ -76,8 +78,13 @@ def _sums_by_cluster(rows: pd.DataFrame, others: pd.DataFrame, distance: np.ndar
     return pd.concat(parts, ignore_index=True)
 
 
-def distance_sums(profile: DataFrame, labels: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Sum of Euclidean distances from each combination to each cluster, for every k.
+def cluster_sizes(labels: DataFrame) -> DataFrame:
+    """Combinations per (segment, k, cluster)."""
+    return settle(labels.groupBy(*KEYS, "k", "cluster").agg(F.count("*").alias("size")))
+
+
+def distance_sums(profile: DataFrame, labels: DataFrame, sizes: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Distances summed per tile, from each combination to each cluster, for every k.
 
     ``profile`` is (segment, comb, bin, n) with null bins allowed, ``labels`` is
     (segment, comb, k, cluster) with the same k values for all combinations of a
@@ -90,9 +97,8 @@ def distance_sums(profile: DataFrame, labels: DataFrame, block: int = BLOCK) ->
         F.collect_list(F.struct("bin", F.col("n").cast("double").alias("n"))).alias("h"),
         F.sum(F.col("n").cast("double") * F.col("n")).alias("norm"),
     )
-    blocks = settle(
-        labeled.groupBy(*KEYS).agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("n_blocks"))
-    )
+    combos = F.sum("size") / F.countDistinct("k")
+    blocks = sizes.groupBy(*KEYS).agg(F.ceil(combos / F.lit(block)).cast("int").alias("n_blocks"))
     points = (
         labeled.join(histograms, [*KEYS, "comb"], "left")
         .join(blocks, KEYS)
@@ -120,28 +126,30 @@ def distance_sums(profile: DataFrame, labels: DataFrame, block: int = BLOCK) ->
         "counts",
         "norm",
     )
-    return (
-        tiled.groupBy(*KEYS, "low", "high")
-        .applyInPandas(_tile_sums, TILE_SCHEMA)
-        .groupBy(*KEYS, "comb", "k", "other")
-        .agg(F.sum("dist_sum").alias("dist_sum"))
-    )
+    return tiled.groupBy(*KEYS, "low", "high").applyInPandas(_tile_sums, TILE_SCHEMA)
 
 
-def silhouette_samples(profile: DataFrame, labels: DataFrame, block: int = BLOCK) -> DataFrame:
+def silhouette_samples(
+    profile: DataFrame, labels: DataFrame, block: int = BLOCK, sizes: DataFrame | None = None
+) -> DataFrame:
     """Silhouette coefficient per (segment, k, combination); 0 for a lone member."""
-    sizes = settle(labels.groupBy(*KEYS, "k", "cluster").agg(F.count("*").alias("size")))
-    own = labels.join(sizes, [*KEYS, "k", "cluster"])
-    other_sizes = sizes.select(*KEYS, "k", F.col("cluster").alias("other"), F.col("size").alias("other_size"))
-    sums = distance_sums(profile, labels, block).join(other_sizes, [*KEYS, "k", "other"])
+    sizes = cluster_sizes(labels) if sizes is None else sizes
+    own = sizes.select(*KEYS, "k", "cluster", "size")
+    others = sizes.select(*KEYS, "k", F.col("cluster").alias("other"), F.col("size").alias("other_size"))
+    sample = [*KEYS, "k", "comb"]
+    # one shuffle serves both the sum over tiles and the choice among clusters
+    sums = (
+        distance_sums(profile, labels, sizes, block)
+        .repartition(*sample)
+        .groupBy(*sample, "cluster", "other")
+        .agg(F.sum("dist_sum").alias("dist_sum"))
+        .join(own, [*KEYS, "k", "cluster"])
+        .join(others, [*KEYS, "k", "other"])
+    )
     at_home = F.col("other") == F.col("cluster")
-    measured = (
-        own.join(sums, [*KEYS, "k", "comb"])
-        .groupBy(*KEYS, "k", "comb", "cluster", "size")
-        .agg(
-            F.max(F.when(at_home & (F.col("size") > 1), F.col("dist_sum") / (F.col("size") - 1))).alias("a"),
-            F.min(F.when(~at_home, F.col("dist_sum") / F.col("other_size"))).alias("b"),
-        )
+    measured = sums.groupBy(*sample, "cluster", "size").agg(
+        F.max(F.when(at_home & (F.col("size") > 1), F.col("dist_sum") / (F.col("size") - 1))).alias("a"),
+        F.min(F.when(~at_home, F.col("dist_sum") / F.col("other_size"))).alias("b"),
     )
     worst = F.greatest("a", "b")
     coefficient = (
@@ -152,16 +160,18 @@ def silhouette_samples(profile: DataFrame, labels: DataFrame, block: int = BLOCK
     return measured.select(*KEYS, "k", "comb", "cluster", coefficient.cast("double").alias("silhouette"))
 
 
-def silhouette_scores(profile: DataFrame, labels: DataFrame, block: int = BLOCK) -> DataFrame:
+def silhouette_scores(
+    profile: DataFrame, labels: DataFrame, block: int = BLOCK, sizes: DataFrame | None = None
+) -> DataFrame:
     """Mean silhouette per (segment, k); null unless 1 < clusters < combinations."""
-    samples = silhouette_samples(profile, labels, block)
-    scored = samples.groupBy(*KEYS, "k").agg(
-        F.avg("silhouette").alias("silhouette"),
-        F.countDistinct("cluster").alias("clusters"),
-        F.count("*").alias("combos"),
-    )
+    sizes = cluster_sizes(labels) if sizes is None else sizes
+    samples = silhouette_samples(profile, labels, block, sizes)
+    scored = samples.groupBy(*KEYS, "k").agg(F.avg("silhouette").alias("silhouette"))
+    counts = sizes.groupBy(*KEYS, "k").agg(F.count("*").alias("clusters"), F.sum("size").alias("combos"))
     valid = (F.col("clusters") > 1) & (F.col("clusters") < F.col("combos"))
-    return scored.select(*KEYS, "k", F.when(valid, F.col("silhouette")).alias("silhouette"))
+    return scored.join(counts, [*KEYS, "k"]).select(
+        *KEYS, "k", F.when(valid, F.col("silhouette")).alias("silhouette")
+    )
 
 
 def order_samples(samples: DataFrame) -> DataFrame:

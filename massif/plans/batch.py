@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
@@ -19,17 +19,27 @@ from massif.sources.tables import load_table, nan_to_null, numeric_columns, writ
 log = logging.getLogger(__name__)
 
 
-@dataclass
 class Analysis:
-    """The result tables of one analysis; all carry the segment keys."""
+    """The result tables of one analysis, each computed when first asked for.
 
-    spec: AnalysisSpec
-    run_id: str
-    threshold: int
-    tables: dict[str, DataFrame]
+    A table is built by the maker of that name, which may ask for other tables.
+    """
+
+    def __init__(self, spec: AnalysisSpec, run_id: str, threshold: int, makers: dict[str, Callable[[], DataFrame]]):
+        self.spec = spec
+        self.run_id = run_id
+        self.threshold = threshold
+        self._makers = makers
+        self._tables: dict[str, DataFrame] = {}
 
     def __getitem__(self, name: str) -> DataFrame:
-        return self.tables[name]
+        if name not in self._tables:
+            self._tables[name] = self._makers[name]()
+        return self._tables[name]
+
+    @property
+    def names(self) -> list[str]:
+        return list(self._makers)
 
 
 def run_id_for(spec: AnalysisSpec, moment: datetime | None = None) -> str:
@@ -91,55 +101,67 @@ def analyze(df: DataFrame, spec: AnalysisSpec, threads: int = 8, run_id: str | N
         raise ValueError("No data to cluster after aggregation.")
 
     profile = settle(profiles.comb_profile(binning.quantize(long, params)))
-    labels = clustering.sweep_labels(profile, params, spec.min_k, spec.max_k, threads)
-    scores = settle(clustering.k_scores(profile, labels))
-    best = settle(kselect.optimal_k(kselect.from_first_peak(scores), spec.max_drop_percent / 100.0))
-    comb_cluster = settle(clustering.final_clusters(profile, labels, best))
-
-    clustered = profiles.cluster_profile(profile.join(comb_cluster, [*KEYS, "comb"]))
-    dense = settle(profiles.dense_profile(clustered, params))
-    regions = settle(density.high_density_region(dense, params, spec.hdr_excluded_percent))
-    parts = composition.cluster_composition(kept, comb_cluster, spec.categorical) if spec.categorical else None
-    described = composition.cluster_describe(filtered, comb_cluster, measures)
-    table = settle(model.train_bin_model(model.training_cells(profile, comb_cluster), params))
-    documents = profiles.profile_documents(dense, params, density.hdr_profile(regions), best)
-
+    cats = spec.categorical
     group_names = spec.value_names.get(spec.grouping or "", {})
-    initial = segments.to_long(segments.select_groups(df, grouping, spec.groups), measures, grouping)
-    all_cells = segments.select_groups(base.cells, "segment_group", spec.groups if grouping else ())
-    initial_stats = settle(binning.stats_from_cells(all_cells, measures))
-    initial_params = binning.bin_params(initial, spec.n_bins, spec.units, stats=initial_stats)
-    tables = {
-        "initial_density": density.density_histogram(
-            initial, initial_stats, initial_params, group_names, spec.column_names
+
+    def initial_density():
+        initial = segments.to_long(segments.select_groups(df, grouping, spec.groups), measures, grouping)
+        all_cells = segments.select_groups(base.cells, "segment_group", spec.groups if grouping else ())
+        seen = settle(binning.stats_from_cells(all_cells, measures))
+        cut = binning.bin_params(initial, spec.n_bins, spec.units, stats=seen)
+        return density.density_histogram(initial, seen, cut, group_names, spec.column_names)
+
+    def optimal_k():
+        peaked = kselect.from_first_peak(made["k_metrics"])
+        return settle(kselect.optimal_k(peaked, spec.max_drop_percent / 100.0))
+
+    def flagged_scores():
+        best = made["optimal_k"].select(*KEYS, F.col("k").alias("best"))
+        is_optimal = F.coalesce(F.col("k") == F.col("best"), F.lit(False))
+        return made["k_metrics"].join(best, KEYS, "left").withColumn("is_optimal", is_optimal).drop("best")
+
+    def dense():
+        clustered = profiles.cluster_profile(profile.join(made["comb_cluster"], [*KEYS, "comb"]))
+        return settle(profiles.dense_profile(clustered, params))
+
+    makers: dict[str, Callable[[], DataFrame]] = {
+        "initial_density": initial_density,
+        "comb_size_stats": lambda: combos.size_stats(base.sizes),
+        "retention": lambda: combos.retention(base.sizes, base.threshold),
+        "combos": lambda: kept,
+        "comb_cells": lambda: base.kept_cells.select("segment_group", "comb", "n"),
+        "filtered": lambda: filtered,
+        "bin_params": lambda: binning.with_edges(params),
+        "comb_profile": lambda: profile,
+        "k_labels": lambda: clustering.sweep_labels(profile, params, spec.min_k, spec.max_k, threads),
+        "k_metrics": lambda: settle(clustering.k_scores(profile, made["k_labels"])),
+        "optimal_k": optimal_k,
+        "k_scores": flagged_scores,
+        "comb_cluster": lambda: settle(clustering.final_clusters(profile, made["k_labels"], made["optimal_k"])),
+        "cluster_counts": dense,
+        "cluster_profile": lambda: profiles.profile_share(made["cluster_counts"]),
+        "hdr": lambda: settle(
+            density.high_density_region(made["cluster_counts"], params, spec.hdr_excluded_percent)
+        ),
+        "cluster_describe": lambda: settle(composition.cluster_describe(filtered, made["comb_cluster"], measures)),
+        "bin_model": lambda: settle(
+            model.train_bin_model(model.training_cells(profile, made["comb_cluster"]), params)
+        ),
+        "model_metadata": lambda: model.model_metadata(made["bin_model"], params),
+        "classification_report": lambda: model.classification_report(made["bin_model"]),
+        "profile_documents": lambda: profiles.profile_documents(
+            made["cluster_counts"], params, density.hdr_profile(made["hdr"]), made["optimal_k"]
         ),
-        "comb_size_stats": combos.size_stats(base.sizes),
-        "retention": combos.retention(base.sizes, base.threshold),
-        "combos": kept,
-        "comb_cells": base.kept_cells.select("segment_group", "comb", "n"),
-        "filtered": filtered,
-        "bin_params": binning.with_edges(params),
-        "comb_profile": profile,
-        "k_labels": labels,
-        "k_scores": scores.join(best.select(*KEYS, F.col("k").alias("best")), KEYS, "left")
-        .withColumn("is_optimal", F.coalesce(F.col("k") == F.col("best"), F.lit(False)))
-        .drop("best"),
-        "optimal_k": best,
-        "comb_cluster": comb_cluster,
-        "cluster_profile": profiles.profile_share(dense),
-        "hdr": regions,
-        "cluster_describe": described,
-        "bin_model": table,
-        "model_metadata": model.model_metadata(table, params),
-        "classification_report": model.classification_report(table),
-        "profile_documents": documents,
-        "runs": run_summary(spark, spec, run_id, measures, base.threshold),
+        "runs": lambda: run_summary(spark, spec, run_id, measures, base.threshold),
     }
-    if parts is not None:
-        tables["composition"] = parts
-        tables["composition_union"] = composition.composition_union(parts, described)
-        tables["composition_documents"] = composition.composition_documents(parts)
-    return Analysis(spec, run_id, base.threshold, tables)
+    if cats:
+        makers["composition"] = lambda: settle(composition.cluster_composition(kept, made["comb_cluster"], cats))
+        makers["composition_union"] = lambda: composition.composition_union(
+            made["composition"], made["cluster_describe"]
+        )
+        makers["composition_documents"] = lambda: composition.composition_documents(made["composition"])
+    made = Analysis(spec, run_id, base.threshold, makers)
+    return made
 
 
 def run_summary(spark: SparkSession, spec: AnalysisSpec, run_id: str, measures: list[str], threshold: int) -> DataFrame:
@@ -164,14 +186,17 @@ def run_summary(spark: SparkSession, spec: AnalysisSpec, run_id: str, measures:
     )
 
 
+# tables that others repeat with more columns
+STEPS_ONLY = ("k_metrics", "cluster_counts")
 JSON_TABLES = ("profile_documents", "composition_documents")
 
 
 def save(analysis: Analysis, folder: str, formats: Iterable[str] = ("parquet",)) -> str:
     """Write all tables of a run; the run record comes last and marks it as done."""
-    for name, table in analysis.tables.items():
-        if name == "runs":
+    for name in analysis.names:
+        if name in ("runs", *STEPS_ONLY):
             continue
+        table = analysis[name]
         if name in JSON_TABLES:
             write_json(table, folder, name, analysis.run_id)
             continue

@@ -115,7 +115,7 @@ class Parts:
 
     def clusters(self) -> DataFrame:
         profile = self.profile()
-        return profiles.cluster_profile(profile.join(self.ruled(profile), [*KEYS, "comb"]))
+        return settle(profiles.cluster_profile(profile.join(self.ruled(profile), [*KEYS, "comb"])))
 
 
 def prepared(spark: SparkSession, folder: str) -> Parts:
@@ -624,14 +624,15 @@ def _run_stream(spark, folder, scoring, nulls=False):
     if nulls:
         rows = rows.withColumn("event_type", F.when(F.col("event_type") != "error", F.col("event_type")))
     out = scratch_path(spark, "scored")
-    streaming.start_scoring(rows, scoring, out, f"{out}/checkpoint", available_now=True).awaitTermination()
+    checkpoint = scratch_path(spark, "checkpoint")
+    streaming.start_scoring(rows, scoring, out, checkpoint, available_now=True).awaitTermination()
     return out
 
 
 @query
 def stream_score(spark, folder):
     out = _run_stream(spark, folder, _scoring_tables(prepared(spark, folder)))
-    scored = spark.read.parquet(f"{out}/scored")
+    scored = streaming.read_results(spark, out)
     return rounded(
         scored.select(
             F.col("instance.event_id").alias("event_id"),
@@ -650,7 +651,7 @@ def stream_rejects(spark, folder):
     """Rows the stream refuses: errors come without a type, views have no model."""
     scoring = _scoring_tables(prepared(spark, folder), ["click", "purchase", "signup"])
     out = _run_stream(spark, folder, scoring, nulls=True)
-    return spark.read.parquet(f"{out}/rejected").select(
+    return streaming.read_results(spark, out, "rejected").select(
         F.col("instance.event_id").alias("event_id"), "segment_group", "reject_reason"
     )
 

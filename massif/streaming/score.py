@@ -113,22 +113,24 @@ def start_scoring(
     interval: str = "10 seconds",
     source: str = "stream",
 ) -> StreamingQuery:
-    """Append scored rows and rejects to two Parquet folders.
+    """Write scored rows and rejects to Parquet, apart by ``status``.
 
-    Each micro-batch writes to a folder named by its number, so a batch that is
+    Each micro-batch writes one folder named by its number, so a batch that is
     run again after a failure replaces its own output.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        stamped = batch.withColumn("processed_at", F.current_timestamp()).persist()
-        try:
-            good = stamped.where(F.col("reject_reason").isNull()).drop("reject_reason")
-            good.write.mode("overwrite").parquet(f"{folder}/scored/batch_id={number}")
-            bad = stamped.where(F.col("reject_reason").isNotNull())
-            bad.write.mode("overwrite").parquet(f"{folder}/rejected/batch_id={number}")
-        finally:
-            stamped.unpersist()
+        status = F.when(F.col("reject_reason").isNull(), "scored").otherwise("rejected")
+        stamped = batch.withColumns({"processed_at": F.current_timestamp(), "status": status})
+        stamped.write.mode("overwrite").partitionBy("status").parquet(f"{folder}/batch_id={number}")
 
     writer = score(rows, tables, source).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     trigger = {"availableNow": True} if available_now else {"processingTime": interval}
     return writer.trigger(**trigger).start()
+
+
+def read_results(spark: SparkSession, folder: str, status: str = "scored") -> DataFrame:
+    """The ``scored`` or ``rejected`` rows written so far; the other folders are not read."""
+    if status not in ("scored", "rejected"):
+        raise ValueError("status must be 'scored' or 'rejected'.")
+    return spark.read.parquet(folder).where(F.col("status") == status).drop("status")

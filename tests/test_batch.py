@@ -175,9 +175,8 @@ def test_saved_run_reads_back_and_scores_a_stream(spark, data, result, tmp_path)
         rows = streaming.read_rows(spark, str(incoming / "p*"), schema, "parquet", files_per_batch=1)
         query = streaming.start_scoring(rows, scoring, f"{folder}/scored_stream", f"{folder}/checkpoint", available_now=True)
         query.awaitTermination()
-        good = spark.read.parquet(f"{folder}/scored_stream/scored")
-        bad = spark.read.parquet(f"{folder}/scored_stream/rejected")
-        return good, bad
+        results = f"{folder}/scored_stream"
+        return streaming.read_results(spark, results), streaming.read_results(spark, results, "rejected")
 
     good, bad = run()
     # two measures per row; one row has no known group, one no content, all others score
