@@ -191,14 +191,22 @@ def score_rows(long: DataFrame, params: DataFrame, predictions: DataFrame, edge_
     )
 
 
-def with_profile(scored: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Add the counts of the predicted cluster; a row whose cluster has none is rejected.
+def with_profile(scored: DataFrame, profiles: DataFrame, whole: bool = False) -> DataFrame:
+    """Add how many training rows the predicted cluster has in all and in the row's bin.
 
-    ``profiles`` has (segment, cluster, ``cluster_counts``).
+    ``profiles`` has (segment, cluster, ``cluster_total``, ``cluster_counts``);
+    ``whole=True`` keeps the counts of all bins on every row too. A row whose
+    predicted cluster has no profile is rejected.
     """
-    out = scored
-    shown = profiles.select(*KEYS, F.col("cluster").alias("predicted_cluster"), "cluster_counts")
-    return out.join(shown, [*KEYS, "predicted_cluster"], "left").withColumn(
-        "reject_reason",
-        F.coalesce("reject_reason", F.when(F.col("cluster_counts").isNull(), "no profile of the cluster")),
+    shown = profiles.select(
+        *KEYS, F.col("cluster").alias("predicted_cluster"), "cluster_total", "cluster_counts"
     )
+    out = (
+        scored.join(shown, [*KEYS, "predicted_cluster"], "left")
+        .withColumn("cluster_in_bin", F.element_at("cluster_counts", F.col("bin")))
+        .withColumn(
+            "reject_reason",
+            F.coalesce("reject_reason", F.when(F.col("cluster_total").isNull(), "no profile of the cluster")),
+        )
+    )
+    return out if whole else out.drop("cluster_counts")

@@ -521,7 +521,8 @@ ORACLE["score_batch"] = with_(
 ORACLE["stream_score"] = with_(
     SCORED,
     f"""SELECT event_id, segment_group, feature, bin, predicted_cluster, round(probability, 6) AS probability, {THIRD} AS bin_third,
-    (SELECT CAST(sum(n) AS BIGINT) FROM cp WHERE cp.segment_group = scored.segment_group AND cp.cluster = scored.predicted_cluster) AS cluster_items
+    (SELECT CAST(sum(n) AS BIGINT) FROM cp WHERE cp.segment_group = scored.segment_group AND cp.cluster = scored.predicted_cluster) AS cluster_total,
+    (SELECT n FROM dense WHERE dense.segment_group = scored.segment_group AND dense.cluster = scored.predicted_cluster AND dense.bin = scored.bin) AS cluster_in_bin
 FROM scored""",
 )
 ORACLE["stream_rejects"] = """

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -96,26 +97,37 @@ class Parts:
     def binned(self) -> DataFrame:
         return binning.quantize(self.long, self.params)
 
+    @cached_property
     def profile(self) -> DataFrame:
         return settle(profiles.comb_profile(self.binned))
 
-    def ruled(self, profile: DataFrame) -> DataFrame:
+    @cached_property
+    def ruled(self) -> DataFrame:
         """Cluster of each (segment, combination) by rule: hour div 8."""
         hours = self.kept.select("comb", F.floor(F.col("hour") / 8).cast("int").alias("cluster"))
-        return profile.select(*KEYS, "comb").distinct().join(hours, "comb").select(*KEYS, "comb", "cluster")
+        members = self.profile.select(*KEYS, "comb").distinct()
+        return settle(members.join(hours, "comb").select(*KEYS, "comb", "cluster"))
 
-    def ruled_k(self, profile: DataFrame) -> DataFrame:
+    @cached_property
+    def ruled_k(self) -> DataFrame:
         """Labels for k = 2..6 by rule: hour mod k."""
         ks = F.explode(F.sequence(F.lit(2), F.lit(6))).alias("k")
         hours = self.kept.select("comb", "hour", ks)
-        members = profile.select(*KEYS, "comb").distinct()
-        return members.join(hours, "comb").select(
-            *KEYS, "comb", "k", (F.col("hour") % F.col("k")).cast("int").alias("cluster")
+        members = self.profile.select(*KEYS, "comb").distinct()
+        return settle(
+            members.join(hours, "comb").select(
+                *KEYS, "comb", "k", (F.col("hour") % F.col("k")).cast("int").alias("cluster")
+            )
         )
 
+    @cached_property
     def clusters(self) -> DataFrame:
-        profile = self.profile()
-        return settle(profiles.cluster_profile(profile.join(self.ruled(profile), [*KEYS, "comb"])))
+        return settle(profiles.cluster_profile(self.profile.join(self.ruled, [*KEYS, "comb"])))
+
+    @cached_property
+    def bin_model(self) -> DataFrame:
+        cells = model.training_cells(self.profile, self.ruled)
+        return settle(model.train_bin_model(cells, self.params))
 
 
 def prepared(spark: SparkSession, folder: str) -> Parts:
@@ -128,11 +140,6 @@ def prepared(spark: SparkSession, folder: str) -> Parts:
     return Parts(kept, rows, long, binning.bin_params(long))
 
 
-def ruled_model(parts: Parts) -> DataFrame:
-    profile = parts.profile()
-    return settle(model.train_bin_model(model.training_cells(profile, parts.ruled(profile)), parts.params))
-
-
 # --- scans ------------------------------------------------------------------
 
 
@@ -382,7 +389,7 @@ def box_stats(spark, folder):
 
 @query
 def comb_profile(spark, folder):
-    return prepared(spark, folder).profile()
+    return prepared(spark, folder).profile
 
 
 @query
@@ -394,24 +401,24 @@ def line_profile(spark, folder):
 
 @query
 def cluster_profile(spark, folder):
-    return prepared(spark, folder).clusters()
+    return prepared(spark, folder).clusters
 
 
 @query
 def cluster_profile_pct(spark, folder):
-    return rounded(profiles.profile_share(prepared(spark, folder).clusters()))
+    return rounded(profiles.profile_share(prepared(spark, folder).clusters))
 
 
 @query
 def profile_dense(spark, folder):
     parts = prepared(spark, folder)
-    return profiles.dense_profile(parts.clusters(), parts.params)
+    return profiles.dense_profile(parts.clusters, parts.params)
 
 
 @query
 def unpivot_profile(spark, folder):
     parts = prepared(spark, folder)
-    clicks = parts.clusters().where(F.col("segment_group") == "click")
+    clicks = parts.clusters.where(F.col("segment_group") == "click")
     wide = profiles.wide_profile(clicks, 20)
     return profiles.unpivot_profile(wide, [*KEYS, "cluster"], [f"c_{i}" for i in range(1, 21)])
 
@@ -419,20 +426,20 @@ def unpivot_profile(spark, folder):
 @query
 def hdr(spark, folder):
     parts = prepared(spark, folder)
-    return rounded(density.high_density_region(parts.clusters(), parts.params, HDR_EXCLUDED))
+    return rounded(density.high_density_region(parts.clusters, parts.params, HDR_EXCLUDED))
 
 
 @query
 def hdr_wide(spark, folder):
     parts = prepared(spark, folder)
-    return rounded(density.high_density_region(parts.clusters(), parts.params, 33.3))
+    return rounded(density.high_density_region(parts.clusters, parts.params, 33.3))
 
 
 @query
 def profile_json(spark, folder):
     """The nested segment documents, written as JSON and read back."""
     parts = prepared(spark, folder)
-    clustered = parts.clusters()
+    clustered = parts.clusters
     regions = density.high_density_region(clustered, parts.params, HDR_EXCLUDED)
     chosen = parts.params.select(*KEYS, F.lit(3).alias("k"))
     documents = profiles.profile_documents(
@@ -463,14 +470,14 @@ def profile_json(spark, folder):
 @query
 def label_rows(spark, folder):
     parts = prepared(spark, folder)
-    labeled = composition.label_rows(parts.binned, parts.ruled(parts.profile()))
+    labeled = composition.label_rows(parts.binned, parts.ruled)
     return labeled.select("event_id", *KEYS, "comb", "bin", "cluster")
 
 
 @query
 def cluster_composition(spark, folder):
     parts = prepared(spark, folder)
-    return rounded(composition.cluster_composition(parts.kept, parts.ruled(parts.profile()), CATS))
+    return rounded(composition.cluster_composition(parts.kept, parts.ruled, CATS))
 
 
 @query
@@ -479,21 +486,21 @@ def cluster_composition_segment(spark, folder):
     counted = parts.long.groupBy(*KEYS, "comb").agg(F.count("*").alias("n"))
     cells = counted.join(parts.kept.drop("n"), "comb")
     return rounded(
-        composition.cluster_composition(cells, parts.ruled(parts.profile()), CATS, scope="segment")
+        composition.cluster_composition(cells, parts.ruled, CATS, scope="segment")
     )
 
 
 @query
 def cluster_describe(spark, folder):
     parts = prepared(spark, folder)
-    ruled = settle(parts.ruled(parts.profile()))
+    ruled = parts.ruled
     return rounded(composition.cluster_describe(parts.rows, ruled, ["value", "user_id"]), 5)
 
 
 @query
 def cluster_describe_segment(spark, folder):
     parts = prepared(spark, folder)
-    ruled = settle(parts.ruled(parts.profile()))
+    ruled = parts.ruled
     rows = parts.rows.withColumn("segment_group", F.col("event_type"))
     return rounded(composition.cluster_describe(rows, ruled, ["value", "user_id"], scope="segment"), 5)
 
@@ -501,7 +508,7 @@ def cluster_describe_segment(spark, folder):
 @query
 def composition_union(spark, folder):
     parts = prepared(spark, folder)
-    ruled = settle(parts.ruled(parts.profile()))
+    ruled = parts.ruled
     counted = composition.cluster_composition(parts.kept, ruled, CATS)
     described = composition.cluster_describe(parts.rows, ruled, ["value"])
     return rounded(composition.composition_union(counted, described), 5)
@@ -510,29 +517,25 @@ def composition_union(spark, folder):
 @query
 def wcss(spark, folder):
     parts = prepared(spark, folder)
-    profile = parts.profile()
-    return rounded(clustering.within_cluster_ss(profile, parts.ruled_k(profile)), 5)
+    return rounded(clustering.within_cluster_ss(parts.profile, parts.ruled_k), 5)
 
 
 @query
 def silhouette_scores(spark, folder):
     parts = prepared(spark, folder)
-    profile = parts.profile()
-    return rounded(silhouette.silhouette_scores(profile, settle(parts.ruled_k(profile))))
+    return rounded(silhouette.silhouette_scores(parts.profile, parts.ruled_k))
 
 
 @query
 def silhouette_ordered(spark, folder):
     parts = prepared(spark, folder)
-    profile = parts.profile()
     # small blocks, so that combinations of one segment meet across many tiles
-    samples = silhouette.silhouette_samples(profile, settle(parts.ruled_k(profile)), block=32)
+    samples = silhouette.silhouette_samples(parts.profile, parts.ruled_k, block=32)
     return rounded(silhouette.order_samples(settle(samples)))
 
 
 def _ruled_scores(parts: Parts) -> DataFrame:
-    profile = parts.profile()
-    return settle(clustering.k_scores(profile, settle(parts.ruled_k(profile))))
+    return settle(clustering.k_scores(parts.profile, parts.ruled_k))
 
 
 @query
@@ -556,28 +559,28 @@ def elbow(spark, folder):
 
 @query
 def train_bin_model(spark, folder):
-    return rounded(ruled_model(prepared(spark, folder)))
+    return rounded(prepared(spark, folder).bin_model)
 
 
 @query
 def clf_accuracy(spark, folder):
-    return rounded(model.accuracy(ruled_model(prepared(spark, folder))))
+    return rounded(model.accuracy(prepared(spark, folder).bin_model))
 
 
 @query
 def clf_report(spark, folder):
-    return rounded(model.classification_report(ruled_model(prepared(spark, folder))))
+    return rounded(model.classification_report(prepared(spark, folder).bin_model))
 
 
 @query
 def clf_auroc(spark, folder):
-    return rounded(model.auroc(ruled_model(prepared(spark, folder))))
+    return rounded(model.auroc(prepared(spark, folder).bin_model))
 
 
 @query
 def model_metadata(spark, folder):
     parts = prepared(spark, folder)
-    record = model.model_metadata(ruled_model(parts), parts.params)
+    record = model.model_metadata(parts.bin_model, parts.params)
     mapping = F.array_join(
         F.transform(F.map_entries("label_mapping"), lambda e: F.concat(e.key, F.lit(":"), e.value)), ","
     )
@@ -587,7 +590,7 @@ def model_metadata(spark, folder):
 @query
 def score_batch(spark, folder):
     parts = prepared(spark, folder)
-    predictions = settle(model.bin_predictions(ruled_model(parts)))
+    predictions = settle(model.bin_predictions(parts.bin_model))
     long = segments.to_long(events(spark, folder), ["value"], "event_type", ["event_id"])
     scored = model.score_rows(long, parts.params, predictions)
     return rounded(
@@ -608,12 +611,12 @@ def score_batch(spark, folder):
 
 def _scoring_tables(parts: Parts, groups: list[str] | None = None) -> streaming.ScoringTables:
     params = parts.params if groups is None else settle(parts.params.where(F.col("segment_group").isin(groups)))
-    dense = profiles.dense_profile(parts.clusters(), params)
+    dense = profiles.dense_profile(parts.clusters, params)
     return streaming.ScoringTables(
         AnalysisSpec(name="events", grouping="event_type", categorical=CATS, continuous=["value"]),
         "events",
         params,
-        settle(model.bin_predictions(ruled_model(parts))),
+        settle(model.bin_predictions(parts.bin_model)),
         settle(streaming.cluster_counts(dense)),
     )
 
@@ -641,7 +644,8 @@ def stream_score(spark, folder):
             "predicted_cluster",
             F.array_max("probabilities").alias("probability"),
             "bin_third",
-            F.aggregate("cluster_counts", F.lit(0).cast("bigint"), lambda a, n: a + n).alias("cluster_items"),
+            "cluster_total",
+            "cluster_in_bin",
         )
     )
 
@@ -690,33 +694,29 @@ def run_time_text(spark, folder):
 def kmeans_fit(spark, folder):
     """Cluster sizes of distributed K-Means with three clusters, over all segments' combinations."""
     parts = prepared(spark, folder)
-    profile = parts.profile()
-    labels = clustering.sweep_labels(profile, parts.params, 3, 3, task_cells=0)
+    labels = clustering.sweep_labels(parts.profile, parts.params, 3, 3, task_cells=0)
     return labels.groupBy(*KEYS, "k", "cluster").agg(F.count("*").alias("combos"))
 
 
 @query
 def k_sweep(spark, folder):
     parts = prepared(spark, folder)
-    profile = parts.profile()
-    return rounded(clustering.k_scores(profile, clustering.sweep_labels(profile, parts.params, 2, 6)))
+    return rounded(clustering.k_scores(parts.profile, clustering.sweep_labels(parts.profile, parts.params, 2, 6)))
 
 
 @query
 def final_clusters(spark, folder):
     parts = prepared(spark, folder)
-    profile = parts.profile()
-    labels = clustering.sweep_labels(profile, parts.params, 2, 6)
-    scores = settle(clustering.k_scores(profile, labels))
+    labels = clustering.sweep_labels(parts.profile, parts.params, 2, 6)
+    scores = settle(clustering.k_scores(parts.profile, labels))
     best = kselect.optimal_k(kselect.from_first_peak(scores), 0.05)
-    return clustering.final_clusters(profile, labels, settle(best))
+    return clustering.final_clusters(parts.profile, labels, settle(best))
 
 
 @query
 def pca_projection(spark, folder):
     parts = prepared(spark, folder)
-    profile = parts.profile()
-    return rounded(clustering.project_2d(profile, parts.params, settle(parts.ruled(profile))))
+    return rounded(clustering.project_2d(parts.profile, parts.params, parts.ruled))
 
 
 @query

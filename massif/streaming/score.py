@@ -46,9 +46,10 @@ def load_scoring_tables(spark: SparkSession, folder: str, run_id: str | None = N
 
 
 def cluster_counts(profile: DataFrame) -> DataFrame:
-    """The dense profile of each cluster as one array, in bin order."""
+    """The dense profile of each cluster: its total, and its counts in bin order."""
     return profile.groupBy(*KEYS, "cluster").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("bin", "n"))), lambda c: c.n).alias("cluster_counts")
+        F.sum("n").cast("bigint").alias("cluster_total"),
+        F.transform(F.array_sort(F.collect_list(F.struct("bin", "n"))), lambda c: c.n).alias("cluster_counts"),
     )
 
 
@@ -64,7 +65,13 @@ def read_rows(
     return reader.options(**options).load(path)
 
 
-def score(rows: DataFrame, tables: ScoringTables, source: str = "stream", edge_rule: str = "right") -> DataFrame:
+def score(
+    rows: DataFrame,
+    tables: ScoringTables,
+    source: str = "stream",
+    edge_rule: str = "right",
+    whole_profile: bool = False,
+) -> DataFrame:
     """One scored record per row and measure, with its context or the reason it failed.
 
     Stateless: every row is joined to the run's tables and nothing else.
@@ -91,7 +98,8 @@ def score(rows: DataFrame, tables: ScoringTables, source: str = "stream", edge_r
         F.coalesce(F.when(empty, "no payload"), missing_group).alias("row_reason"),
         F.explode(F.array(*pairs)).alias("m"),
     ).select("instance", "segment_group", "row_reason", "m.feature", "m.value")
-    scored = model.with_profile(model.score_rows(long, tables.params, tables.predictions, edge_rule), tables.profiles)
+    scored = model.score_rows(long, tables.params, tables.predictions, edge_rule)
+    scored = model.with_profile(scored, tables.profiles, whole_profile)
     # a null group is a segment of its own when the run has one
     row_reason = F.when(
         (F.col("row_reason") != "grouping value absent") | F.col("predicted_cluster").isNull(), F.col("row_reason")

@@ -192,7 +192,7 @@ def test_saved_run_reads_back_and_scores_a_stream(spark, data, result, tmp_path)
     assert good.count() == 2 * 398 and bad.count() == 4
 
     batch = streaming.score(spark.read.schema(schema).parquet(str(incoming / "p*")), scoring)
-    same = ["run_id", "instance", "segment_group", "feature", "bin", "predicted_cluster", "probabilities", "title", "cluster_counts"]
+    same = ["run_id", "instance", "segment_group", "feature", "bin", "predicted_cluster", "probabilities", "title", "cluster_total", "cluster_in_bin"]
     assert sorted(map(str, good.select(*same).collect())) == sorted(
         map(str, batch.where("reject_reason is null").select(*same).collect())
     )

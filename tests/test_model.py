@@ -114,6 +114,8 @@ def test_scoring_rows_and_rejects(spark, trained):
         assert found[key].predicted_cluster is None and found[key].reject_reason == "no model or parameters"
     left = model.score_rows(long, params, model.bin_predictions(frame), edge_rule="left")
     assert {r.bin for r in left.where("value = 0.5").collect()} == {1}
-    profiles = spark.createDataFrame([("g", "f", 3, [1, 2])], "segment_group string, feature string, cluster int, cluster_counts array<int>")
+    profiles = spark.createDataFrame([("g", "f", 3, 12, [1, 2, 0, 9])], "segment_group string, feature string, cluster int, cluster_total int, cluster_counts array<int>")
+    shown = {(r.segment_group, r.value): r for r in model.with_profile(scored, profiles, whole=True).collect()}
+    assert (shown["g", 0.5].cluster_total, shown["g", 0.5].cluster_in_bin, shown["g", 0.5].cluster_counts) == (12, 1, [1, 2, 0, 9])
     reasons = {(r.segment_group, r.value): r.reject_reason for r in model.with_profile(scored, profiles).collect()}
     assert reasons["g", 0.5] is None and reasons["g", None] == "no profile of the cluster"
