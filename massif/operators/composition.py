@@ -65,8 +65,9 @@ def cluster_describe(
 
     ``rows`` has ``comb`` and the measures, and ``segment_group`` when
     ``scope='segment'``. With ``scope='all'`` a cluster describes all rows of its
-    combinations, in whatever group. Moments are first taken per combination and
-    then merged, so the rows are aggregated once however many segments there are.
+    combinations, in whatever group. Moments and value counts are first taken per
+    combination and then merged, so rows are counted once however many segments
+    there are.
     """
     if scope not in ("all", "segment"):
         raise ValueError("scope must be 'all' or 'segment'.")
@@ -104,7 +105,7 @@ def cluster_describe(
     )
     largest = moments.agg(F.max("count")).first()[0] or 0
     quartiles = exact_percentiles(
-        long.join(comb_cluster, on), keys, "value", [0.25, 0.5, 0.75], largest, group_rows
+        long, keys, "value", [0.25, 0.5, 0.75], largest, group_rows, members=comb_cluster, axis=["column"]
     )
     return (
         moments.join(squares, keys, "left")

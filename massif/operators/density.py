@@ -122,7 +122,8 @@ def density_histogram(
     A segment that cannot be cut keeps one row: flagged as without data when it
     has no value, with a null bin and density otherwise.
     """
-    counted = quantize(long, params).where(F.col("bin").isNotNull()).groupBy(*KEYS, "bin").agg(F.count("*").alias("c"))
+    valued = long.where(F.col("value").isNotNull())
+    counted = quantize(valued, params).groupBy(*KEYS, "bin").agg(F.count("*").alias("c"))
     width = (F.col("mx") - F.col("mn")) / F.col("n_bins")
     bars = counted.join(params.select(*KEYS, "n", "mn", "mx", "n_bins"), KEYS).select(
         *KEYS, "bin", F.col("c").alias("count"), (F.col("c") / (F.col("n") * width)).alias("density")

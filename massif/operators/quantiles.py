@@ -2,11 +2,15 @@
 
 Spark's ``percentile`` keeps every distinct value of a group in one task. That
 is fine while the largest group is known to be small. Beyond that the wanted
-order statistics are bracketed instead: each pass counts the rows of the current
-bracket in equal-width buckets (a partial aggregation, so a group of any size is
-spread over all tasks) and narrows the bracket to the one bucket that holds the
-rank. Brackets shrink to the values really present, so two distinct values
-always end up in different buckets and the search ends at an exact value.
+order statistics are bracketed instead: each pass counts the rows inside the
+current intervals in equal-width buckets (a partial aggregation, so a group of
+any size is spread over all tasks) and narrows each interval to the bucket that
+holds the rank. Intervals shrink to the values really present, so two distinct
+values always end up in different buckets and the search ends at exact values.
+
+Groups may overlap: ``members`` maps the row key to the groups it counts for.
+Rows are then counted once per row key, and only those counts are spread over
+the groups, so a row in many groups costs no more than a row in one.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ from massif.operators.bounded import settle
 
 GROUP_ROWS = 500_000
 BUCKETS = 4096
+SHARED_BUCKETS = 512
 
 
 def exact_percentiles(
@@ -29,29 +34,59 @@ def exact_percentiles(
     probs: Sequence[float],
     largest: int | None = None,
     group_rows: int = GROUP_ROWS,
-    buckets: int = BUCKETS,
+    buckets: int | None = None,
+    members: DataFrame | None = None,
+    axis: Sequence[str] | None = None,
 ) -> DataFrame:
     """One row per key with ``pct``: linear-interpolated percentiles of ``value``.
 
     ``largest`` is the row count of the biggest group when the caller knows it.
+    With ``members``, ``keys`` are its group columns, the other columns it shares
+    with ``df`` are the row key, and ``axis`` names the key columns whose values
+    are on one scale (they must be in ``df`` and in ``keys``).
     """
     keys = list(keys)
-    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias(value))
+    probs = [float(p) for p in probs]
+    if members is None:
+        row_keys, axis = keys, keys
+    else:
+        axis = list(axis or [])
+        row_keys = axis + [c for c in members.columns if c in df.columns and c not in axis]
+    rows = df.where(F.col(value).isNotNull()).select(*row_keys, F.col(value).cast("double").alias(value))
+    spread = _Spread(members, [c for c in row_keys if members is not None and c in members.columns])
     if largest is None:
-        largest = rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+        counted = spread(rows.groupBy(*row_keys).agg(F.count("*").alias("c")))
+        largest = counted.groupBy(*keys).agg(F.sum("c").alias("n")).agg(F.max("n")).first()[0] or 0
     if largest <= group_rows:
-        return rows.groupBy(*keys).agg(F.percentile(value, [float(p) for p in probs]).alias("pct"))
-    return _bracketed(rows, keys, value, [float(p) for p in probs], group_rows, buckets)
+        if members is None:
+            return rows.groupBy(*keys).agg(F.percentile(value, probs).alias("pct"))
+        valued = spread(rows.groupBy(*row_keys, value).agg(F.count("*").alias("c")))
+        return valued.groupBy(*keys).agg(F.percentile(value, probs, F.col("c")).alias("pct"))
+    return _bracketed(
+        rows, keys, row_keys, list(axis), spread, value, probs, group_rows, buckets or (BUCKETS if members is None else SHARED_BUCKETS)
+    )
+
+
+class _Spread:
+    """Counts per row key, spread over the groups the key belongs to."""
 
+    def __init__(self, members: DataFrame | None, on: list[str]):
+        self.members, self.on = members, on
 
-def _bracketed(rows, keys, value, probs, group_rows, buckets):
+    def __call__(self, counts: DataFrame) -> DataFrame:
+        return counts if self.members is None else counts.join(self.members, self.on)
+
+
+def _bracketed(rows, keys, row_keys, axis, spread, value, probs, group_rows, buckets):
     position = lambda p: F.lit(p) * (F.col("n") - 1)
     ranks = F.array(*[f(position(p)).cast("bigint") for p in probs for f in (F.floor, F.ceil)])
     extent = settle(
-        rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"))
+        rows.groupBy(*row_keys).agg(F.count("*").alias("c"), F.min(value).alias("lo"), F.max(value).alias("hi"))
     )
+    sizes = settle(spread(extent).groupBy(*keys).agg(F.sum("c").alias("n")))
+    whole = extent.groupBy(*axis).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     targets = settle(
-        extent.select(
+        sizes.join(whole, axis).select(
             *keys,
             F.explode(F.array_distinct(ranks)).alias("rank"),
             "lo",
@@ -60,27 +95,33 @@ def _bracketed(rows, keys, value, probs, group_rows, buckets):
             F.col("n").alias("inside"),
         )
     )
-    bracket = [*keys, "lo", "hi"]
+    interval = [*axis, "lo", "hi"]
+    in_group = [*dict.fromkeys([*keys, *interval])]
+    inside = F.col(value).between(F.col("lo"), F.col("hi"))
     is_open = (F.col("lo") < F.col("hi")) & (F.col("inside") > group_rows)
-    while targets.where(is_open).limit(1).count():
+    while not targets.where(is_open).isEmpty():
         # halves keep hi - lo finite over the whole double range
         share = (F.col(value) / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
         bucket = F.least(F.lit(buckets - 1), F.floor(share * buckets)).cast("int")
-        counted = (
-            rows.join(targets.where(is_open).select(*bracket).distinct(), keys)
-            .where(F.col(value).between(F.col("lo"), F.col("hi")))
-            .groupBy(*bracket, bucket.alias("bucket"))
+        cells = settle(
+            rows.join(targets.where(is_open).select(*interval).distinct(), axis)
+            .where(inside)
+            .groupBy(*row_keys, "lo", "hi", bucket.alias("bucket"))
             .agg(F.count("*").alias("c"), F.min(value).alias("bucket_lo"), F.max(value).alias("bucket_hi"))
         )
-        upto = F.sum("c").over(Window.partitionBy(*bracket).orderBy("bucket"))
-        counted = counted.withColumn("upto", upto)
+        bounds = cells.groupBy(*interval, "bucket").agg(
+            F.min("bucket_lo").alias("bucket_lo"), F.max("bucket_hi").alias("bucket_hi")
+        )
+        upto = F.sum("c").over(Window.partitionBy(*in_group).orderBy("bucket"))
+        counted = spread(cells).groupBy(*in_group, "bucket").agg(F.sum("c").alias("c")).withColumn("upto", upto)
+        found = (F.col("rank") < F.col("below") + F.col("upto")) & (
+            F.col("rank") >= F.col("below") + F.col("upto") - F.col("c")
+        )
         narrowed = (
             targets.where(is_open)
-            .join(counted, bracket)
-            .where(
-                (F.col("rank") < F.col("below") + F.col("upto"))
-                & (F.col("rank") >= F.col("below") + F.col("upto") - F.col("c"))
-            )
+            .join(counted, in_group)
+            .where(found)
+            .join(bounds, [*interval, "bucket"])
             .select(
                 *keys,
                 "rank",
@@ -92,27 +133,29 @@ def _bracketed(rows, keys, value, probs, group_rows, buckets):
         )
         targets = settle(targets.where(~is_open).unionByName(narrowed))
 
+    # what is left inside an interval is few enough to be ranked outright
     single = F.col("lo") == F.col("hi")
-    members = (
-        rows.join(targets.where(~single).select(*bracket).distinct(), keys)
-        .where(F.col(value).between(F.col("lo"), F.col("hi")))
-        .groupBy(*bracket)
-        .agg(F.sort_array(F.collect_list(value)).alias("members"))
+    valued = (
+        rows.join(targets.where(~single).select(*interval).distinct(), axis)
+        .where(inside)
+        .groupBy(*row_keys, "lo", "hi", value)
+        .agg(F.count("*").alias("c"))
     )
-    found = (
-        targets.where(single)
-        .select(*keys, "rank", F.col("lo").alias("at_rank"))
-        .unionByName(
-            targets.where(~single)
-            .join(members, bracket)
-            .select(
-                *keys,
-                "rank",
-                F.element_at("members", (F.col("rank") - F.col("below") + 1).cast("int")).alias("at_rank"),
-            )
-        )
+    ranked = (
+        spread(valued)
+        .groupBy(*in_group, value)
+        .agg(F.sum("c").alias("c"))
+        .withColumn("upto", F.sum("c").over(Window.partitionBy(*in_group).orderBy(value)))
     )
-    by_rank = found.groupBy(*keys).agg(
+    at_rank = (
+        targets.where(~single)
+        .join(ranked, in_group)
+        .where(F.col("rank") < F.col("below") + F.col("upto"))
+        .groupBy(*keys, "rank")
+        .agg(F.min(value).alias("at_rank"))
+    )
+    known = targets.where(single).select(*keys, "rank", F.col("lo").alias("at_rank")).unionByName(at_rank)
+    by_rank = known.groupBy(*keys).agg(
         F.map_from_entries(F.collect_list(F.struct("rank", "at_rank"))).alias("at")
     )
 
@@ -121,6 +164,4 @@ def _bracketed(rows, keys, value, probs, group_rows, buckets):
         high = F.element_at("at", F.ceil(position(p)).cast("bigint"))
         return low + (position(p) - F.floor(position(p))) * (high - low)
 
-    return extent.select(*keys, "n").join(by_rank, keys).select(
-        *keys, F.array(*[interpolated(p) for p in probs]).alias("pct")
-    )
+    return sizes.join(by_rank, keys).select(*keys, F.array(*[interpolated(p) for p in probs]).alias("pct"))

@@ -31,3 +31,21 @@ def test_bracketing_equals_numpy(spark, group_rows, buckets):
             assert np.allclose(exact.pct, expected, rtol=1e-12)
         else:
             assert np.allclose(found[g], np.percentile(values, [p * 100 for p in PROBS]), rtol=1e-12, atol=1e-12), g
+
+
+@pytest.mark.parametrize("group_rows,buckets", [(10**6, None), (200, 8), (1, 3), (50, None)])
+def test_overlapping_groups_count_rows_once_per_key(spark, group_rows, buckets):
+    rng = np.random.default_rng(5)
+    rows = [(c, col, float(v)) for c in range(6) for col, scale in (("x", 1), ("y", 1e6)) for v in rng.gamma(c + 1, scale, 60 + 40 * c)]
+    df = spark.createDataFrame(rows, "comb int, column string, v double")
+    groups = {("s", 0): [0, 1, 2], ("s", 1): [3, 4, 5], ("t", 0): [1, 5], ("t", 1): [0, 2, 3, 4], ("u", 0): [5]}
+    members = spark.createDataFrame([(s, k, c) for (s, k), cs in groups.items() for c in cs], "seg string, k int, comb int")
+    found = exact_percentiles(
+        df, ["seg", "k", "column"], "v", PROBS, group_rows=group_rows, buckets=buckets, members=members, axis=["column"]
+    )
+    by_key = {(r.seg, r.k, r.column): r.pct for r in found.collect()}
+    assert len(by_key) == 10
+    for (s, k), cs in groups.items():
+        for col in "xy":
+            values = [v for c, name, v in rows if c in cs and name == col]
+            assert np.allclose(by_key[s, k, col], np.percentile(values, [p * 100 for p in PROBS]), rtol=1e-12)
