@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from massif.operators.bounded import settle
 from massif.operators.segments import KEYS
-from massif.operators.silhouette import BLOCK, cluster_sizes, silhouette_scores
+from massif.operators.silhouette import BLOCK, Cells, cluster_sizes, silhouette_scores
 from massif.session import scratch_path
 
 SEED = 10
@@ -215,11 +215,10 @@ def _sweep_large(profile, params, min_k, max_k, threads, seed) -> DataFrame:
 
 
 def _matrix(pdf: pd.DataFrame) -> np.ndarray:
-    columns = np.unique(np.concatenate([np.asarray(b, dtype=np.int64) for b in pdf["bins"]]))
-    matrix = np.zeros((len(pdf), max(1, len(columns))))
-    for row, (bins, counts) in enumerate(zip(pdf["bins"], pdf["counts"])):
-        matrix[row, np.searchsorted(columns, np.asarray(bins, dtype=np.int64))] = counts
-    return matrix
+    """The histograms as rows over the bins filled in any of them."""
+    cells = Cells(pdf)
+    columns = np.unique(cells.bins)
+    return cells.dense(columns) if len(columns) else np.zeros((len(pdf), 1))
 
 
 def _square_distances(points: np.ndarray, centres: np.ndarray) -> np.ndarray:

@@ -98,7 +98,7 @@ def knee_cutoff(sizes: DataFrame, sensitivity: float = 1.0) -> DataFrame:
     down = Window.orderBy(F.desc("n"))
     so_far = down.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     earlier = down.rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    everything = down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     whole = lambda c: c.cast("decimal(38,0)")
 
     runs = (

@@ -25,6 +25,7 @@ from massif.operators.bounded import settle
 GROUP_ROWS = 500_000
 BUCKETS = 4096
 SHARED_BUCKETS = 512
+RANKED_ROWS = 20_000
 
 
 def exact_percentiles(
@@ -50,7 +51,9 @@ def exact_percentiles(
     if members is None:
         row_keys, axis = keys, keys
     else:
-        axis = list(axis or [])
+        if not axis:
+            raise ValueError("Overlapping groups need an axis.")
+        axis = list(axis)
         row_keys = axis + [c for c in members.columns if c in df.columns and c not in axis]
     rows = df.where(F.col(value).isNotNull()).select(*row_keys, F.col(value).cast("double").alias(value))
     spread = _Spread(members, [c for c in row_keys if members is not None and c in members.columns])
@@ -98,7 +101,7 @@ def _bracketed(rows, keys, row_keys, axis, spread, value, probs, group_rows, buc
     interval = [*axis, "lo", "hi"]
     in_group = [*dict.fromkeys([*keys, *interval])]
     inside = F.col(value).between(F.col("lo"), F.col("hi"))
-    is_open = (F.col("lo") < F.col("hi")) & (F.col("inside") > group_rows)
+    is_open = (F.col("lo") < F.col("hi")) & (F.col("inside") > min(group_rows, RANKED_ROWS))
     while not targets.where(is_open).isEmpty():
         # halves keep hi - lo finite over the whole double range
         share = (F.col(value) / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
@@ -113,7 +116,8 @@ def _bracketed(rows, keys, row_keys, axis, spread, value, probs, group_rows, buc
             F.min("bucket_lo").alias("bucket_lo"), F.max("bucket_hi").alias("bucket_hi")
         )
         upto = F.sum("c").over(Window.partitionBy(*in_group).orderBy("bucket"))
-        counted = spread(cells).groupBy(*in_group, "bucket").agg(F.sum("c").alias("c")).withColumn("upto", upto)
+        wanted = targets.where(is_open).select(*in_group).distinct()
+        counted = spread(cells).join(wanted, in_group, "left_semi").groupBy(*in_group, "bucket").agg(F.sum("c").alias("c")).withColumn("upto", upto)
         found = (F.col("rank") < F.col("below") + F.col("upto")) & (
             F.col("rank") >= F.col("below") + F.col("upto") - F.col("c")
         )
@@ -141,8 +145,10 @@ def _bracketed(rows, keys, row_keys, axis, spread, value, probs, group_rows, buc
         .groupBy(*row_keys, "lo", "hi", value)
         .agg(F.count("*").alias("c"))
     )
+    wanted = targets.where(~single).select(*in_group).distinct()
     ranked = (
         spread(valued)
+        .join(wanted, in_group, "left_semi")
         .groupBy(*in_group, value)
         .agg(F.sum("c").alias("c"))
         .withColumn("upto", F.sum("c").over(Window.partitionBy(*in_group).orderBy(value)))

@@ -23,16 +23,39 @@ BIN_CHUNK = 4096
 TILE_SCHEMA = "segment_group string, feature string, comb bigint, k int, cluster int, other int, dist_sum double"
 
 
+class Cells:
+    """The filled cells of some histograms, sorted by bin, to be laid out chunk by chunk."""
+
+    def __init__(self, pdf: pd.DataFrame):
+        self.rows = len(pdf)
+        lengths = [len(b) for b in pdf["bins"]]
+        bins = np.concatenate([np.asarray(b, dtype=np.int64) for b in pdf["bins"]] + [np.empty(0, np.int64)])
+        counts = np.concatenate([np.asarray(c, dtype=float) for c in pdf["counts"]] + [np.empty(0)])
+        order = np.argsort(bins, kind="stable")
+        self.bins, self.counts = bins[order], counts[order]
+        self.row = np.repeat(np.arange(self.rows), lengths)[order]
+
+    def dense(self, columns: np.ndarray) -> np.ndarray:
+        """Rows x columns for an ascending run of bins."""
+        matrix = np.zeros((self.rows, len(columns)))
+        if len(columns):
+            low, high = np.searchsorted(self.bins, [columns[0], columns[-1] + 1])
+            at = np.searchsorted(columns, self.bins[low:high])
+            here = columns[at] == self.bins[low:high]
+            matrix[self.row[low:high][here], at[here]] = self.counts[low:high][here]
+        return matrix
+
+
 def _tile_sums(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     group, feature, low, high = key
     sides = [pdf[pdf["block"] == low], pdf[pdf["block"] == high]]
-    columns = np.unique(np.concatenate([np.asarray(b, dtype=np.int64) for b in pdf["bins"]] or [[]]))
-    shape = (len(sides[0]), len(sides[1]))
-    dots = np.zeros(shape)
-    for start in range(0, len(columns), BIN_CHUNK):
-        chunk = columns[start : start + BIN_CHUNK]
-        dense = [_dense(side, chunk) for side in sides]
-        dots += dense[0] @ dense[1].T
+    cells = [Cells(side) for side in sides]
+    # only bins filled on both sides add to the dot products
+    shared = np.intersect1d(cells[0].bins, cells[1].bins)
+    dots = np.zeros((len(sides[0]), len(sides[1])))
+    for start in range(0, len(shared), BIN_CHUNK):
+        chunk = shared[start : start + BIN_CHUNK]
+        dots += cells[0].dense(chunk) @ cells[1].dense(chunk).T
     norms = [side["norm"].to_numpy() for side in sides]
     distance = np.sqrt(np.maximum(norms[0][:, None] + norms[1][None, :] - 2.0 * dots, 0.0))
     parts = [_sums_by_cluster(sides[0], sides[1], distance)]
@@ -44,16 +67,6 @@ def _tile_sums(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
-def _dense(side: pd.DataFrame, chunk: np.ndarray) -> np.ndarray:
-    matrix = np.zeros((len(side), len(chunk)))
-    for row, (bins, counts) in enumerate(zip(side["bins"], side["counts"])):
-        bins = np.asarray(bins, dtype=np.int64)
-        at = np.searchsorted(chunk, bins)
-        here = (at < len(chunk)) & (chunk[np.minimum(at, len(chunk) - 1)] == bins)
-        matrix[row, at[here]] = np.asarray(counts)[here]
-    return matrix
-
-
 def _sums_by_cluster(rows: pd.DataFrame, others: pd.DataFrame, distance: np.ndarray) -> pd.DataFrame:
     if not len(rows) or not len(others):
         return pd.DataFrame({"comb": [], "k": [], "cluster": [], "other": [], "dist_sum": []})

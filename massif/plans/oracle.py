@@ -434,7 +434,7 @@ best AS (SELECT segment_group, feature, max(k) AS k
     WHERE stopped = 0 GROUP BY ALL)"""
 
 ORACLE["wcss"] = with_(RULED_K, "SELECT segment_group, feature, k, round(wcss, 5) AS wcss FROM wcss")
-ORACLE["silhouette_scores"] = with_(
+ORACLE["silhouette"] = with_(
     RULED_K, "SELECT segment_group, feature, k, round(silhouette, 6) AS silhouette FROM sil"
 )
 ORACLE["silhouette_ordered"] = with_(

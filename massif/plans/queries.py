@@ -51,7 +51,7 @@ FEATURE_NAMES = {"value": "Event value"}
 
 
 def query(function: Query) -> Query:
-    QUERIES[function.__name__] = function
+    QUERIES[function.__name__.removesuffix("_query")] = function
     return function
 
 
@@ -314,7 +314,7 @@ def display_names(spark, folder):
 def percentiles_exact(spark, folder):
     """Percentiles by bracketing, the way taken for groups too large for one task."""
     long = segments.to_long(spark.read.parquet(f"{folder}/lineitem.parquet"), ["l_extendedprice"], "l_returnflag")
-    found = exact_percentiles(long, KEYS, "value", [0.0, 0.25, 0.5, 0.9, 1.0], group_rows=100, buckets=64)
+    found = exact_percentiles(long, KEYS, "value", [0.0, 0.25, 0.5, 0.9, 1.0], group_rows=1000, buckets=256)
     names = ["p0", "p25", "p50", "p90", "p100"]
     return rounded(found.select(*KEYS, *[F.col("pct")[i].alias(name) for i, name in enumerate(names)]), 4)
 
@@ -521,7 +521,7 @@ def wcss(spark, folder):
 
 
 @query
-def silhouette_scores(spark, folder):
+def silhouette_query(spark, folder):
     parts = prepared(spark, folder)
     return rounded(silhouette.silhouette_scores(parts.profile, parts.ruled_k))
 

@@ -212,6 +212,17 @@ def test_stream_without_grouping_or_with_a_missing_column(spark, data, result, t
     scored = streaming.score(spark.createDataFrame(trips(rows=50)), scoring)
     assert scored.where("reject_reason is not null").isEmpty() and scored.count() == 50
 
+    incoming = tmp_path / "csv"
+    incoming.mkdir()
+    trips(rows=50)[["trip", "hours"]].to_csv(incoming / "a.csv", index=False)
+    rows = streaming.read_rows(spark, str(incoming), "trip bigint, hours double")
+    streaming.start_scoring(rows, scoring, f"{folder}/s", f"{folder}/c", available_now=True, source="a.csv").awaitTermination()
+    found = streaming.read_results(spark, f"{folder}/s")
+    assert found.count() == 50 and found.where("source = 'a.csv'").count() == 50
+    assert found.where("value is null and bin is null and predicted_cluster is not null").count() == 2
+    with pytest.raises(ValueError):
+        streaming.read_results(spark, f"{folder}/s", "lost")
+
 
 def test_several_analyses_in_order(spark, data, tmp_path):
     path = str(tmp_path / "trips.parquet")
