@@ -308,8 +308,7 @@ ORACLE["cluster_profile_pct"] = with_(
 ORACLE["profile_dense"] = with_(KEPT, "SELECT segment_group, feature, cluster, bin, n FROM dense")
 ORACLE["unpivot_profile"] = with_(
     KEPT,
-    """SELECT segment_group, feature, cluster, 'c_' || bin AS classes, CAST(n AS DOUBLE) AS count, bin AS class_num
-FROM dense WHERE segment_group = 'click' AND bin <= 20""",
+    """SELECT segment_group, feature, cluster, 'c_' || bin AS classes, CAST(n AS DOUBLE) AS count, bin AS class_num FROM dense""",
 )
 
 

@@ -417,10 +417,13 @@ def profile_dense(spark, folder):
 
 @query
 def unpivot_profile(spark, folder):
+    """Wide to the widest segment, long again, each segment to its own bins."""
     parts = prepared(spark, folder)
-    clicks = parts.clusters.where(F.col("segment_group") == "click")
-    wide = profiles.wide_profile(clicks, 20)
-    return profiles.unpivot_profile(wide, [*KEYS, "cluster"], [f"c_{i}" for i in range(1, 21)])
+    widest = parts.params.agg(F.max("n_bins")).first()[0]
+    wide = profiles.wide_profile(parts.clusters, widest)
+    long = profiles.unpivot_profile(wide, [*KEYS, "cluster"], [f"c_{i}" for i in range(1, widest + 1)])
+    own = parts.params.select(*KEYS, "n_bins")
+    return long.join(own, KEYS).where(F.col("class_num") <= F.col("n_bins")).drop("n_bins")
 
 
 @query
