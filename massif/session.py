@@ -43,5 +43,6 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_folder(spark)}/massif/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, under the application's own folder."""
+    application = spark.sparkContext.applicationId
+    return f"{shared_folder(spark)}/massif/{application}/{label}-{uuid.uuid4().hex}"
