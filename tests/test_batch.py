@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from massif.operators import bounded
 from massif.operators.segments import KEYS
 from massif.plans.batch import analyze, run_all, save
 from massif.plans.spec import AnalysisSpec
@@ -236,3 +237,23 @@ def test_several_analyses_in_order(spark, data, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out" / "runs")).count() == 2
     with pytest.raises(ValueError):
         run_all(spark, [AnalysisSpec(name="nameless")], str(tmp_path / "out"))
+
+
+def test_stored_tables_and_shuffle_joins_give_the_same_result(spark, data, result, monkeypatch):
+    """Nothing fits the driver or a broadcast: every settled table is stored, every join shuffles."""
+    monkeypatch.setattr(bounded.settle, "__defaults__", (0, 0))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = analyze(data, SPEC)
+        for name in ("combos", "comb_profile", "k_labels", "hdr", "cluster_describe", "composition", "model_metadata"):
+            mine, usual = (
+                sorted(
+                    tuple(f"{v:.9g}" if isinstance(v, float) else str(v) for v in r)
+                    for r in frame.select(sorted(frame.columns)).collect()
+                )
+                for frame in (out[name], result[name])
+            )
+            assert mine == usual, name
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
