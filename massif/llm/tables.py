@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from massif.operators.bounded import stored
 from massif.session import shared_folder
 
-__all__ = ["read_table", "stored", "fresh", "text_or_empty", "local_conf_int"]
+__all__ = ["read_table", "stored", "written", "fresh", "text_or_empty", "local_conf_int"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,3 +38,11 @@ def local_conf_int(spark: SparkSession, key: str, default: int) -> int:
 
 def ensure_shared(spark: SparkSession) -> None:
     shared_folder(spark)
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` to the shared folder, read it back, and let go of the shuffle files behind it."""
+    out = stored(df, label)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out

@@ -118,27 +118,28 @@ def sliding_min(values: np.ndarray, size: int) -> np.ndarray:
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def winnow(grams: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per window of ``size`` consecutive grams, the place of its smallest gram (rightmost of equal ones).
+#: Bits of a place in a chunk, below the leading bits of its gram's hash.
+PLACE_BITS = U(31)
 
-    The choice depends on the window's content alone, so equal windows choose the
-    same place. Returns (distinct places in order, index of each window's place).
+
+def anchors(grams: np.ndarray, size: int, window: int, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Winnowing: every window of ``window`` values inside one document chooses one of its grams.
+
+    ``grams`` are the hashes of all slices of ``size`` values. The choice (the least leading
+    bits, the rightmost of equal ones) depends on the window's content alone, so equal
+    windows choose the same gram at the same place in them. Returns per chosen place: the
+    place, the first window start that chose it, and how many consecutive starts did.
     """
-    if len(grams) < size:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    least = sliding_min(grams, size)
-    spots = np.arange(len(grams), dtype=np.int64)
-    # the rightmost place at or before the window's end that holds the minimum: a gram is chosen
-    # by the windows for which it is the last of the smallest; those form one run of starts
-    n = len(least)
-    place = np.full(n, -1, np.int64)
-    open_ = np.arange(n)
-    for back in range(size):
-        if not len(open_):
-            break
-        at = open_ + size - 1 - back
-        hit = grams[at] == least[open_]
-        place[open_[hit]] = spots[at[hit]]
-        open_ = open_[~hit]
-    chosen = np.concatenate([[True], place[1:] != place[:-1]])
-    return place[chosen], np.cumsum(chosen) - 1
+    span = window - size + 1
+    if len(grams) < span:
+        return (np.zeros(0, np.int64),) * 3
+    last = (U(1) << PLACE_BITS) - U(1)
+    packed = (grams & ~last) | (last - np.arange(len(grams), dtype=U))
+    place = (last - (sliding_min(packed, span) & last)).astype(np.int64)
+    valid = np.ones(len(place), bool)
+    for end in bounds[1:]:
+        valid[max(0, end - window + 1) : end] = False
+    starts = np.flatnonzero(valid)
+    chosen = place[starts]
+    new = np.flatnonzero(np.concatenate([[True], chosen[1:] != chosen[:-1]])) if len(chosen) else np.zeros(0, np.int64)
+    return chosen[new], starts[new], np.diff(np.append(new, len(starts)))
