@@ -95,9 +95,8 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str =
     winners = rows.groupBy("digest").agg(best, F.count("*").alias("group_size"))
     winners = stored(winners.select("digest", F.col("best.id").alias("keep_id"), F.col("best.row").alias("keep_row"), "group_size"), "winners")
     append_new(spark, winners, index)
-    # read as plain files: both sides of the join below are exchanged, so a hot digest can be split
     known = spark.read.parquet(index.path).select("digest", F.col("keep_id").alias("held_id"))
-    groups = stored(winners.join(known, "digest"), "groups")
+    groups = winners.join(known, "digest")
     same = F.col("held_id").eqNullSafe(F.col("keep_id"))
     # an indexed text keeps the indexed id; its row stays only if that very document is here again
     again = rows.groupBy("digest", "id").agg(F.min("row").alias("first_row"))
@@ -108,6 +107,8 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str =
         F.when(same, F.col("keep_row")).otherwise(F.coalesce("first_row", F.lit(-1))).alias("keep_row"),
         "group_size",
     )
+    # stored, so that the join exchanges both sides and a hot digest can be split
+    groups = stored(groups, "groups")
     out = rows.join(groups, "digest").select(
         F.col("id").alias(id_col), "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "digest"
     )

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massif.llm import chat_format, exact_dedup, packing, substring_dedup, suffix_dedup, token_output
+from massif.llm import chat_format, exact_dedup, ngram_join, packing, substring_dedup, suffix_dedup, token_output
 from massif.llm.tables import read_table, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,9 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.remove_repeated_bytes(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join.near_duplicates(read_table(spark, sf_dir, "documents"), words=3, num=90, den=100)
+    return found.select("doc_id", "n_shingles", "component_id", "class_size")
