@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massif.llm import chat_format, exact_dedup, ngram_join, packing, substring_dedup, suffix_dedup, token_output
+from massif.llm import chat_format, exact_dedup, labelled, ngram_join, packing, quality, substring_dedup, suffix_dedup, token_output, toxicity
 from massif.llm.tables import read_table, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +104,19 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ngram_join.near_duplicates(read_table(spark, sf_dir, "documents"), words=3, num=90, den=100)
     return found.select("doc_id", "n_shingles", "component_id", "class_size")
+
+
+@query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (read_table(spark, sf_dir, t) for t in ("documents", "labels"))
+    held = labelled.fold("doc_id", 5) == 0
+    scored = toxicity.score_toxicity(docs, labels, ~held)
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (read_table(spark, sf_dir, t) for t in ("documents", "labels"))
+    held = labelled.fold("doc_id", 4) == 2
+    scored = quality.score_quality(docs, labels, ~held)
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= quality.KEEP_FROM).cast("int").alias("predicted"))

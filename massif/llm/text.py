@@ -83,17 +83,20 @@ class Rolling:
 
 
 class Words:
-    """The words ``[^\\x20\\x09-\\x0D]+`` of a chunk: byte ranges, first word of each document, hashes."""
+    """The words of a chunk: byte ranges, first word of each document, hashes.
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
+    Words are ``[^\\x20\\x09-\\x0D]+``, or runs of the bytes that ``letters`` allows.
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, letters: np.ndarray | None = None):
         n = len(data)
         if lower:
             data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
         self.data = data
-        inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
+        inside = ~((data == 32) | ((data >= 9) & (data <= 13))) if letters is None else letters[data]
         edge = np.zeros(n + 1, bool)
         edge[offsets] = True
-        first, last = inside.copy(), inside
+        first = inside.copy()
         first[1:] &= ~inside[:-1] | edge[1:n]
         last = inside.copy()
         last[:-1] &= ~inside[1:] | edge[1:n]
