@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massif.llm import chat_format, exact_dedup, labelled, ngram_join, packing, quality, substring_dedup, suffix_dedup, token_output, toxicity
+from massif.llm import chat_format, decontaminate, exact_dedup, labelled, ngram_join, packing, quality, substring_dedup, suffix_dedup, token_output, toxicity
 from massif.llm.tables import read_table, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,3 +120,9 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = labelled.fold("doc_id", 4) == 2
     scored = quality.score_quality(docs, labels, ~held)
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= quality.KEEP_FROM).cast("int").alias("predicted"))
+
+
+@query
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = (read_table(spark, sf_dir, t) for t in ("documents", "benchmark"))
+    return decontaminate.find_leaks(docs, benchmark).select("doc_id", "item_id", "cosine", "lcs_share", "answer_share")
