@@ -95,7 +95,7 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str =
     winners = rows.groupBy("digest").agg(best, F.count("*").alias("group_size"))
     winners = stored(winners.select("digest", F.col("best.id").alias("keep_id"), F.col("best.row").alias("keep_row"), "group_size"), "winners")
     append_new(spark, winners, index)
-    known = spark.read.parquet(index.path).select("digest", F.col("keep_id").alias("held_id"))
+    known = spark.read.schema(spark.table(index.table).schema).parquet(index.path).select("digest", F.col("keep_id").alias("held_id"))
     groups = winners.join(known, "digest")
     same = F.col("held_id").eqNullSafe(F.col("keep_id"))
     # an indexed text keeps the indexed id; its row stays only if that very document is here again
