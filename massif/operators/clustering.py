@@ -3,29 +3,32 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.feature import PCA, StandardScaler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from massif.operators.bounded import settle
 from massif.operators.segments import KEYS
-from massif.operators.silhouette import BLOCK, Cells, cluster_sizes, silhouette_scores
+from massif.operators.silhouette import BLOCK, cluster_sizes, silhouette_scores
 from massif.session import scratch_path
 
 SEED = 10
 MAX_ITERATIONS = 300
 TOLERANCE = 1e-4
 CELLS_PER_PARTITION = 1_000_000
-TASK_CELLS = 5_000_000
+#: Directions carried by the projection, and how often they are multiplied by the histograms.
+DIRECTIONS = 6
+PASSES = 10
 
 LABEL_SCHEMA = "segment_group string, feature string, k int, comb bigint, cluster int"
 POINT_SCHEMA = "segment_group string, feature string, comb bigint, pc1 double, pc2 double"
@@ -43,19 +46,30 @@ class SegmentVectors:
     cells: int
 
 
-def fit_kmeans(
-    features: DataFrame, k: int, rows: int | None = None, seed: int = SEED
-) -> KMeansModel:
+class OneCluster:
+    """The model of a single cluster: its centre is the mean of the rows."""
+
+    def __init__(self, centre: np.ndarray):
+        self.centre = centre
+
+    def clusterCenters(self) -> list[np.ndarray]:  # noqa: N802  as the models of Spark
+        return [self.centre]
+
+    def transform(self, features: DataFrame) -> DataFrame:
+        return features.withColumn("prediction", F.lit(0))
+
+
+def fit_kmeans(features: DataFrame, k: int, rows: int | None = None, seed: int = SEED) -> KMeansModel | OneCluster:
     """Fit K-Means on a ``features`` vector column with a fixed seed."""
-    if isinstance(k, bool) or not isinstance(k, int) or k <= 0:
-        raise ValueError(f"Number of clusters (k) must be positive, got {k}.")
+    if isinstance(k, bool) or not isinstance(k, int) or k < 1:
+        raise ValueError(f"k has to be a whole number from 1 on, not {k!r}.")
     rows = features.count() if rows is None else rows
     if rows == 0:
-        raise ValueError("Cannot cluster empty data.")
+        raise ValueError("There are no rows to fit clusters to.")
     if k > rows:
-        raise ValueError(f"Number of clusters (k={k}) cannot be greater than number of samples ({rows}).")
+        raise ValueError(f"{rows} rows cannot be divided into k={k} clusters.")
     if k == 1:
-        raise ValueError("Spark's K-Means needs at least two clusters; one cluster is the mean of the rows.")
+        return OneCluster(features.select(Summarizer.mean(F.col("features"))).first()[0].toArray())
     return KMeans(k=k, seed=seed, maxIter=MAX_ITERATIONS, tol=TOLERANCE).fit(features)
 
 
@@ -64,11 +78,11 @@ def k_range(min_k: int, max_k: int, combos: int) -> range:
     return range(max(2, min_k), min(max_k, combos - 1) + 1)
 
 
-def store_vectors(profile: DataFrame, params: DataFrame) -> tuple[str, list[SegmentVectors]]:
+def store_vectors(profile: DataFrame, params: DataFrame) -> tuple[str, Iterator[SegmentVectors]]:
     """Write the sparse histogram of each (segment, comb), one folder per segment.
 
     The struct written is the storage form of an ML vector, so reading it back
-    with a vector schema needs no conversion per row.
+    with a vector schema needs no conversion per row. The segments come one by one.
     """
     numbered = settle(
         params.select(*KEYS, "n_bins").withColumn(
@@ -85,8 +99,8 @@ def store_vectors(profile: DataFrame, params: DataFrame) -> tuple[str, list[Segm
             "comb",
             F.struct(
                 F.lit(0).cast("tinyint").alias("type"),
-                F.col("n_bins").alias("size"),
-                F.col("cells.i").alias("indices"),
+                F.col("n_bins").cast("int").alias("size"),
+                F.col("cells.i").cast("array<int>").alias("indices"),
                 F.col("cells.v").alias("values"),
             ).alias("features"),
         )
@@ -98,11 +112,8 @@ def store_vectors(profile: DataFrame, params: DataFrame) -> tuple[str, list[Segm
         .agg(F.countDistinct("comb").alias("combos"), F.count("*").alias("cells"))
         .join(numbered, KEYS)
     )
-    segments = [
-        SegmentVectors(r.segment_id, r.segment_group, r.feature, r.n_bins, r.combos, r.cells)
-        for r in counts.orderBy("segment_id").toLocalIterator()
-    ]
-    return path, segments
+    listed = settle(counts).orderBy("segment_id").toLocalIterator()
+    return path, (SegmentVectors(r.segment_id, r.segment_group, r.feature, r.n_bins, r.combos, r.cells) for r in listed)
 
 
 def read_vectors(spark: SparkSession, path: str, segment: SegmentVectors) -> DataFrame:
@@ -125,145 +136,43 @@ def read_vectors(spark: SparkSession, path: str, segment: SegmentVectors) -> Dat
     )
 
 
-def histogram_rows(profile: DataFrame) -> DataFrame:
-    """One row per (segment, comb): its filled bins and their counts, in bin order."""
-    cell = F.when(F.col("bin").isNotNull(), F.struct("bin", F.col("n").cast("double").alias("n")))
-    return (
-        profile.groupBy(*KEYS, "comb")
-        .agg(F.array_sort(F.collect_list(cell)).alias("cells"))
-        .select(*KEYS, "comb", F.col("cells.bin").alias("bins"), F.col("cells.n").alias("counts"))
-    )
-
-
-def split_by_size(profile: DataFrame, params: DataFrame, task_cells: int) -> tuple[DataFrame, DataFrame]:
-    """Segments whose combinations x bins fit one task, and the others."""
-    sizes = settle(
-        profile.groupBy(*KEYS)
-        .agg(F.countDistinct("comb").alias("combos"))
-        .join(params.select(*KEYS, "n_bins"), KEYS)
-        .withColumn("area", F.col("combos").cast("double") * F.col("n_bins"))
-    )
-    return sizes.where(F.col("area") <= task_cells), sizes.where(F.col("area") > task_cells)
-
-
 def sweep_labels(
-    profile: DataFrame,
-    params: DataFrame,
-    min_k: int,
-    max_k: int,
-    threads: int = 8,
-    seed: int = SEED,
-    task_cells: int = TASK_CELLS,
+    profile: DataFrame, params: DataFrame, min_k: int, max_k: int, threads: int = 8, seed: int = SEED
 ) -> DataFrame:
     """Cluster labels (segment, k, comb, cluster) for every k in range of every segment.
 
-    Segments small enough for one task are fitted side by side, one task input
-    per (segment, k), in a single job however many segments there are. Larger
-    segments are fitted by distributed K-Means.
-    """
-    small, large = split_by_size(profile, params, task_cells)
-    low, high = F.lit(max(2, min_k)), F.least(F.lit(max_k).cast("bigint"), F.col("combos") - 1).cast("int")
-    tested = small.where(high >= low).select(*KEYS, F.explode(F.sequence(low, high)).alias("k"))
-    fitted = (
-        histogram_rows(profile.join(small.select(*KEYS), KEYS, "left_semi"))
-        .join(tested, KEYS)
-        .withColumn("seed", F.lit(seed))
-        .groupBy(*KEYS, "k")
-        .applyInPandas(_fit_group, LABEL_SCHEMA)
-    )
-    if large.isEmpty():
-        return settle(fitted)
-    distributed = _sweep_large(
-        profile.join(large.select(*KEYS), KEYS, "left_semi"), params, min_k, max_k, threads, seed
-    )
-    return settle(fitted.unionByName(distributed))
-
-
-def _sweep_large(profile, params, min_k, max_k, threads, seed) -> DataFrame:
-    """The fits are independent Spark jobs, submitted from a few driver threads;
+    Every fit is a Spark ML job over the stored histograms, whatever the size of the segment.
+    A few are submitted at a time; only their segments are held in memory, and
     each writes its labels, so no label passes through the driver.
     """
     spark = profile.sparkSession
     path, segments = store_vectors(profile, params)
     out = scratch_path(spark, "labels")
-    frames = {s.segment_id: read_vectors(spark, path, s).persist() for s in segments}
-    pairs = [(s, k) for s in segments for k in k_range(min_k, max_k, s.combos)]
-
-    def fit(pair: tuple[SegmentVectors, int]) -> str:
-        segment, k = pair
-        frame = frames[segment.segment_id]
-        model = fit_kmeans(frame, k, segment.combos, seed)
-        target = f"{out}/part-{segment.segment_id}-{k}"
-        model.transform(frame).select(
+
+    def fit(task: tuple[SegmentVectors, DataFrame, int]) -> None:
+        segment, frame, k = task
+        fit_kmeans(frame, k, segment.combos, seed).transform(frame).select(
             F.lit(segment.segment_group).alias("segment_group"),
             F.lit(segment.feature).alias("feature"),
             F.lit(k).alias("k"),
             "comb",
             F.col("prediction").alias("cluster"),
-        ).write.parquet(target)
-        return target
-
-    try:
-        with ThreadPoolExecutor(max_workers=threads) as pool:
-            written = list(pool.map(fit, pairs))
-    finally:
-        for frame in frames.values():
-            frame.unpersist()
-    if not written:
+        ).write.parquet(f"{out}/part-{segment.segment_id}-{k}")
+
+    fitted = 0
+    with ThreadPoolExecutor(max_workers=threads) as pool:
+        while some := list(islice(segments, threads)):
+            frames = [(s, read_vectors(spark, path, s).persist()) for s in some]
+            try:
+                fitted += len(list(pool.map(fit, [(s, frame, k) for s, frame in frames for k in k_range(min_k, max_k, s.combos)])))
+            finally:
+                for _, frame in frames:
+                    frame.unpersist()
+    if not fitted:
         return spark.createDataFrame([], LABEL_SCHEMA)
     return spark.read.schema(LABEL_SCHEMA).parquet(f"{out}/part-*")
 
 
-def _matrix(pdf: pd.DataFrame) -> np.ndarray:
-    """The histograms as rows over the bins filled in any of them."""
-    cells = Cells(pdf)
-    columns = np.unique(cells.bins)
-    return cells.dense(columns) if len(columns) else np.zeros((len(pdf), 1))
-
-
-def _square_distances(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    cross = points @ centres.T
-    return np.maximum((points**2).sum(1)[:, None] + (centres**2).sum(1)[None, :] - 2.0 * cross, 0.0)
-
-
-def _seed_centres(points: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    """Spread-out starting points: of a few candidates drawn by squared distance, the best."""
-    chosen = [int(rng.integers(len(points)))]
-    nearest = _square_distances(points, points[chosen])[:, 0]
-    tries = 2 + int(math.log(k))
-    while len(chosen) < k and nearest.sum() > 0:
-        drawn = rng.choice(len(points), size=tries, p=nearest / nearest.sum())
-        after = np.minimum(nearest[:, None], _square_distances(points, points[drawn]))
-        best = int(after.sum(0).argmin())
-        chosen.append(int(drawn[best]))
-        nearest = after[:, best]
-    return points[chosen]
-
-
-def _kmeans_labels(points: np.ndarray, k: int, seed: int) -> np.ndarray:
-    centres = _seed_centres(points, k, np.random.default_rng(seed))
-    limit = TOLERANCE * points.var(0).mean()
-    for _ in range(MAX_ITERATIONS):
-        labels = _square_distances(points, centres).argmin(1)
-        members = np.eye(len(centres))[labels]
-        sizes = members.sum(0)
-        moved = np.where(sizes[:, None] > 0, members.T @ points / np.maximum(sizes, 1)[:, None], centres)
-        shift = ((moved - centres) ** 2).sum()
-        centres = moved
-        if shift <= limit:
-            break
-    return _square_distances(points, centres).argmin(1)
-
-
-def _fit_group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    group, feature, k = key
-    pdf = pdf.sort_values("comb", ignore_index=True)
-    labels = _kmeans_labels(_matrix(pdf), int(k), int(pdf["seed"].iloc[0]))
-    return pd.DataFrame(
-        {"segment_group": group, "feature": feature, "k": int(k), "comb": pdf["comb"], "cluster": labels}
-    )
-
-
 def within_cluster_ss(profile: DataFrame, labels: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     """WCSS per (segment, k) from labels: sum of squares less the clusters' share."""
     one_k = [*KEYS, "k"]
@@ -303,23 +212,16 @@ def final_clusters(profile: DataFrame, labels: DataFrame, chosen: DataFrame) ->
     return at_k.join(numbers, [*KEYS, "raw"]).select(*KEYS, "comb", "cluster")
 
 
-def project_2d(profile: DataFrame, params: DataFrame, labels: DataFrame, task_cells: int = TASK_CELLS) -> DataFrame:
+def project_2d(profile: DataFrame, params: DataFrame, labels: DataFrame) -> DataFrame:
     """First two principal components of the histograms and of the cluster centres.
 
-    Signs are fixed so that the largest loading of a component is positive.
-    Segments with fewer than two bins or combinations have no projection.
+    Signs are fixed so that the largest loading of a component is positive; a component
+    without variance is 0. Segments with fewer than two bins or combinations have no projection.
     ``labels`` is (segment, comb, cluster); a centre is the mean of its members.
     """
-    small, large = split_by_size(profile, params.where(F.col("n_bins") > 1), task_cells)
-    several = F.col("combos") > 1
-    points = (
-        histogram_rows(profile.join(small.where(several).select(*KEYS), KEYS, "left_semi"))
-        .groupBy(*KEYS)
-        .applyInPandas(_project_group, POINT_SCHEMA)
-    )
-    if not large.isEmpty():
-        distributed = profile.join(large.where(several).select(*KEYS), KEYS, "left_semi")
-        points = points.unionByName(_project_large(distributed, params))
+    sizes = profile.groupBy(*KEYS).agg(F.countDistinct("comb").alias("combos"))
+    wanted = sizes.join(params.where("n_bins > 1").select(*KEYS), KEYS).where("combos > 1")
+    points = _components(profile.join(wanted.select(*KEYS), KEYS, "left_semi"))
     members = points.join(labels.select(*KEYS, "comb", "cluster"), [*KEYS, "comb"])
     centres = members.groupBy(*KEYS, "cluster").agg(F.avg("pc1").alias("pc1"), F.avg("pc2").alias("pc2"))
     columns = [*KEYS, "kind", "comb", "cluster", "pc1", "pc2"]
@@ -330,42 +232,76 @@ def project_2d(profile: DataFrame, params: DataFrame, labels: DataFrame, task_ce
     )
 
 
-def _signs(loadings: np.ndarray) -> list[float]:
-    """+1 or -1 per component (a column), making its largest loading positive."""
-    return [1.0 if axis[abs(axis).argmax()] >= 0 else -1.0 for axis in loadings.T]
+def _components(profile: DataFrame) -> DataFrame:
+    """(segment, comb, pc1, pc2) of all segments at once, by subspace iteration over the cells.
 
-
-def _project_group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    group, feature = key
-    pdf = pdf.sort_values("comb", ignore_index=True)
-    points = _matrix(pdf)
-    centred = points - points.mean(0)
-    axes = np.linalg.svd(centred, full_matrices=False)[2][:2].T
-    placed = centred @ axes * _signs(axes)
-    second = placed[:, 1] if placed.shape[1] > 1 else 0.0
-    return pd.DataFrame(
-        {"segment_group": group, "feature": feature, "comb": pdf["comb"], "pc1": placed[:, 0], "pc2": second}
-    )
-
-
-def _project_large(profile: DataFrame, params: DataFrame) -> DataFrame:
-    spark = profile.sparkSession
-    path, segments = store_vectors(profile, params)
-    points = spark.createDataFrame([], POINT_SCHEMA)
-    for s in segments:
-        raw = read_vectors(spark, path, s)
-        scaler = StandardScaler(inputCol="features", outputCol="centred", withMean=True, withStd=False).fit(raw)
-        centred = scaler.transform(raw)
-        model = PCA(k=2, inputCol="centred", outputCol="pc").fit(centred)
-        signs = _signs(model.pc.toArray())
-        axes = vector_to_array("pc")
-        points = points.unionByName(
-            model.transform(centred).select(
-                F.lit(s.segment_group).alias("segment_group"),
-                F.lit(s.feature).alias("feature"),
-                "comb",
-                (axes[0] * signs[0]).alias("pc1"),
-                (axes[1] * signs[1]).alias("pc2"),
-            )
-        )
-    return points
+    Directions are rows (segment, bin) and scores rows (segment, comb), with ``DIRECTIONS`` numbers each;
+    histograms are centred by centring the scores, so nothing is ever as wide as the bins. Per segment
+    only products of directions, a small matrix, come together.
+    """
+    axes = range(DIRECTIONS)
+    cells = settle(profile.where(F.col("bin").isNotNull()).select(*KEYS, "comb", "bin", F.col("n").cast("double").alias("n")))
+    combos_ = settle(profile.select(*KEYS, "comb").distinct())
+    # repeatable starting numbers, spread over (-1, 1)
+    start = [(F.xxhash64("bin", F.lit(j)) / F.lit(float(1 << 63))).alias(f"v{j}") for j in axes]
+    directions = cells.select(*KEYS, "bin").distinct().select(*KEYS, "bin", *start)
+    products = [F.sum(F.col(f"v{i}") * F.col(f"v{j}")).alias(f"g{i}_{j}") for i in axes for j in axes if i <= j]
+
+    def scores(directions: DataFrame) -> DataFrame:
+        raw = cells.join(directions, [*KEYS, "bin"]).groupBy(*KEYS, "comb").agg(*[F.sum(F.col("n") * F.col(f"v{j}")).alias(f"v{j}") for j in axes])
+        raw = combos_.join(raw, [*KEYS, "comb"], "left").select(*KEYS, "comb", *[F.coalesce(f"v{j}", F.lit(0.0)).alias(f"v{j}") for j in axes])
+        raw = settle(raw)
+        means = raw.groupBy(*KEYS).agg(*[F.avg(f"v{j}").alias(f"m{j}") for j in axes])
+        return raw.join(means, KEYS).select(*KEYS, "comb", *[(F.col(f"v{j}") - F.col(f"m{j}")).alias(f"v{j}") for j in axes])
+
+    def turned(rows: DataFrame, name: str, basis: DataFrame) -> DataFrame:
+        turn = [sum((F.col(f"v{i}") * F.col("t")[i * DIRECTIONS + j] for i in axes), F.lit(0.0)).alias(f"v{j}") for j in axes]
+        return rows.join(basis, KEYS).select(*KEYS, name, *turn)
+
+    for _ in range(PASSES):
+        image = cells.join(scores(directions), [*KEYS, "comb"]).groupBy(*KEYS, "bin").agg(*[F.sum(F.col("n") * F.col(f"v{j}")).alias(f"v{j}") for j in axes])
+        image = settle(image)
+        # scaled by the largest number first, so that products stay in range
+        top = F.greatest(*[F.max(F.abs(f"v{j}")) for j in axes])
+        scale = image.groupBy(*KEYS).agg(top.alias("top"))
+        image = image.join(scale, KEYS).select(*KEYS, "bin", *[F.when(F.col("top") > 0, F.col(f"v{j}") / F.col("top")).otherwise(0.0).alias(f"v{j}") for j in axes])
+        basis = image.groupBy(*KEYS).agg(*products).groupBy(*KEYS).applyInPandas(_orthonormal, BASIS_SCHEMA)
+        directions = settle(turned(image, "bin", basis))
+    found = scores(directions)
+    rotation = settle(found.groupBy(*KEYS).agg(*products).groupBy(*KEYS).applyInPandas(_rotation, BASIS_SCHEMA))
+    loading = turned(directions, "bin", rotation)
+    largest = [F.max_by(f"v{j}", F.struct(F.abs(f"v{j}"), -F.col("bin"))) for j in (0, 1)]
+    signs = loading.groupBy(*KEYS).agg(*[F.when(x < 0, -1.0).otherwise(1.0).alias(f"s{j}") for j, x in enumerate(largest)])
+    placed = turned(found, "comb", rotation).join(signs, KEYS)
+    return placed.select(*KEYS, "comb", (F.col("v0") * F.col("s0")).alias("pc1"), (F.col("v1") * F.col("s1")).alias("pc2"))
+
+
+BASIS_SCHEMA = "segment_group string, feature string, t array<double>"
+
+
+def _products(pdf: pd.DataFrame) -> np.ndarray:
+    """The small symmetric matrix of one segment."""
+    out = np.zeros((DIRECTIONS, DIRECTIONS))
+    for i in range(DIRECTIONS):
+        for j in range(i, DIRECTIONS):
+            out[i, j] = out[j, i] = pdf[f"g{i}_{j}"].iloc[0]
+    return out
+
+
+def _basis(key: tuple, matrix: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"segment_group": [key[0]], "feature": [key[1]], "t": [matrix.ravel().tolist()]})
+
+
+def _orthonormal(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    """The turn that makes a segment's directions orthonormal; directions without length become 0."""
+    values, vectors = np.linalg.eigh(_products(pdf))
+    kept = values > max(values.max(), 0.0) * 1e-13
+    scaled = np.where(kept, 1 / np.sqrt(np.where(kept, values, 1.0)), 0.0)
+    return _basis(key, (vectors * scaled)[:, ::-1])
+
+
+def _rotation(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    """The turn to principal components, largest variance first; those without variance become 0."""
+    values, vectors = np.linalg.eigh(_products(pdf))
+    kept = values > max(values.max(), 0.0) * 1e-12
+    return _basis(key, (vectors * kept)[:, ::-1])

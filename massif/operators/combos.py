@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from massif.operators.bounded import join_null_safe, settle, stored
 
 SMALLEST_CUTOFF = 2
-ONE_TASK_COMBOS = 1_000_000
+#: Columns that a wide 0/1 view may have.
+WIDEST = 5000
 
 
 def comb_sizes(df: DataFrame, categoricals: Sequence[str]) -> DataFrame:
@@ -21,18 +22,15 @@ def comb_sizes(df: DataFrame, categoricals: Sequence[str]) -> DataFrame:
     return df.groupBy(*categoricals).agg(F.count("*").alias("n"))
 
 
-def number_combos(sizes: DataFrame, categoricals: Sequence[str], one_task: int = ONE_TASK_COMBOS) -> DataFrame:
+def number_combos(sizes: DataFrame, categoricals: Sequence[str]) -> DataFrame:
     """Add ``comb``: 1-based rank of the tuple in sorted order, nulls first.
 
-    ``sizes`` has one row per tuple. Up to ``one_task`` tuples are ranked by one
-    window. More are range-partitioned on the tuple, written once, ranked within
-    each partition and shifted by the number of tuples in the partitions before.
+    ``sizes`` has one row per tuple. The tuples are range-partitioned, written once, ranked
+    within each partition and shifted by the number of tuples in the partitions before.
     """
     cats = list(categoricals)
     if not cats:
         return sizes.withColumn("comb", F.lit(1).cast("bigint"))
-    if sizes.limit(one_task + 1).count() <= one_task:
-        return sizes.withColumn("comb", F.row_number().over(Window.orderBy(*cats)).cast("bigint"))
     ranged = stored(sizes.repartitionByRange(*cats).withColumn("part", F.spark_partition_id()), "ranged")
     parts = settle(ranged.groupBy("part").agg(F.count("*").alias("in_part")))
     before = F.coalesce(F.sum("in_part").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -80,7 +78,7 @@ def size_stats(sizes: DataFrame) -> DataFrame:
 def percentile_cutoff(sizes: DataFrame, percent: int) -> DataFrame:
     """One row ``threshold``: the percentile of the sizes, rounded up, at least 2."""
     if not 0 <= percent <= 100:
-        raise ValueError("Percentile must be between 0 and 100.")
+        raise ValueError(f"A percentile cut-off lies between p0 and p100, not at p{percent}.")
     at = F.ceil(F.percentile("n", percent / 100.0)).cast("bigint")
     return sizes.agg(F.greatest(F.lit(SMALLEST_CUTOFF).cast("bigint"), at).alias("threshold"))
 
@@ -149,28 +147,31 @@ def knee_cutoff(sizes: DataFrame, sensitivity: float = 1.0) -> DataFrame:
 
 def cutoff(sizes: DataFrame | None, spec: int | str) -> int:
     """The minimum combination size for an int, ``pXX`` or ``auto-knee[(S=x)]``."""
-    if isinstance(spec, int) and not isinstance(spec, bool):
-        return spec
-    if sizes is None or not sizes.limit(1).count():
+    kind, number = parsed_cutoff(spec)
+    if kind == "size":
+        return number
+    if sizes is None or sizes.isEmpty():
         return SMALLEST_CUTOFF
-    text = str(spec).lower()
-    if text.startswith("p"):
-        try:
-            percent = int(text[1:])
-        except ValueError as exc:
-            raise ValueError(f"Invalid percentile format: {spec!r}. Use 'pXX'.") from exc
-        return percentile_cutoff(sizes, percent).first()[0]
+    found = percentile_cutoff(sizes, number) if kind == "percentile" else knee_cutoff(sizes, number)
+    return found.first()[0]
+
+
+def parsed_cutoff(spec: int | str) -> tuple[str, float]:
+    """(``size``, rows), (``percentile``, percent) or (``knee``, sensitivity)."""
+    if isinstance(spec, int) and not isinstance(spec, bool):
+        return "size", spec
+    text = str(spec).strip().lower()
+    if re.fullmatch(r"p\d+", text):
+        return "percentile", int(text[1:])
     if text.startswith("auto-knee"):
-        return knee_cutoff(sizes, knee_sensitivity(text)).first()[0]
-    raise ValueError(f"Invalid threshold configuration string: {spec}.")
+        return "knee", knee_sensitivity(text)
+    raise ValueError(f"{spec!r} is no cut-off: a number of rows, 'p' and a whole percentile, or 'auto-knee'.")
 
 
 def knee_sensitivity(spec: str) -> float:
-    found = re.search(r"s=([\d.]+)", spec, re.IGNORECASE)
-    try:
-        return float(found.group(1)) if found else 1.0
-    except ValueError:
-        return 1.0
+    """The number after ``S=``; 1 where there is none."""
+    found = re.search(r"s=(\d+(?:\.\d*)?|\.\d+)(?![\d.])", spec, re.IGNORECASE)
+    return float(found.group(1)) if found else 1.0
 
 
 # --- rows -------------------------------------------------------------------
@@ -206,38 +207,59 @@ def categorical_values(df: DataFrame, categoricals: Sequence[str]) -> DataFrame:
     return pairs.where(F.col("value").isNotNull()).distinct()
 
 
+def one_hot_long(df: DataFrame, categoricals: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """The ones of the 0/1 view as rows (kept columns, column, value), for any number of values.
+
+    A null is no value, so a row of nulls has no ones.
+    """
+    valid = [c for c in categoricals if c in df.columns]
+    entries = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in valid])
+    if not valid:
+        return df.select(*keep, F.lit("").alias("column"), F.lit("").alias("value")).limit(0)
+    long = df.select(*keep, F.explode(entries).alias("__one"))
+    return long.select(*keep, "__one.column", "__one.value").where(F.col("value").isNotNull())
+
+
 def one_hot(
     df: DataFrame,
     categoricals: Sequence[str],
     grouping: str | None = None,
     measures: Sequence[str] = (),
     keep: Sequence[str] = (),
+    values: Sequence[tuple[str, str]] | None = None,
 ) -> DataFrame:
     """Wide 0/1 view: grouping, measures, then one column per categorical value.
 
-    Null gives all zeros. Names come from the values found, so a column whose
-    name merely starts like a categorical is never mistaken for one.
+    Null gives all zeros. Names come from the values, so a column whose name merely starts
+    like a categorical is never mistaken for one. ``values`` lists the (column, value)
+    pairs to show; without it all values found are, up to ``WIDEST`` columns. Beyond
+    that ``one_hot_long`` is the form to use.
     """
     valid = [c for c in categoricals if c in df.columns]
     head = list(dict.fromkeys(c for c in [*keep, grouping, *measures] if c and c in df.columns))
     if not valid:
         return df.select(*head)
-    return df.select(*[c for c in head if c not in valid], *_indicators(df, valid))
+    return df.select(*[c for c in head if c not in valid], *_indicators(df, valid, values))
 
 
 def one_hot_names(df: DataFrame, categoricals: Sequence[str]) -> list[str]:
     """Names of the one-hot columns, sorted."""
     valid = [c for c in categoricals if c in df.columns]
-    if not valid:
-        return []
-    return sorted(f"{r['column']}_{r['value']}" for r in categorical_values(df, valid).collect())
+    return [name for name, _, _ in _shown_values(df, valid, None)] if valid else []
 
 
-def _indicators(df: DataFrame, valid: list[str]):
-    # one output column per value, so the list is bounded by what a schema can hold
-    found = sorted(
-        ((f"{r['column']}_{r['value']}", r["column"], r["value"]) for r in categorical_values(df, valid).collect())
-    )
+def _shown_values(df: DataFrame, valid: list[str], values: Sequence[tuple[str, str]] | None) -> list[tuple[str, str, str]]:
+    """(name, column, value) of the wide columns, by name."""
+    if values is None:
+        found = categorical_values(df, valid).limit(WIDEST + 1).collect()
+        if len(found) > WIDEST:
+            raise ValueError(f"More than {WIDEST} categorical values: name the ones to show, or use the long form.")
+        values = [(r["column"], r["value"]) for r in found]
+    return sorted((f"{c}_{v}", c, v) for c, v in values if c in valid)
+
+
+def _indicators(df: DataFrame, valid: list[str], values: Sequence[tuple[str, str]] | None):
     return [
-        F.when(F.col(column).cast("string") == value, 1.0).otherwise(0.0).alias(name) for name, column, value in found
+        F.when(F.col(column).cast("string") == value, 1.0).otherwise(0.0).alias(name)
+        for name, column, value in _shown_values(df, valid, values)
     ]

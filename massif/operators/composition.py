@@ -13,6 +13,7 @@ from massif.operators.quantiles import GROUP_ROWS, exact_percentiles
 from massif.operators.segments import KEYS
 
 CLUSTER = [*KEYS, "cluster"]
+SHARES = 64
 
 
 def label_rows(rows: DataFrame, comb_cluster: DataFrame) -> DataFrame:
@@ -44,8 +45,12 @@ def cluster_composition(
     )
     values = texts.unpivot(["n"], cats, "column", "value").where(F.col("value").isNotNull())
     values = values.select("column", "value").distinct()
+    # there are few columns: values are dealt over shares of each, so that the join has many keys
+    share = F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1)))
     columns = F.explode(F.array(*[F.lit(c) for c in cats])).alias("column")
-    spine = totals.select("*", columns).join(values, "column")
+    listed = totals.select("*", columns).withColumn("share", share)
+    values = values.withColumn("share", F.pmod(F.hash("value"), F.lit(SHARES)))
+    spine = listed.join(values, ["column", "share"]).drop("share")
     return (
         spine.join(counted, [*CLUSTER, "column", "value"], "left")
         .withColumn("count", F.coalesce("count", F.lit(0)).cast("bigint"))

@@ -177,7 +177,7 @@ def score_rows(long: DataFrame, params: DataFrame, predictions: DataFrame, edge_
     binned = long.join(params.select(*KEYS, "mn", "mx", "n_bins"), KEYS, "left").withColumn("bin", placed_bin(edge_rule))
     edge = lambda i: published_edge(i, F.col("mn"), F.col("mx"), F.col("n_bins"))
     title = F.format_string(
-        "Instance Prediction: Raw Value %.2f classified as Cluster %d", F.col("value"), F.col("predicted_cluster")
+        "value %.2f: cluster %d", F.col("value"), F.col("predicted_cluster")
     )
     no_model = F.col("n_bins").isNull() | F.col("predicted_cluster").isNull()
     return (

@@ -57,7 +57,12 @@ def _tile_sums(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         chunk = shared[start : start + BIN_CHUNK]
         dots += cells[0].dense(chunk) @ cells[1].dense(chunk).T
     norms = [side["norm"].to_numpy() for side in sides]
-    distance = np.sqrt(np.maximum(norms[0][:, None] + norms[1][None, :] - 2.0 * dots, 0.0))
+    square = norms[0][:, None] + norms[1][None, :]
+    apart = np.maximum(square - 2.0 * dots, 0.0)
+    # nearly equal histograms: the difference of large numbers is taken again from the counts
+    for i, j in zip(*np.nonzero(apart < square * 1e-6), strict=True):
+        apart[i, j] = _square_distance(sides[0].iloc[i], sides[1].iloc[j])
+    distance = np.sqrt(apart)
     parts = [_sums_by_cluster(sides[0], sides[1], distance)]
     if low != high:
         parts.append(_sums_by_cluster(sides[1], sides[0], distance.T))
@@ -67,6 +72,14 @@ def _tile_sums(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
+def _square_distance(one: pd.Series, other: pd.Series) -> float:
+    """Squared distance of two histograms from the differences of their counts."""
+    bins = np.concatenate([one["bins"], other["bins"]]).astype(np.int64)
+    counts = np.concatenate([one["counts"], -np.asarray(other["counts"], dtype=float)])
+    _, at = np.unique(bins, return_inverse=True)
+    return float((np.bincount(at, counts) ** 2).sum()) if len(bins) else 0.0
+
+
 def _sums_by_cluster(rows: pd.DataFrame, others: pd.DataFrame, distance: np.ndarray) -> pd.DataFrame:
     if not len(rows) or not len(others):
         return pd.DataFrame({"comb": [], "k": [], "cluster": [], "other": [], "dist_sum": []})

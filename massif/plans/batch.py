@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massif.operators import binning, clustering, combos, composition, density, kselect, model, profiles, segments
+from massif.operators import binning, clustering, combos, composition, density, kselect, model, profiles, segments, silhouette
 from massif.operators.bounded import settle, stored
 from massif.operators.segments import KEYS
 from massif.plans.spec import AnalysisSpec
@@ -73,7 +73,7 @@ def prepare(df: DataFrame, spec: AnalysisSpec, measures: list[str], grouping: st
     threshold = combos.cutoff(sizes, spec.min_combination_size)
     kept = settle(combos.number_combos(sizes.where(F.col("n") >= threshold), cats))
     if kept.isEmpty():
-        raise ValueError(f"No data meets the minimum combination size threshold of {threshold}.")
+        raise ValueError(f"No combination reaches the minimum combination size of {threshold}.")
     columns = list(dict.fromkeys(c for c in [grouping, *cats, *measures] if c))
     filtered = stored(combos.with_comb(df.select(*columns), kept, cats), "filtered")
     return Prepared(cells, sizes, threshold, kept, settle(combos.with_comb(cells, kept, cats)), filtered)
@@ -86,6 +86,10 @@ def analyze(df: DataFrame, spec: AnalysisSpec, threads: int = 8, run_id: str | N
     measures = [m for m in spec.continuous if m in df.columns] or numeric_columns(df, spec.categorical)
     measures = [m for m in measures if m != spec.grouping]
     grouping = segments.check_roles(df, spec.grouping, spec.categorical, measures)
+    unknown = [c for c in spec.categorical if c not in df.columns]
+    if unknown:
+        log.warning("categorical columns that the rows lack are left out: %s", ", ".join(unknown))
+        spec = replace(spec, categorical=[c for c in spec.categorical if c in df.columns])
     run_id = run_id or run_id_for(spec)
 
     base = prepare(df, spec, measures, grouping)
@@ -95,10 +99,10 @@ def analyze(df: DataFrame, spec: AnalysisSpec, threads: int = 8, run_id: str | N
     kept_cells = segments.select_groups(base.kept_cells, "segment_group", spec.groups if grouping else ())
     stats = settle(binning.stats_from_cells(kept_cells, measures))
     if stats.isEmpty():
-        raise ValueError("No data groups left after filtering.")
+        raise ValueError("The selection of groups left no rows: no groups left to analyse.")
     params = binning.bin_params(long, spec.n_bins, spec.units, stats=stats)
     if params.isEmpty():
-        raise ValueError("No data to cluster after aggregation.")
+        raise ValueError("No segment can be cut into bins; aggregation leaves nothing to cluster.")
 
     profile = settle(profiles.comb_profile(binning.quantize(long, params)))
     cats = spec.categorical
@@ -120,9 +124,11 @@ def analyze(df: DataFrame, spec: AnalysisSpec, threads: int = 8, run_id: str | N
         is_optimal = F.coalesce(F.col("k") == F.col("best"), F.lit(False))
         return made["k_metrics"].join(best, KEYS, "left").withColumn("is_optimal", is_optimal).drop("best")
 
-    def dense():
-        clustered = profiles.cluster_profile(profile.join(made["comb_cluster"], [*KEYS, "comb"]))
-        return settle(profiles.dense_profile(clustered, params))
+    def clustered():
+        return settle(profiles.cluster_profile(profile.join(made["comb_cluster"], [*KEYS, "comb"])))
+
+    def at_best():
+        return made["k_labels"].join(made["optimal_k"].select(*KEYS, "k"), [*KEYS, "k"])
 
     makers: dict[str, Callable[[], DataFrame]] = {
         "initial_density": initial_density,
@@ -138,21 +144,25 @@ def analyze(df: DataFrame, spec: AnalysisSpec, threads: int = 8, run_id: str | N
         "optimal_k": optimal_k,
         "k_scores": flagged_scores,
         "comb_cluster": lambda: settle(clustering.final_clusters(profile, made["k_labels"], made["optimal_k"])),
-        "cluster_counts": dense,
+        "filled_counts": clustered,
+        "cluster_counts": lambda: settle(profiles.dense_profile(made["filled_counts"], params)),
         "cluster_profile": lambda: profiles.profile_share(made["cluster_counts"]),
         "hdr": lambda: settle(
-            density.high_density_region(made["cluster_counts"], params, spec.hdr_excluded_percent)
+            density.high_density_region(made["filled_counts"], params, spec.hdr_excluded_percent)
         ),
         "cluster_describe": lambda: settle(composition.cluster_describe(filtered, made["comb_cluster"], measures)),
         "bin_model": lambda: settle(
             model.train_bin_model(model.training_cells(profile, made["comb_cluster"]), params)
         ),
+        "silhouette_samples": lambda: silhouette.order_samples(settle(silhouette.silhouette_samples(profile, at_best()))),
+        "projection": lambda: clustering.project_2d(profile, params, made["comb_cluster"]),
         "model_metadata": lambda: model.model_metadata(made["bin_model"], params),
         "classification_report": lambda: model.classification_report(made["bin_model"]),
         "profile_documents": lambda: profiles.profile_documents(
             made["cluster_counts"], params, density.hdr_profile(made["hdr"]), made["optimal_k"]
         ),
-        "runs": lambda: run_summary(spark, spec, run_id, measures, base.threshold),
+        # the stored parameters are those in effect, so that the run can be scored
+        "runs": lambda: run_summary(spark, replace(spec, continuous=measures, grouping=grouping), run_id, measures, base.threshold),
     }
     if cats:
         makers["composition"] = lambda: settle(composition.cluster_composition(kept, made["comb_cluster"], cats))
@@ -187,7 +197,7 @@ def run_summary(spark: SparkSession, spec: AnalysisSpec, run_id: str, measures:
 
 
 # tables that others repeat with more columns
-STEPS_ONLY = ("k_metrics", "cluster_counts")
+STEPS_ONLY = ("k_metrics", "cluster_counts", "filled_counts")
 JSON_TABLES = ("profile_documents", "composition_documents")
 
 

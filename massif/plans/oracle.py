@@ -515,7 +515,7 @@ ORACLE["score_batch"] = with_(
     f"""SELECT event_id, segment_group, feature, bin, predicted_cluster, round(probability, 6) AS probability,
     (SELECT CAST(count(*) AS INTEGER) FROM classes c WHERE c.segment_group = scored.segment_group) AS n_classes,
     round({edge('bin - 1')}, 6) AS bin_lower, round({edge('bin')}, 6) AS bin_upper, {THIRD} AS bin_third,
-    format('Instance Prediction: Raw Value {{:.2f}} classified as Cluster {{}}', value, predicted_cluster) AS title FROM scored""",
+    format('value {{:.2f}}: cluster {{}}', value, predicted_cluster) AS title FROM scored""",
 )
 ORACLE["stream_score"] = with_(
     SCORED,
@@ -542,3 +542,30 @@ ORACLE["run_time_text"] = with_(
     RUNS,
     """SELECT DISTINCT run_id, CASE WHEN malformed THEN 'an unknown time' ELSE strftime(ts, '%B %d, %Y, at %H:%M:%S UTC') END AS run_time FROM runs""",
 )
+
+# --- facts of fitted steps ----------------------------------------------------
+
+WHOLE = f"""{KEPT},
+bins_of AS (SELECT segment_group, feature, bin, sum(n) AS s, sum(n * n) AS s2 FROM profile WHERE bin IS NOT NULL GROUP BY ALL),
+combos_of AS (SELECT segment_group, feature, count(DISTINCT comb) AS combos FROM profile GROUP BY ALL),
+total AS (SELECT segment_group, feature, round(sum(s2 - s * s * 1e0 / combos), 4) AS total_ss
+    FROM bins_of JOIN combos_of USING (segment_group, feature) GROUP BY ALL)"""
+
+ORACLE["k_sweep_facts"] = with_(
+    WHOLE,
+    """SELECT segment_group, feature, k, combos AS labelled, combos, TRUE AS at_most_k, total_ss, TRUE AS not_wider, TRUE AS silhouette_in_range
+    FROM (SELECT *, CAST(unnest(range(2, least(6, combos - 1) + 1)) AS INTEGER) AS k FROM combos_of) JOIN total USING (segment_group, feature)""",
+)
+ORACLE["final_clusters_facts"] = with_(
+    WHOLE, "SELECT segment_group, feature, combos, TRUE AS in_order, TRUE AS without_gaps FROM combos_of WHERE combos > 3"
+)
+ORACLE["pca_facts"] = with_(
+    WHOLE,
+    """SELECT segment_group, feature, combos, total_ss, TRUE AS centred, TRUE AS orthogonal, TRUE AS falling, TRUE AS part_of_all
+    FROM combos_of JOIN total USING (segment_group, feature) WHERE combos > 1""",
+)
+ORACLE["outcome_facts"] = with_(
+    WHOLE,
+    """SELECT segment_group, feature, CAST(sum(s) AS BIGINT) AS profile_rows, TRUE AS regions_within
+    FROM bins_of JOIN combos_of USING (segment_group, feature) WHERE combos > 3 GROUP BY ALL""",
+)

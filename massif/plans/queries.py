@@ -12,7 +12,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
@@ -132,12 +132,14 @@ class Parts:
 
 def prepared(spark: SparkSession, folder: str) -> Parts:
     df = events(spark, folder)
-    sizes = settle(combos.comb_sizes(df, CATS))
+    cells = settle(binning.cell_stats(df, ["value"], "event_type", CATS))
+    sizes = settle(cells.groupBy(*CATS).agg(F.sum("n").alias("n")))
     threshold = combos.cutoff(sizes, "p15")
     kept = settle(combos.number_combos(sizes.where(F.col("n") >= threshold), CATS))
     rows = combos.with_comb(df, kept, CATS)
     long = segments.to_long(rows, ["value"], "event_type", ["comb", "event_id"])
-    return Parts(kept, rows, long, binning.bin_params(long))
+    stats = settle(binning.stats_from_cells(combos.with_comb(cells, kept, CATS), ["value"]))
+    return Parts(kept, rows, long, binning.bin_params(long, stats=stats))
 
 
 # --- scans ------------------------------------------------------------------
@@ -212,9 +214,9 @@ def comb_id(spark, folder):
 
 @query
 def comb_id_partitioned(spark, folder):
-    """The numbering used for very many combinations, here on users by event type."""
+    """Very many combinations, here users by event type."""
     cats = ["user_id", "event_type"]
-    return combos.number_combos(combos.comb_sizes(events_with_nulls(spark, folder), cats), cats, one_task=0)
+    return combos.number_combos(combos.comb_sizes(events_with_nulls(spark, folder), cats), cats)
 
 
 @query
@@ -663,6 +665,85 @@ def stream_rejects(spark, folder):
     )
 
 
+# --- facts of fitted steps that SQL can state ---------------------------------
+
+
+@query
+def k_sweep_facts(spark, folder):
+    """Per (segment, k): every combination labelled once, at most k clusters, no more spread than without clusters."""
+    parts = prepared(spark, folder)
+    labels = clustering.sweep_labels(parts.profile, parts.params, 1, 6)
+    one = labels.select(*KEYS, "comb").distinct().select("*", F.lit(1).alias("k"), F.lit(0).alias("cluster"))
+    scores = clustering.k_scores(parts.profile, labels)
+    total = clustering.within_cluster_ss(parts.profile, one).select(*KEYS, F.col("wcss").alias("total_ss"))
+    counted = labels.groupBy(*KEYS, "k").agg(
+        F.count("*").alias("labelled"), F.countDistinct("comb").alias("combos"), (F.countDistinct("cluster") <= F.col("k")).alias("at_most_k")
+    )
+    facts = counted.join(scores, [*KEYS, "k"]).join(total, KEYS)
+    return rounded(
+        facts.select(
+            *KEYS, "k", "labelled", "combos", "at_most_k", "total_ss",
+            (F.col("wcss") <= F.col("total_ss") * 1.000001).alias("not_wider"),
+            F.col("silhouette").between(-1.0, 1.0).alias("silhouette_in_range"),
+        ),
+        4,
+    )
+
+
+@query
+def final_clusters_facts(spark, folder):
+    """Per segment: combinations, clusters numbered from 0 without gaps, in the order of their mean bins."""
+    parts = prepared(spark, folder)
+    labels = clustering.sweep_labels(parts.profile, parts.params, 3, 3)
+    chosen = parts.params.select(*KEYS, F.lit(3).alias("k"))
+    final = settle(clustering.final_clusters(parts.profile, labels, chosen))
+    mean = F.sum(F.col("bin") * F.col("n")) / F.sum("n")
+    centres = parts.profile.where("bin IS NOT NULL").join(final, [*KEYS, "comb"]).groupBy(*KEYS, "cluster").agg(mean.alias("mean_bin"))
+    step = F.col("mean_bin") - F.lag("mean_bin").over(Window.partitionBy(*KEYS).orderBy("cluster"))
+    ordered = centres.withColumn("rises", F.coalesce(step >= 0, F.lit(True))).groupBy(*KEYS).agg(
+        F.every("rises").alias("in_order"), (F.max("cluster") + 1 == F.count("*")).alias("without_gaps")
+    )
+    return final.groupBy(*KEYS).agg(F.count("*").alias("combos")).join(ordered, KEYS)
+
+
+@query
+def pca_facts(spark, folder):
+    """Per segment: both components have mean 0, are orthogonal, fall in size and hold part of all variance."""
+    parts = prepared(spark, folder)
+    points = clustering.project_2d(parts.profile, parts.params, parts.ruled).where("kind = 'point'")
+    one = parts.ruled.select(*KEYS, "comb", F.lit(1).alias("k"), F.lit(0).alias("cluster"))
+    total = clustering.within_cluster_ss(parts.profile, one).select(*KEYS, F.col("wcss").alias("total_ss"))
+    sums = points.groupBy(*KEYS).agg(
+        F.count("*").alias("combos"),
+        F.avg("pc1").alias("m1"), F.avg("pc2").alias("m2"),
+        F.sum(F.col("pc1") * F.col("pc2")).alias("cross"),
+        F.sum(F.col("pc1") ** 2).alias("first"), F.sum(F.col("pc2") ** 2).alias("second"),
+    )
+    size = F.sqrt(F.col("first"))
+    return rounded(
+        sums.join(total, KEYS).select(
+            *KEYS, "combos", "total_ss",
+            ((F.abs("m1") <= size * 1e-9) & (F.abs("m2") <= size * 1e-9)).alias("centred"),
+            (F.abs("cross") <= F.col("first") * 1e-9).alias("orthogonal"),
+            (F.col("first") >= F.col("second")).alias("falling"),
+            (F.col("first") + F.col("second") <= F.col("total_ss") * 1.000001).alias("part_of_all"),
+        ),
+        4,
+    )
+
+
+@query
+def outcome_facts(spark, folder):
+    """Per segment of a whole analysis: rows of all cluster profiles, and dense regions within their clusters."""
+    spec = AnalysisSpec(
+        name="events", grouping="event_type", categorical=CATS, continuous=["value"], min_combination_size="p15", min_k=3, max_k=4, hdr_excluded_percent=HDR_EXCLUDED
+    )
+    result = analyze(events(spark, folder), spec)
+    totals = result["filled_counts"].groupBy(*KEYS, "cluster").agg(F.sum("n").alias("cluster_rows"))
+    within = result["hdr"].join(totals, [*KEYS, "cluster"]).groupBy(*KEYS).agg(F.every(F.coalesce(F.col("mass") <= F.col("cluster_rows"), F.lit(True))).alias("regions_within"))
+    return totals.groupBy(*KEYS).agg(F.sum("cluster_rows").alias("profile_rows")).join(within, KEYS)
+
+
 # --- runs -------------------------------------------------------------------
 
 
@@ -697,7 +778,7 @@ def run_time_text(spark, folder):
 def kmeans_fit(spark, folder):
     """Cluster sizes of distributed K-Means with three clusters, over all segments' combinations."""
     parts = prepared(spark, folder)
-    labels = clustering.sweep_labels(parts.profile, parts.params, 3, 3, task_cells=0)
+    labels = clustering.sweep_labels(parts.profile, parts.params, 3, 3)
     return labels.groupBy(*KEYS, "k", "cluster").agg(F.count("*").alias("combos"))
 
 

@@ -8,7 +8,7 @@ from copy import deepcopy
 from dataclasses import asdict, dataclass, field
 from typing import Any
 
-# How the sections of a configuration file map to the fields below.
+# The published sections and options of a configuration file, and the fields below that they set.
 SECTIONS = {
     "io": {"input_data_path": "input_path"},
     "columns": {
@@ -112,6 +112,6 @@ def specs_from_config(config: Mapping[str, Any]) -> list[AnalysisSpec]:
     """
     active = config.get("active_config_names")
     if not active or not isinstance(active, list):
-        raise ValueError("The configuration needs a list 'active_config_names'.")
+        raise ValueError("'active_config_names' has to list the analyses to run.")
     common = config.get("common_settings") or {}
     return [AnalysisSpec.from_config(merged(common, config[n]), n) for n in active if config.get(n)]

@@ -35,13 +35,13 @@ def load_table(spark: SparkSession, path: str, schema: StructType | str | None =
     """
     size = _file_status(spark, path)
     if size is None:
-        raise FileNotFoundError(f"Data file not found at {path}")
+        raise FileNotFoundError(f"There is no table at {path}.")
     if size == 0:
-        raise ValueError(f"Data file is empty: {path}")
+        raise ValueError(f"The table at {path} has no bytes.")
     found = re.search(r"\.[^./]+$", path.rstrip("/"))
     extension = found.group(0).lower() if found else ""
     if extension not in READERS:
-        raise RuntimeError(f"Unsupported file type '{extension}'. Supported: {', '.join(READERS)}")
+        raise RuntimeError(f"No reader for '{extension}' files; there are readers for {', '.join(READERS)}.")
     source, options = READERS[extension]
     reader = spark.read.format(source).options(**options)
     if schema is not None:
@@ -49,7 +49,7 @@ def load_table(spark: SparkSession, path: str, schema: StructType | str | None =
     try:
         return nan_to_null(reader.load(path))
     except (PySparkException, Py4JJavaError) as exc:
-        raise RuntimeError(f"Error loading data from {path}") from exc
+        raise RuntimeError(f"The table at {path} cannot be read.") from exc
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
@@ -76,7 +76,7 @@ def write_table(df: DataFrame, folder: str, name: str, run_id: str, formats: Seq
 
     The path is fixed by table and run, and a repeated write replaces it.
     """
-    if df is None or df.isEmpty():
+    if df is None:
         return False
     for source in formats:
         target = f"{folder}/{safe_name(name)}" + ("" if source == "parquet" else f"_{source}") + f"/run_id={run_id}"
@@ -84,6 +84,19 @@ def write_table(df: DataFrame, folder: str, name: str, run_id: str, formats: Seq
         if source == "csv":
             writer = writer.option("header", "true")
         writer.save(target)
+        if _dropped_if_empty(df, target, source):
+            return False
+    return True
+
+
+def _dropped_if_empty(df: DataFrame, target: str, source: str) -> bool:
+    """Remove a folder just written when it holds no row: the table itself is computed only once."""
+    spark = df.sparkSession
+    reader = spark.read.schema(df.schema).format(source)
+    if not reader.options(**({"header": "true"} if source == "csv" else {})).load(target).isEmpty():
+        return False
+    path = spark._jvm.org.apache.hadoop.fs.Path(target)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
     return True
 
 
@@ -97,7 +110,8 @@ def read_table(spark: SparkSession, folder: str, name: str, run_id: str) -> Data
 
 def write_json(df: DataFrame, folder: str, name: str, run_id: str) -> bool:
     """Write nested rows as JSON lines."""
-    if df is None or df.isEmpty():
+    if df is None:
         return False
-    df.write.mode("overwrite").json(f"{folder}/{safe_name(name)}/run_id={run_id}")
-    return True
+    target = f"{folder}/{safe_name(name)}/run_id={run_id}"
+    df.write.mode("overwrite").json(target)
+    return not _dropped_if_empty(df, target, "json")

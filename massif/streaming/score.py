@@ -77,7 +77,6 @@ def score(
     Stateless: every row is joined to the run's tables and nothing else.
     """
     spec = tables.spec
-    measures = [m for m in spec.continuous if m in rows.columns]
     payload = F.struct(*[F.col(c) for c in rows.columns])
     grouped = spec.grouping is not None
     has_group = not grouped or spec.grouping in rows.columns
@@ -88,16 +87,24 @@ def score(
     empty = F.lit(True)
     for c in rows.columns:
         empty = empty & F.col(c).isNull()
-    pairs = [F.struct(F.lit(m).alias("feature"), measure(m).alias("value")) for m in measures]
-    if not pairs:
-        missing = F.lit(None)
-        pairs = [F.struct(missing.cast("string").alias("feature"), missing.cast("double").alias("value"))]
+    # a measure of the run that the rows lack gives a record too, with its reason
+    none = F.lit(None).cast("double")
+    pairs = [
+        F.struct(F.lit(m).alias("feature"), (measure(m) if m in rows.columns else none).alias("value"), F.lit(m not in rows.columns).alias("absent"))
+        for m in spec.continuous
+    ] or [F.struct(F.lit(None).cast("string").alias("feature"), none.alias("value"), F.lit(True).alias("absent"))]
     long = rows.select(
         payload.alias("instance"),
         group.alias("segment_group"),
         F.coalesce(F.when(empty, "no payload"), missing_group).alias("row_reason"),
         F.explode(F.array(*pairs)).alias("m"),
-    ).select("instance", "segment_group", "row_reason", "m.feature", "m.value")
+    ).select(
+        "instance",
+        "segment_group",
+        F.coalesce(F.when(F.col("row_reason") == "no payload", F.col("row_reason")), F.when(F.col("m.absent"), "measure absent"), "row_reason").alias("row_reason"),
+        "m.feature",
+        "m.value",
+    )
     scored = model.score_rows(long, tables.params, tables.predictions, edge_rule)
     scored = model.with_profile(scored, tables.profiles, whole_profile)
     # a null group is a segment of its own when the run has one

@@ -91,7 +91,7 @@ def test_partitioned_numbering_equals_one_window(spark):
     )
     sizes = combos.comb_sizes(df, ["a", "b"])
     one = {(r.a, r.b): r.comb for r in combos.number_combos(sizes, ["a", "b"]).collect()}
-    many = {(r.a, r.b): r.comb for r in combos.number_combos(sizes, ["a", "b"], one_task=0).collect()}
+    many = {(r.a, r.b): r.comb for r in combos.number_combos(sizes.repartition(4), ["a", "b"]).collect()}
     assert one == many and sorted(many.values()) == list(range(1, len(many) + 1))
 
 

@@ -106,7 +106,7 @@ def test_scoring_rows_and_rejects(spark, trained):
     scored = model.score_rows(long, params, model.bin_predictions(frame))
     found = {(r.segment_group, r.value): r for r in scored.collect()}
     assert found["g", 0.5].bin == 1 and found["g", 0.5].predicted_cluster == 3
-    assert found["g", 0.5].title == "Instance Prediction: Raw Value 0.50 classified as Cluster 3"
+    assert found["g", 0.5].title == "value 0.50: cluster 3"
     assert (found["g", 3.5].bin_lower, found["g", 3.5].bin_upper, found["g", 3.5].bin_third) == (3.0, 4.0, "tail")
     assert found["g", 99.0].bin == 4 and found["g", -5.0].bin == 1
     assert found["g", None].bin is None and found["g", None].predicted_cluster == 9

@@ -33,6 +33,22 @@ def test_bracketing_equals_numpy(spark, group_rows, buckets):
             assert np.allclose(found[g], np.percentile(values, [p * 100 for p in PROBS]), rtol=1e-12, atol=1e-12), g
 
 
+@pytest.mark.parametrize("group_rows", [10**6, 100])
+def test_infinite_values_stand_at_the_ends(spark, group_rows):
+    inf = float("inf")
+    groups = {"up": [*map(float, range(2000)), inf], "both": [-inf, -inf, *map(float, range(500)), inf], "only": [inf, inf], "mixed": [-inf, inf], "hot": [1.0] * 18000 + [2.0] * 5}
+    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g string, v double").repartition(4)
+    probs = [0.0, 0.2, 0.5, 1.0]
+    found = {r.g: r.pct for r in exact_percentiles(df, ["g"], "v", probs, group_rows=group_rows, buckets=16).collect()}
+    for g, values in groups.items():
+        values = sorted(values)
+        for p, got in zip(probs, found[g], strict=True):
+            at = p * (len(values) - 1)
+            low, high = values[int(np.floor(at))], values[int(np.ceil(at))]
+            want = low if low == high or at == int(at) else low + (at - int(at)) * (high - low)
+            assert got == pytest.approx(want, nan_ok=True), (g, p)
+
+
 @pytest.mark.parametrize("group_rows,buckets", [(10**6, None), (200, 8), (1, 3), (50, None)])
 def test_overlapping_groups_count_rows_once_per_key(spark, group_rows, buckets):
     rng = np.random.default_rng(5)
