@@ -37,16 +37,12 @@ ESCAPE = (1 << 60) - 1
 U = np.uint64
 
 
-def _trailing_max(values: np.ndarray, size: int) -> np.ndarray:
-    """Maximum of ``size`` values from each place on; places past the end count as 0."""
-    out, span = np.concatenate([values, np.zeros(size, values.dtype)]), 1
-    while span * 2 <= size:
-        out = np.maximum(out[: len(out) - span], out[span:])
-        span *= 2
-    rest = size - span
-    if rest:
-        out = np.maximum(out[: len(out) - rest], out[rest:])
-    return out[: len(values)]
+def _fits(need: np.ndarray, count: int, bits: int) -> np.ndarray:
+    """Whether the ``count`` values from each place on need at most ``bits``; there are none past the end."""
+    wider = np.zeros(len(need) + count, np.int32)
+    np.cumsum(need > bits, out=wider[1 : len(need) + 1])
+    wider[len(need) + 1 :] = wider[len(need)]
+    return wider[count:] == wider[: len(need)]
 
 
 def encode_simple8b(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -65,7 +61,7 @@ def encode_simple8b(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     choice = np.full(n, 15, np.uint8)
     open_ = np.ones(n, bool)
     for s, (count, bits) in enumerate(zip(PER_WORD[:-1], BITS[:-1], strict=True)):
-        hit = open_ & (_trailing_max(need, count) <= bits)
+        hit = open_ & _fits(need, count, bits)
         choice[hit] = s
         open_ &= ~hit
     step = np.array(PER_WORD)[choice].tolist()

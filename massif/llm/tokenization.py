@@ -1,10 +1,11 @@
-"""Token ids by the ``tokenizers`` library, with repeated units of text encoded once per worker.
-
-A byte-pair model encodes each pre-token by itself, and no pre-token of the two supported
-kinds reaches across certain blanks: byte-level models begin a new pre-token at a space,
-word models drop white space. So a text is cut there, each distinct unit is encoded once by
-the library, and the ids are joined. Texts with odd white space, and other kinds of
-tokenizer, go to the library whole. Both ways give the same ids.
+"""Token ids by the ``tokenizers`` library, with repeated pre-tokens encoded once per worker.
+
+A byte-pair model encodes each pre-token by itself, and no pre-token of the two supported kinds
+reaches across certain blanks: byte-level models begin a new one at a space, word models drop
+white space. So a text of ordinary characters is cut there; each distinct unit is cut further by
+the tokenizer's own pre-token pattern, spelled out for those characters, and encoded once by the
+library's model. Any other text, and any other kind of tokenizer, goes through the whole
+library. Both ways give the same ids.
 """
 
 from __future__ import annotations
@@ -12,18 +13,33 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 from tokenizers import Tokenizer
 
+#: Letters and numbers below U+0250, and the published pre-token patterns over them.
+LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
+NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
+SHORT = "'s|'t|'re|'ve|'m|'ll|'d"
+BYTE_LEVEL = re.compile(rf" ?[{LETTER}]+| ?[{NUMBER}]+|{SHORT}| ?[^\s{LETTER}{NUMBER}]+|\s+(?!\S)|\s+")
+WORDS = re.compile(rf"[{LETTER}]+|[{NUMBER}]|{SHORT}|[^\s{LETTER}{NUMBER}]+")
+WORDS_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Characters that the spelled-out patterns do not cover, or whose lower case is not one character.
+UNSURE = re.compile("[^\t\n\r -~\xa1-įı-ɏ]")
 #: Runs of white space that a cut before each space would divide.
 DIVIDED_RUN = re.compile(r"\s (?:\s|\Z)")
-#: Separators that Python takes as white space and the library does not.
-ODD_BLANKS = re.compile("[\x1c-\x1f]")
-CACHE_UNITS = 800_000
+CACHE_UNITS, CACHE_PIECES = 800_000, 500_000
 LONG_UNIT = 64
-JOINED_CHARS = 1 << 12
+
+
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if it is printable, else the next free one from U+0100."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+    return [letters[b] for b in range(256)]
 
 
 class Encoder:
@@ -31,75 +47,72 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)
-        pre, norm = model.get("pre_tokenizer") or {}, model.get("normalizer")
-        self.byte_level = pre.get("type") == "ByteLevel" and bool(pre.get("use_regex")) and not pre.get("add_prefix_space") and norm is None
-        steps = [x["type"] for x in (norm or {}).get("normalizers", [])]
+            described = json.load(f)
+        pre, norm = described.get("pre_tokenizer") or {}, described.get("normalizer")
         parts = pre.get("pretokenizers") or [{}]
-        self.words = steps == ["NFC", "Replace", "Lowercase"] and parts[0].get("type") == "Split" and parts[0].get("invert") and parts[0].get("behavior") == "Removed"
-        self.cache: dict[str, bytes] = {}
+        self.cut, self.fold = None, False
+        if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and norm is None:
+            self.cut = BYTE_LEVEL.findall
+        elif (
+            [x["type"] for x in (norm or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+            and [x.get("type") for x in parts] == ["Split", "ByteLevel"]
+            and parts[0]["pattern"] == {"Regex": WORDS_PATTERN}
+            and (parts[0]["invert"], parts[0]["behavior"], parts[1]["use_regex"], parts[1]["add_prefix_space"]) == (True, "Removed", False, False)
+        ):
+            self.cut, self.fold = WORDS.findall, True
+        self.letters = dict(enumerate(byte_letters()))
+        self.units: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
-    def _learn(self, units: list[str]) -> None:
-        """Encode units joined to long texts; a token belongs to the unit in which it starts."""
-        lead = " " if self.byte_level else ""
-        gap = "" if self.byte_level else " "
-        lo = 0
-        while lo < len(units):
-            hi, size = lo, 0
-            while hi < len(units) and size < JOINED_CHARS:
-                size += len(units[hi]) + 1
-                hi += 1
-            some = [lead + u + gap for u in units[lo:hi]]
-            got = self.tokenizer.encode("".join(some), add_special_tokens=False)
-            ids = np.array(got.ids, dtype=np.uint32)
-            starts = np.fromiter((a for a, _ in got.offsets), np.int64, len(ids))
-            ends = np.cumsum([len(x) for x in some])
-            cuts = np.searchsorted(starts, ends).tolist()
-            raw, before = ids.tobytes(), 0
-            for unit, cut in zip(units[lo:hi], cuts, strict=True):
-                self.cache[unit] = raw[4 * before : 4 * cut]
-                before = cut
-            lo = hi
+    def _unit(self, unit: str) -> bytes:
+        """Ids of a text whose pre-tokens are known to be those of the spelled-out pattern."""
+        out = []
+        for piece in self.cut(unit):
+            got = self.pieces.get(piece)
+            if got is None:
+                name = piece.encode().decode("latin-1").translate(self.letters)
+                got = array("I", [t.id for t in self.model.tokenize(name)]).tobytes()
+                if len(piece) <= LONG_UNIT:
+                    if len(self.pieces) >= CACHE_PIECES:
+                        self.pieces.clear()
+                    self.pieces[piece] = got
+            out.append(got)
+        return b"".join(out)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """uint32 ids of each text."""
-        pieces: list[list[str] | None] = []
+        cut: list[list[str] | None] = []
         seen: set[str] = set()
         for text in texts:
-            if self.byte_level and not DIVIDED_RUN.search(text):
-                units = text.split(" ")
-                seen.update(units[1:])
-            elif self.words and not ODD_BLANKS.search(text):
-                units = text.split()
-                seen.update(units)
-            else:
-                units = None
-            pieces.append(units)
-        cache = self.cache
-        missing = seen.difference(cache)
-        if len(cache) + len(missing) > CACHE_UNITS:
-            cache.clear()
+            if self.cut is None or UNSURE.search(text) or (not self.fold and DIVIDED_RUN.search(text)):
+                cut.append(None)
+                continue
+            units = text.split() if self.fold else text.split(" ")
+            cut.append(units)
+            seen.update(units)
+        units_ = self.units
+        missing = seen.difference(units_)
+        if len(units_) + len(missing) > CACHE_UNITS:
+            units_.clear()
             missing = seen
-        # units that begin with white space are encoded alone: joined, they could meet the blank before
-        alone = [u for u in missing if not u or u[0].isspace() or u[-1].isspace()] if self.byte_level else []
-        for unit in alone:
-            cache[unit] = self._whole(" " + unit).tobytes()
-        self._learn(list(missing.difference(alone)))
+        for unit in missing:
+            units_[unit] = self._unit(unit.lower() if self.fold else " " + unit)
+        find = units_.__getitem__
         out = []
-        for text, units in zip(texts, pieces, strict=True):
+        for text, units in zip(texts, cut, strict=True):
             if units is None:
                 out.append(self._whole(text))
-            elif self.byte_level:
-                head = self._whole(units[0]).tobytes() if units[0] else b""
-                out.append(np.frombuffer(head + b"".join(map(cache.__getitem__, units[1:])), dtype=np.uint32))
-            else:
-                out.append(np.frombuffer(b"".join(map(cache.__getitem__, units)), dtype=np.uint32))
+                continue
+            # in a byte-level text only the first unit has no space before it
+            raw = map(find, units) if self.fold else [self._unit(units[0]), *map(find, units[1:])]
+            out.append(np.frombuffer(b"".join(raw), dtype=np.uint32))
         for unit in [u for u in missing if len(u) > LONG_UNIT]:
-            del cache[unit]
+            del units_[unit]
         return out
 
 
