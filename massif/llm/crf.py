@@ -80,7 +80,7 @@ class ChainModel:
 
 def fit_chains(features: np.ndarray, chains: Chains, state: np.ndarray, size: int, steps: int = 60, rate: float = 0.15, ridge: float = 1.0) -> ChainModel:
     """Fit by adaptive-moment gradient steps on the log-likelihood, with a ridge."""
-    model = ChainModel(np.zeros(size), np.zeros((2, 2)), np.zeros(2))
+    model = ChainModel(np.zeros(size, np.float32), np.zeros((2, 2)), np.zeros(2))
     if not len(features):
         return model
     used, compact = np.unique(features, return_inverse=True)

@@ -27,6 +27,8 @@ from massif.llm.text import _BYTES, Rolling, U, Words, mix, text_chunks
 
 CHAIN = 512
 BINS = 10
+#: Shapes of a line. Lengths and numbers of lines are none: they tell documents apart, not their quality.
+SHAPES = 13
 KEEP_FROM = 0.7
 
 
@@ -72,14 +74,13 @@ class Lines:
         distinct = np.bincount(pairs[0].astype(np.int64), minlength=m)
         line_hash = mix(Rolling(_BYTES[2][data], 6).slices(self.start, self.end) ^ size.astype(U))
         _, of, copies = np.unique(np.stack([self.doc.astype(U), line_hash]), axis=1, return_inverse=True, return_counts=True)
-        in_doc = np.bincount(self.doc, minlength=n_docs)
         stop = (data == 46) | (data == 63) | (data == 33)
         some = np.maximum(n_words, 1)
         self.shapes = np.column_stack([
-            np.log1p(size), n_upper / letters, n_high / full, total(digit) / full, total(symbol) / full, total(data == 124) / full,
+            n_upper / letters, n_high / full, total(digit) / full, total(symbol) / full, total(data == 124) / full,
             total(data == 33) / full, total((data >= 35) & (data <= 38) | (data == 42)) / full, total(stop) / some, total(data == 44) / some, size / some,
-            (again[at[1]] - again[at[0]]) / some, distinct / some, np.log1p(n_words), copies[of.ravel()] > 1, np.log1p(in_doc[self.doc]),
-        ]).astype(np.float64) if m else np.zeros((0, 16))
+            (again[at[1]] - again[at[0]]) / some, distinct / some, copies[of.ravel()] > 1,
+        ]).astype(np.float64) if m else np.zeros((0, SHAPES))
         self.weight = full.astype(np.float64)
         new = np.ones(m, bool)
         new[1:] = self.doc[1:] != self.doc[:-1]
@@ -122,7 +123,7 @@ def _aggregate(p: np.ndarray, doc: np.ndarray, weight: np.ndarray, n: int) -> np
 def fit_quality(texts: pa.Array, y: np.ndarray, share: float) -> QualityModel:
     """``share``: the share of label 1 among all learning rows, to which the sample is weighted back."""
     if not len(y) or y.min() == y.max():
-        return QualityModel(None, np.zeros((16, BINS - 1)), np.zeros(3), share)
+        return QualityModel(None, np.zeros((SHAPES, BINS - 1)), np.zeros(3), share)
     chunks = [(lo, Lines(data, offsets)) for lo, _, data, offsets in text_chunks(texts)]
     shapes = np.concatenate([x.shapes for _, x in chunks])
     edges = np.quantile(shapes, np.arange(1, BINS) / BINS, axis=0).T
@@ -131,7 +132,7 @@ def fit_quality(texts: pa.Array, y: np.ndarray, share: float) -> QualityModel:
     weight = np.concatenate([x.weight for _, x in chunks])
     base = np.cumsum([0, *(len(x.doc) for _, x in chunks)])
     chains = Chains(np.concatenate([x.chains.start + b for (_, x), b in zip(chunks, base, strict=False)]), np.concatenate([x.chains.length for _, x in chunks]))
-    field = fit_chains(features, chains, y[doc], 3 * 16 * BINS + 2, steps=80)
+    field = fit_chains(features, chains, y[doc], 3 * SHAPES * BINS + 2, steps=80)
     x = _aggregate(field.marginals(features, chains), doc, weight, len(y))
     return QualityModel(field, edges, fit_logistic(x, y, share), share)
 

@@ -4,7 +4,7 @@ Labels are given for documents. Words and word beginnings that occur in many tox
 hardly any other learning documents mark tokens of toxic documents as toxic; the field is
 trained on these labelled tokens, with the token, its beginnings and its neighbours as hashed
 features. A chain is a line, cut after ``CHAIN`` tokens. The forward-backward marginals of a
-document's tokens are aggregated (the chance that any is toxic, and the expected number) and
+document's tokens are aggregated (the largest, and the expected number among tagged tokens) and
 calibrated to the document label; tokens above one half are offending spans.
 
 Learning is from a bounded sample (``SAMPLE_PER_LABEL`` documents of each label); scoring is of
@@ -27,10 +27,11 @@ from massif.llm.crf import ChainModel, Chains, fit_chains, fit_logistic, logisti
 from massif.llm.text import _BYTES, Rolling, U, Words, mix, text_chunks
 
 CHAIN = 128
-FEATURE_BITS = 18
+#: So many that an unseen word hardly ever falls on a learnt feature.
+FEATURE_BITS = 22
 #: Lengths, in bytes, of the word beginnings that are features.
 BEGINNINGS = (4, 5, 6)
-#: A marking word is in at least this share, and number, of toxic learning documents ...
+#: A marking word occurs at least so often for each toxic learning document, and in all, ...
 LEXICON_SHARE, LEXICON_LEAST = 0.02, 3
 #: ... and this many times likelier there than in others.
 LEXICON_RATIO = 50.0
@@ -69,6 +70,7 @@ class Tokens:
         after[last] = U(2)
         parts += [mix(before ^ U(77)), mix(after ^ U(78))]
         self.words = parts[: 1 + len(BEGINNINGS)]
+        self.context = parts[-2] ^ mix(parts[-1])
         self.features = np.stack([(x >> U(64 - FEATURE_BITS)).astype(np.int32) for x in parts], axis=1) if n else np.zeros((0, len(parts)), np.int32)
         self.doc = np.repeat(np.arange(len(offsets) - 1), np.diff(self.bounds))
 
@@ -90,33 +92,36 @@ class ToxicityModel:
 
 
 def _aggregate(p: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
-    """Per document: log-odds that any token is toxic, and the logarithm of the expected number."""
-    none = np.bincount(doc, np.log1p(-np.clip(p, 0, 1 - 1e-9)), n)
-    return np.column_stack([logit(-np.expm1(none)) / 5, np.log1p(np.bincount(doc, p, n))])
+    """Per document: log-odds of its most toxic token, and the logarithm of the expected number among tagged tokens.
+
+    Neither grows with the mere length of a document.
+    """
+    most = np.zeros(n)
+    np.maximum.at(most, doc, p)
+    return np.column_stack([logit(most) / 5, np.log1p(np.bincount(doc, np.where(p >= 0.5, p, 0.0), n))])
 
 
-def _token_labels(parts: list[np.ndarray], doc: np.ndarray, y: np.ndarray) -> np.ndarray:
+def _token_labels(parts: list[np.ndarray], context: np.ndarray, doc: np.ndarray, y: np.ndarray) -> np.ndarray:
     """1 for tokens of toxic documents whose word, or a beginning of it, marks toxic documents.
 
-    Documents with the same least word hash, so most copies, are counted once.
+    Occurrences between the same neighbours are counted once: copied text is no further evidence.
     """
-    least_word = np.full(len(y), U(0xFFFFFFFFFFFFFFFF))
-    np.minimum.at(least_word, doc, mix(parts[0]))
-    _, first, same = np.unique(np.stack([least_word, y.astype(U)]), axis=1, return_index=True, return_inverse=True)
-    kinds = y[first]
-    toxic_docs, other_docs = int(kinds.sum()), int((1 - kinds).sum())
+    toxic_docs, other_docs = int(y.sum()), int((1 - y).sum())
     least = max(LEXICON_LEAST, LEXICON_SHARE * toxic_docs)
-    kind = same.ravel()[doc].astype(U)
+    toxic_token = y[doc] == 1
     marked = np.zeros(len(doc), bool)
     for part in parts:
-        seen = np.unique(np.stack([part, kind]), axis=1)
-        keys, of = np.unique(seen[0], return_inverse=True)
-        is_toxic = kinds[seen[1].astype(np.int64)]
-        toxic = np.bincount(of, is_toxic, len(keys))
-        other = np.bincount(of, 1 - is_toxic, len(keys))
+        counts = []
+        for rows in (toxic_token, ~toxic_token):
+            met = np.unique(np.stack([part[rows], context[rows]]), axis=1)[0]
+            counts.append(np.unique(met, return_counts=True))
+        (keys, toxic), (known, n) = counts
+        at = np.searchsorted(known, keys)
+        at[at == len(known)] = 0
+        other = np.where(known[at] == keys, n[at], 0) if len(known) else np.zeros(len(keys), np.int64)
         ratio = ((toxic + 0.1) / (toxic_docs + 1)) / ((other + 0.1) / (other_docs + 1))
         marked |= np.isin(part, keys[(toxic >= least) & (ratio >= LEXICON_RATIO)])
-    return marked & (y[doc] == 1)
+    return marked & toxic_token
 
 
 def fit_toxicity(texts: pa.Array, y: np.ndarray, share: float) -> ToxicityModel:
@@ -125,7 +130,8 @@ def fit_toxicity(texts: pa.Array, y: np.ndarray, share: float) -> ToxicityModel:
         return ToxicityModel(None, np.zeros(3), share)
     chunks = [(lo, Tokens(data, offsets)) for lo, _, data, offsets in text_chunks(texts)]
     doc = np.concatenate([t.doc + lo for lo, t in chunks])
-    state = _token_labels([np.concatenate([t.words[k] for _, t in chunks]) for k in range(1 + len(BEGINNINGS))], doc, y)
+    words = [np.concatenate([t.words[k] for _, t in chunks]) for k in range(1 + len(BEGINNINGS))]
+    state = _token_labels(words, np.concatenate([t.context for _, t in chunks]), doc, y)
     features = np.concatenate([t.features for _, t in chunks])
     base = np.cumsum([0, *(len(t.doc) for _, t in chunks)])
     chains = Chains(np.concatenate([t.chains.start + b for (_, t), b in zip(chunks, base, strict=False)]), np.concatenate([t.chains.length for _, t in chunks]))
