@@ -13,7 +13,8 @@ belong to several components are looked at, all of them, so no link between comp
 missed, while a group of thousands of near copies is not compared pair by pair again. Groups
 above a task's size are dealt in blocks and pairs of blocks.
 
-Sets are compared by 56-bit hashes: a wrong count needs a collision within one pair of sets.
+Sets are compared by 40-bit hashes, five bytes each: a wrong count needs a collision within one
+pair of sets (for two sets of 500, one pair in four million), and matters only at the threshold.
 
 Defined cases: null, empty or blank texts have an empty set and no link; a text of fewer words
 is one n-gram; a null id is passed through and is the smallest only among nulls; rows that
@@ -37,12 +38,15 @@ from massif.llm.tables import fresh, written
 from massif.llm.text import Rolling, U, Words, mix, text_chunks
 
 SKETCH_BITS = 22
+HASH_BITS = 40
 SKETCH_FLUSH = 1 << 22
 #: An n-gram is reported to the sketch by a task that meets it so often in one go.
 SKETCH_LEAST = 8
 FIRST_TOKENS = 3
 TASK_SETS = 1500
 TASK_NGRAMS = 4_000_000
+#: N-grams that share a first member share a task up to so many times a task's sets.
+LED_ROWS = 8
 SEGMENT = 64
 
 
@@ -59,10 +63,25 @@ def _grams(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray
     return mix(rolling.slices(first, first + length) ^ length.astype(U)), starts
 
 
+def _keys(hashes: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """The place of n-grams in the global order: their level, then their hash (which names the slot of the level)."""
+    return levels[(hashes & U((1 << SKETCH_BITS) - 1)).astype(np.int64)].astype(U) << U(HASH_BITS) | hashes
+
+
+def _packed(keys: np.ndarray) -> bytes:
+    return (keys & U((1 << HASH_BITS) - 1)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, : HASH_BITS // 8].tobytes()
+
+
+def _unpacked(raw: bytes, levels: np.ndarray) -> np.ndarray:
+    wide = np.zeros((len(raw) * 8 // HASH_BITS, 8), np.uint8)
+    wide[:, : HASH_BITS // 8] = np.frombuffer(raw, np.uint8).reshape(-1, HASH_BITS // 8)
+    return _keys(wide.view("<u8").ravel(), levels)
+
+
 def _sets(data: np.ndarray, offsets: np.ndarray, size: int, levels: np.ndarray) -> list[np.ndarray]:
     """Each document's distinct n-grams in the global order."""
     grams, starts = _grams(data, offsets, size)
-    keys = (levels[(grams & U((1 << SKETCH_BITS) - 1)).astype(np.int64)].astype(U) << U(56)) | (grams >> U(8))
+    keys = _keys(grams & U((1 << HASH_BITS) - 1), levels)
     return [np.unique(keys[a:b]) for a, b in zip(starts, starts[1:], strict=False)]
 
 
@@ -243,12 +262,12 @@ def trie_links(sets: list[np.ndarray], group: np.ndarray, num: int, den: int) ->
     return links
 
 
-def _join_tasks(dealt: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _join_tasks(dealt: DataFrame, sets: DataFrame, levels, num: int, den: int) -> DataFrame:
     """Links (u, v) of the sets that meet in a task: ``dealt`` has task, node, part (its component)."""
 
     def links(table: pa.Table) -> pa.Table:
         node, part = table.column("node").to_numpy(), table.column("part").to_numpy()
-        found = trie_links([np.frombuffer(x, "<u8") for x in table.column("keys").to_pylist()], part, num, den)
+        found = trie_links([_unpacked(x, levels.value) for x in table.column("keys").to_pylist()], part, num, den)
         at = np.array(found, np.int64).reshape(-1, 2)
         return pa.table({"u": pa.array(part[at[:, 0]]), "v": pa.array(part[at[:, 1]])})
 
@@ -293,7 +312,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10
     classes = written(classes, "classes")
     reps = described.join(classes.select(F.col("node").alias("uid")), "uid", "left_semi")
     heads = written(reps.select(F.col("uid").alias("node"), "n", F.posexplode("prefix").alias("pos", "token")), "prefixes")
-    shared = heads.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token")
+    shared = written(heads.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token"), "shared")
     tokens = written(heads.join(shared, "token"), "tokens")
 
     # the sets of the classes that share an n-gram of their prefix
@@ -306,38 +325,46 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10
         for batch in batches:
             for lo, hi, data, offsets in text_chunks(batch.column(1)):
                 sets = _sets(data, offsets, words, levels.value)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], ["node", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([_packed(s) for s in sets], pa.binary())], ["node", "keys"])
 
     sets = written(met.mapInArrow(whole, "node bigint, keys binary"), "keys")
 
     def dealt(members: DataFrame, pairs: bool) -> DataFrame:
-        """Tasks of about ``task_sets`` sets; a larger group of one n-gram goes in blocks, or in all pairs of blocks."""
-        groups = members.groupBy("token").agg(F.count("*").alias("c"), F.sum("n").alias("total")).filter("c > 1")
+        """Tasks of about ``task_sets`` sets; a larger group of one n-gram goes in blocks, or in all pairs of blocks.
+
+        N-grams with the same first member mostly have the same members (they stand in one
+        passage or one group of copies), so they share a task and a set goes there once.
+        """
+        groups = members.groupBy("token").agg(F.count("*").alias("c"), F.sum("n").alias("total"), F.min("node").alias("lead")).filter("c > 1")
         half = 2 if pairs else 1
         blocks = F.greatest(F.ceil(F.col("c") * half / task_sets), F.ceil(F.col("total") * half / TASK_NGRAMS))
-        groups = groups.select("token", F.when((F.col("c") > task_sets) | (F.col("total") > TASK_NGRAMS), blocks).otherwise(F.lit(1)).cast("bigint").alias("blocks"))
+        groups = written(groups.select("token", "c", "lead", F.when((F.col("c") > task_sets) | (F.col("total") > TASK_NGRAMS), blocks).otherwise(F.lit(1)).cast("bigint").alias("blocks")), "groups")
+        led = groups.groupBy("lead").agg(F.sum("c").alias("led"))
+        at = F.when(F.col("led") <= LED_ROWS * task_sets, F.xxhash64(F.lit(1), "lead")).otherwise(F.xxhash64(F.lit(2), "token"))
+        groups = written(groups.join(led, "lead").select("token", "blocks", at.alias("at")), "places")
         placed = members.join(groups, "token").withColumn("mine", F.pmod(F.xxhash64("node", "token"), F.col("blocks")))
         if pairs:
             placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
             placed = placed.withColumn("mine_", F.least("mine", "other")).withColumn("other", F.greatest("mine", "other")).drop("mine").withColumnRenamed("mine_", "mine")
         else:
             placed = placed.withColumn("other", F.col("mine"))
-        placed = written(placed.select("token", "mine", "other", "blocks", "node", "part", "n"), "dealt")
-        size = placed.agg(F.count("*"), F.sum("n")).first()
+        placed = written(placed.select("token", "at", "mine", "other", "blocks", "node", "part", "n"), "dealt")
+        sent = placed.select("at", "mine", "other", "node", "n").distinct()
+        size = sent.agg(F.count("*"), F.sum("n")).first()
         tasks = max(1, -(-int(size[0]) // task_sets), -(-int(size[1] or 0) // TASK_NGRAMS))
-        small = F.pmod(F.xxhash64("token"), F.lit(tasks))
+        small = F.pmod(F.col("at"), F.lit(tasks))
         big = F.xxhash64("token", "mine", "other").bitwiseOR(F.lit(1 << 62))  # a task of its own
         return placed.select(F.when(F.col("blocks") > 1, big).otherwise(small).alias("task"), "node", "part")
 
     rank = F.row_number().over(W.partitionBy("node").orderBy("pos"))
     first = tokens.withColumn("rank", rank).filter(F.col("rank") <= FIRST_TOKENS).select("token", "node", "n", F.col("node").alias("part"))
-    near = written(connected(_join_tasks(dealt(first, False), sets, num, den)), "near")
+    near = written(connected(_join_tasks(dealt(first, False), sets, levels, num, den)), "near")
 
     found = tokens.join(near, "node", "left").select("token", "node", "n", F.coalesce("root", "node").alias("part"))
     found = written(found, "parts")
     cross = found.groupBy("token").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a <> b").select("token")
     rest = found.join(cross, "token", "left_semi")
-    far = written(connected(_join_tasks(dealt(rest, True), sets, num, den)), "far")
+    far = written(connected(_join_tasks(dealt(rest, True), sets, levels, num, den)), "far")
 
     roots = classes.join(near, "node", "left").withColumn("mid", F.coalesce("root", "node")).drop("root")
     roots = roots.join(far.select(F.col("node").alias("mid"), "root"), "mid", "left").withColumn("component", F.coalesce("root", "mid"))

@@ -150,7 +150,9 @@ def repeated_cells(scanned: DataFrame) -> DataFrame:
 def suspects(docs: DataFrame, scanned: DataFrame) -> DataFrame:
     """Stored: uid, text, and the places of anchors whose cell is repeated."""
     marks = scanned.select("uid", F.explode(F.arrays_zip("cells", "places")).alias("a")).select("uid", F.col("a.cells").alias("cell"), F.col("a.places").alias("place"))
-    marked = written(marks.join(repeated_cells(scanned), "cell", "left_semi").groupBy("uid").agg(F.collect_list("place").alias("places")), "marked")
+    # stored, so that the join exchanges both sides and a hot cell can be split
+    cells = written(repeated_cells(scanned), "cells")
+    marked = written(marks.join(cells, "cell", "left_semi").groupBy("uid").agg(F.collect_list("place").alias("places")), "marked")
     names = scanned.select("uid", F.col("id").alias("own"), F.col("tkey").alias("own_key"))
     named = names.join(marked, "uid")
     texts = docs.join(named, (docs["tkey"] == F.col("own_key")) & docs["id"].eqNullSafe(F.col("own"))).select("uid", "text", "places")
@@ -208,7 +210,7 @@ def contexts(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     of an anchor that has several, with the number of its occurrences.
     """
     counted = written(found.groupBy("anchor", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("uid", "place")).alias("one")), "contexts")
-    whole = counted.filter("n > 1").select("anchor", "ctx")
+    whole = counted.filter("n > 1").select("anchor", "ctx")  # of a stored table: both sides are exchanged
     sure = found.join(whole, ["anchor", "ctx"], "left_semi").select("uid", "first", "count")
     several = counted.groupBy("anchor").agg(F.count("*").alias("contexts")).filter("contexts > 1")
     open_ = counted.join(several, "anchor").select("anchor", "n", "contexts", F.col("one.uid").alias("uid"), F.col("one.place").alias("place"))
@@ -235,7 +237,7 @@ def open_windows(texts: DataFrame, open_: DataFrame, unit: Unit) -> DataFrame:
         return [pa.array(got.anchor[rows][of].view(np.int64)), pa.array(hashed.view(np.int64)), pa.array(n[order][of]), pa.array(uid), pa.array((start - got.bounds[owner]).astype(np.int32))]
 
     rows = written(per_suspect(open_texts(texts, open_), "open", unit, "anchor bigint, w bigint, n bigint, uid bigint, first int", make), "windows")
-    twice = rows.groupBy("anchor", "w").agg(F.sum("n").alias("total")).filter("total > 1").select("anchor", "w")
+    twice = written(rows.groupBy("anchor", "w").agg(F.sum("n").alias("total")).filter("total > 1").select("anchor", "w"), "twice")
     return rows.filter("n = 1").join(twice, ["anchor", "w"], "left_semi").select("uid", "first", F.lit(1).alias("count"))
 
 
