@@ -155,18 +155,43 @@ def distance_sums(profile: DataFrame, labels: DataFrame, sizes: DataFrame, block
     return tiled.groupBy(*KEYS, "low", "high").applyInPandas(_tile_sums, TILE_SCHEMA)
 
 
+def squared_distance_sums(profile: DataFrame, labels: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Squared distances summed from each combination to each cluster, for every k, without pairs.
+
+    The sum over a cluster needs its number of members, the sum of their norms and the sum of
+    their histograms, so the work grows with the cells and the clusters.
+    """
+    one_k = [*KEYS, "k"]
+    cells = profile.where(F.col("bin").isNotNull()).select(*KEYS, "comb", "bin", F.col("n").cast("double").alias("n"))
+    norms = cells.groupBy(*KEYS, "comb").agg(F.sum(F.col("n") * F.col("n")).alias("norm"))
+    normed = labels.join(norms, [*KEYS, "comb"], "left").withColumn("norm", F.coalesce("norm", F.lit(0.0)))
+    normed = settle(normed.select(*one_k, "comb", "cluster", "norm"))
+    spread = normed.groupBy(*one_k, F.col("cluster").alias("other")).agg(F.sum("norm").alias("norms"))
+    totals = labels.join(cells, [*KEYS, "comb"]).groupBy(*one_k, F.col("cluster").alias("other"), "bin").agg(F.sum("n").alias("s"))
+    dots = cells.join(totals, [*KEYS, "bin"]).groupBy(*one_k, "comb", "other").agg(F.sum(F.col("n") * F.col("s")).alias("dot"))
+    facing = sizes.select(*one_k, F.col("cluster").alias("other"), "size").join(spread, [*one_k, "other"])
+    sums = normed.join(facing, one_k).join(dots, [*one_k, "comb", "other"], "left")
+    apart = F.col("size") * F.col("norm") - 2 * F.coalesce("dot", F.lit(0.0)) + F.col("norms")
+    return sums.select(*one_k, "comb", "cluster", "other", F.greatest(apart, F.lit(0.0)).alias("dist_sum"))
+
+
 def silhouette_samples(
-    profile: DataFrame, labels: DataFrame, block: int = BLOCK, sizes: DataFrame | None = None
+    profile: DataFrame, labels: DataFrame, block: int = BLOCK, sizes: DataFrame | None = None, metric: str = "euclidean"
 ) -> DataFrame:
-    """Silhouette coefficient per (segment, k, combination); 0 for a lone member."""
+    """Silhouette coefficient per (segment, k, combination); 0 for a lone member.
+
+    ``metric`` is ``euclidean``, which needs all pairs, or ``squared_euclidean``, which is linear.
+    """
+    if metric not in ("euclidean", "squared_euclidean"):
+        raise ValueError(f"metric is 'euclidean' or 'squared_euclidean', not {metric!r}.")
     sizes = cluster_sizes(labels) if sizes is None else sizes
+    apart = distance_sums(profile, labels, sizes, block) if metric == "euclidean" else squared_distance_sums(profile, labels, sizes)
     own = sizes.select(*KEYS, "k", "cluster", "size")
     others = sizes.select(*KEYS, "k", F.col("cluster").alias("other"), F.col("size").alias("other_size"))
     sample = [*KEYS, "k", "comb"]
     # one shuffle serves both the sum over tiles and the choice among clusters
     sums = (
-        distance_sums(profile, labels, sizes, block)
-        .repartition(*sample)
+        apart.repartition(*sample)
         .groupBy(*sample, "cluster", "other")
         .agg(F.sum("dist_sum").alias("dist_sum"))
         .join(own, [*KEYS, "k", "cluster"])
@@ -187,11 +212,11 @@ def silhouette_samples(
 
 
 def silhouette_scores(
-    profile: DataFrame, labels: DataFrame, block: int = BLOCK, sizes: DataFrame | None = None
+    profile: DataFrame, labels: DataFrame, block: int = BLOCK, sizes: DataFrame | None = None, metric: str = "euclidean"
 ) -> DataFrame:
     """Mean silhouette per (segment, k); null unless 1 < clusters < combinations."""
     sizes = cluster_sizes(labels) if sizes is None else sizes
-    samples = silhouette_samples(profile, labels, block, sizes)
+    samples = silhouette_samples(profile, labels, block, sizes, metric)
     scored = samples.groupBy(*KEYS, "k").agg(F.avg("silhouette").alias("silhouette"))
     counts = sizes.groupBy(*KEYS, "k").agg(F.count("*").alias("clusters"), F.sum("size").alias("combos"))
     valid = (F.col("clusters") > 1) & (F.col("clusters") < F.col("combos"))

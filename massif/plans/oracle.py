@@ -436,6 +436,10 @@ ORACLE["wcss"] = with_(RULED_K, "SELECT segment_group, feature, k, round(wcss, 5
 ORACLE["silhouette"] = with_(
     RULED_K, "SELECT segment_group, feature, k, round(silhouette, 6) AS silhouette FROM sil"
 )
+ORACLE["silhouette_squared"] = with_(
+    RULED_K.replace("sqrt(CAST(x.sq + y.sq - 2 * coalesce(dot, 0) AS DOUBLE)) AS d", "CAST(x.sq + y.sq - 2 * coalesce(dot, 0) AS DOUBLE) AS d"),
+    "SELECT segment_group, feature, k, round(silhouette, 6) AS silhouette FROM sil",
+)
 ORACLE["silhouette_ordered"] = with_(
     RULED_K,
     """SELECT segment_group, feature, k, comb, cluster, round(silhouette, 6) AS silhouette,

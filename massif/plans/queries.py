@@ -531,6 +531,12 @@ def silhouette_query(spark, folder):
     return rounded(silhouette.silhouette_scores(parts.profile, parts.ruled_k))
 
 
+@query
+def silhouette_squared(spark, folder):
+    parts = prepared(spark, folder)
+    return rounded(silhouette.silhouette_scores(parts.profile, parts.ruled_k, metric="squared_euclidean"))
+
+
 @query
 def silhouette_ordered(spark, folder):
     parts = prepared(spark, folder)
