@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from massif.llm.components import connected
 from massif.llm.repeats import keyed
-from massif.llm.tables import fresh, written
+from massif.llm.tables import discard, fresh, written
 from massif.llm.text import Rolling, U, Words, mix, text_chunks
 
 SKETCH_BITS = 22
@@ -314,6 +314,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10
     heads = written(reps.select(F.col("uid").alias("node"), "n", F.posexplode("prefix").alias("pos", "token")), "prefixes")
     shared = written(heads.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token"), "shared")
     tokens = written(heads.join(shared, "token"), "tokens")
+    discard(heads)
 
     # the sets of the classes that share an n-gram of their prefix
     wanted = tokens.select(F.col("node").alias("uid")).distinct().join(described.select("uid", F.col("id").alias("own"), F.col("tkey").alias("own_key")), "uid")
@@ -365,6 +366,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10
     cross = found.groupBy("token").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a <> b").select("token")
     rest = found.join(cross, "token", "left_semi")
     far = written(connected(_join_tasks(dealt(rest, True), sets, levels, num, den)), "far")
+    for table in (sets, tokens, found):
+        discard(table)
 
     roots = classes.join(near, "node", "left").withColumn("mid", F.coalesce("root", "node")).drop("root")
     roots = roots.join(far.select(F.col("node").alias("mid"), "root"), "mid", "left").withColumn("component", F.coalesce("root", "mid"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from massif.operators.bounded import stored
 from massif.session import shared_folder
 
-__all__ = ["read_table", "stored", "written", "fresh", "text_or_empty", "local_conf_int"]
+__all__ = ["read_table", "stored", "written", "discard", "fresh", "text_or_empty", "local_conf_int"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,3 +46,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     gc.collect()
     df.sparkSession.sparkContext._jvm.System.gc()
     return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the folder of a table that ``written`` gave, when nothing reads it any more."""
+    files = df.inputFiles()
+    if files:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
