@@ -34,6 +34,8 @@ STEP = 8
 SIZES = (2, 4, 6)
 SLOT_BITS = 13
 IDF_POWER = 3
+#: Slots below this share of the median weight, so the words of every other document, count nothing.
+LEAST_WEIGHT = 0.1
 RANK = 96
 COSINE = 0.5
 LCS_SHARE = 0.6
@@ -42,6 +44,28 @@ LEAST_WORDS = 8
 #: Benchmark items compared in one pass over the documents.
 BLOCK_ITEMS = 2000
 SUM_ROWS = 128
+LONG_RUN = 64
+
+
+def _run_sums(groups: np.ndarray, rows: np.ndarray, picked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(group, sum of ``rows[picked]``) of every run of equal groups.
+
+    The first members of all runs are added at once, then the second ones, and so on, longer
+    runs first; what runs longer than ``LONG_RUN`` have left is added run by run.
+    """
+    if not len(groups):
+        return groups[:0], rows[:0]
+    heads = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]]))
+    count = np.diff(np.append(heads, len(groups)))
+    by = np.argsort(-count, kind="stable")
+    heads, count = heads[by], count[by]
+    total = rows[picked[heads]]
+    for k in range(1, min(int(count[0]), LONG_RUN)):
+        n = int(np.searchsorted(-count, -k, side="left"))
+        total[:n] += rows[picked[heads[:n] + k]]
+    for i in range(int(np.searchsorted(-count, -LONG_RUN, side="left"))):
+        total[i] += rows[picked[heads[i] + LONG_RUN : heads[i] + count[i]]].sum(axis=0)
+    return groups[heads], total
 
 
 class Passages:
@@ -51,19 +75,22 @@ class Passages:
         words = Words(data, offsets, lower=True, letters=LETTERS)
         self.bounds = words.bounds
         self.hashes = words.hashes()
-        self.slots = (self.hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        self.slots = (self.hashes >> np.uint64(64 - SLOT_BITS)).astype(np.uint16)
         count = np.diff(self.bounds)
         self.steps = -(-count // STEP)
         self.step_base = np.concatenate([[0], np.cumsum(self.steps)])
         self.within = np.arange(self.step_base[-1]) - np.repeat(self.step_base[:-1], self.steps)
         self.step_start = np.repeat(self.bounds[:-1], self.steps) + STEP * self.within
         self.step_doc = np.repeat(np.arange(len(count)), self.steps)
+        self.step_of = np.repeat(np.arange(len(self.step_start)), np.diff(np.append(self.step_start, self.bounds[-1])))
 
     def sums(self, rows: np.ndarray) -> np.ndarray:
-        """Per step, the sum of its words' rows."""
-        if not len(self.step_start):
-            return np.zeros((0, rows.shape[1]), rows.dtype)
-        return np.add.reduceat(rows[self.slots], self.step_start, axis=0)
+        """Per step, the sum of its words' rows; words without weight have rows of 0 and are passed over."""
+        out = np.zeros((len(self.step_start), rows.shape[1]), rows.dtype)
+        words = np.flatnonzero(rows.any(axis=1)[self.slots])
+        step, total = _run_sums(self.step_of[words], rows, self.slots[words])
+        out[step] = total
+        return out
 
     def starts(self, size: int) -> np.ndarray:
         """First steps of the passages of ``size`` steps; a shorter document is one passage."""
@@ -89,7 +116,7 @@ def idf_weights(docs: DataFrame) -> np.ndarray:
             for lo, hi, data, offsets in text_chunks(batch.column(0)):
                 got = Passages(data, offsets)
                 doc = np.repeat(np.arange(hi - lo), np.diff(got.bounds))
-                total += np.bincount(np.unique(doc << SLOT_BITS | got.slots) & ((1 << SLOT_BITS) - 1), minlength=len(total))
+                total += np.bincount(np.unique(doc << SLOT_BITS | got.slots.astype(np.int64)) & ((1 << SLOT_BITS) - 1), minlength=len(total))
                 n_docs += hi - lo
         slots = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(slots, -1)), pa.array(np.append(total[slots], n_docs))], ["slot", "n"])
@@ -99,7 +126,8 @@ def idf_weights(docs: DataFrame) -> np.ndarray:
     seen = np.zeros(1 << SLOT_BITS)
     seen[slots[slots >= 0]] = n[slots >= 0]
     # a power: words of every second sentence say little about which passage it is
-    return (np.log((n[slots < 0].sum() + 1) / (seen + 1)) + 0.05) ** IDF_POWER
+    weight = (np.log((n[slots < 0].sum() + 1) / (seen + 1)) + 0.05) ** IDF_POWER
+    return np.where(weight >= LEAST_WEIGHT * np.median(weight), weight, 0.0)
 
 
 def latent_space(docs: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int = 11) -> np.ndarray:
@@ -121,11 +149,13 @@ def latent_space(docs: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int =
                 head = got.within % SIZES[1] == 0
                 sums = np.add.reduceat(got.sums(rows), np.flatnonzero(head), axis=0)
                 product = sums[:, :rank] / np.maximum(sums[:, rank:], 1e-9)
-                of_word = np.repeat(np.cumsum(head) - 1, np.diff(np.append(got.step_start, got.bounds[-1])))
-                order = np.argsort(got.slots, kind="stable")
-                slots = got.slots[order]
-                heads = np.flatnonzero(np.concatenate([[True], slots[1:] != slots[:-1]]))
-                total[slots[heads]] += np.add.reduceat(product[of_word[order]], heads, axis=0) * weight[slots[heads]][:, None]
+                words = np.flatnonzero(weight[got.slots])
+                if not len(words):
+                    continue
+                order = words[np.argsort(got.slots[words], kind="stable")]
+                of_word = (np.cumsum(head) - 1)[got.step_of]
+                slots, sums = _run_sums(got.slots[order], product, of_word[order])
+                total[slots] += sums * weight[slots][:, None]
         part = TaskContext.get().partitionId()
         cuts = range(0, size, SUM_ROWS)
         yield pa.RecordBatch.from_arrays(
