@@ -257,3 +257,25 @@ def test_stored_tables_and_shuffle_joins_give_the_same_result(spark, data, resul
             assert mine == usual, name
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_found_measures_and_absent_columns_can_be_scored(spark, data, tmp_path):
+    """What the run resolved is what it stores: measures found, no grouping, known categoricals."""
+    folder = str(tmp_path / "out")
+    spec = AnalysisSpec(name="found", grouping="nowhere", categorical=["weekday", "weight", "unknown"], min_combination_size=5, max_k=3)
+    run = analyze(data.select("weekday", "weight", "hours", "weight_kg"), spec)
+    save(run, folder)
+    scoring = streaming.load_scoring_tables(spark, folder)
+    assert (scoring.spec.continuous, scoring.spec.grouping, scoring.spec.categorical) == (["hours", "weight_kg"], None, ["weekday", "weight"])
+    rows = spark.createDataFrame(trips(rows=40))
+    assert streaming.score(rows, scoring).where("reject_reason is not null").isEmpty()
+    found = streaming.score(rows.drop("hours"), scoring).groupBy("feature", "reject_reason").count().collect()
+    assert {tuple(r) for r in found} == {("hours", "measure absent", 40), ("weight_kg", None, 40)}
+    for name in ("silhouette_samples", "projection"):
+        assert read_table(spark, folder, name, run.run_id).count() > 0
+
+
+def test_infinite_measure_leaves_the_other_segments(data):
+    endless = data.withColumn("hours", F.when(F.col("trip") == 7, float("inf")).otherwise(F.col("hours")))
+    out = analyze(endless, AnalysisSpec(categorical=["weekday", "weight"], continuous=["hours", "weight_kg"], min_combination_size=5, max_k=3))
+    assert {r.feature for r in out["bin_params"].collect()} == {"weight_kg"}

@@ -123,3 +123,13 @@ def test_one_hot_names_come_from_values_not_prefixes(spark):
     assert combos.one_hot_names(df, []) == []
     assert combos.one_hot(df, ["missing"], "grp", ["weight_kg"]).columns == ["grp", "weight_kg"]
     assert combos.one_hot(df, [], None, []).columns == []
+
+
+def test_long_one_hot_lists_the_ones_of_the_wide_one(spark):
+    df = spark.createDataFrame([(1, "a", 3), (2, None, 4), (3, "b", None), (4, None, None)], "id int, x string, y int")
+    long = combos.one_hot_long(df, ["x", "y", "z"], ["id"])
+    assert sorted(tuple(r) for r in long.collect()) == [(1, "x", "a"), (1, "y", "3"), (2, "y", "4"), (3, "x", "b")]
+    assert combos.one_hot_long(df, ["z"], ["id"]).count() == 0
+    shown = combos.one_hot(df, ["x", "y"], keep=["id"], values=[("x", "b"), ("y", "4")])
+    assert shown.columns == ["id", "x_b", "y_4"]
+    assert sorted(tuple(r) for r in shown.collect()) == [(1, 0.0, 0.0), (2, 0.0, 1.0), (3, 1.0, 0.0), (4, 0.0, 0.0)]
