@@ -10,7 +10,7 @@ its overlap plus what can still come (the shorter of what remains of both) is to
 Equal sets are one class from the start. A first round deals every class by its first three
 shared n-grams only and joins components. In the second round only n-grams that still
 belong to several components are looked at, all of them, so no link between components is
-missed, while a group of thousands of near copies is not compared pair by pair again. Groups
+missed; a set goes to a task only if by the prefixes there it can be similar to one of another component, while a group of thousands of near copies is not compared pair by pair again. Groups
 above a task's size are dealt in blocks and pairs of blocks.
 
 Sets are compared by 40-bit hashes, five bytes each: a wrong count needs a collision within one
@@ -121,14 +121,19 @@ class Trie:
 
     A node holds a run of at most ``SEGMENT`` codes. Arrays by node: parent, depth after the
     run, last code, the set that ends there (or -1), smallest and largest set size below.
+
+    With ``sizes`` the sequences are only the first elements of sets of these sizes; partners are
+    then all sets that can be similar by what is known.
     """
 
-    def __init__(self, sets: list[np.ndarray]):
-        self.sizes = np.array([len(s) for s in sets], np.int64)
+    def __init__(self, sets: list[np.ndarray], sizes: np.ndarray | None = None):
+        lengths = np.array([len(s) for s in sets], np.int64)
+        self.sizes = lengths if sizes is None else sizes
         codes, flat = np.unique(np.concatenate(sets), return_inverse=True)
         self.n_codes = len(codes)
-        cuts = np.cumsum(self.sizes)
-        self.sets = np.split(flat.astype(np.int32), cuts[:-1])
+        self.known = np.split(flat.astype(np.int32), np.cumsum(lengths)[:-1])
+        # beginnings may be equal: a mark of its own, above all codes, ends each sequence
+        self.sets = self.known if sizes is None else [np.append(s, np.int32(self.n_codes + 1 + i)) for i, s in enumerate(self.known)]
         raw = [s.astype(">i4").tobytes() for s in self.sets]
         order = sorted(range(len(sets)), key=raw.__getitem__)
         parent, start, stop, owner, ends = [], [], [], [], []
@@ -185,9 +190,9 @@ class Trie:
         self.ends = np.array(ends, np.int64)[by]
         self.codes = np.full((n, SEGMENT), self.n_codes, np.int32)
         for row, node in enumerate(by):
-            part = self.sets[owner[node]][start[node] : stop[node]]
+            part = self.known[owner[node]][start[node] : stop[node]]
             self.codes[row, : len(part)] = part
-        self.last = np.array([self.sets[owner[node]][stop[node] - 1] for node in by], np.int64)
+        self.last = np.array([self.known[owner[node]][min(stop[node], len(self.known[owner[node]])) - 1] for node in by], np.int64)
         self.least, self.most = np.full(n, 1 << 60, np.int64), np.zeros(n, np.int64)
         done = self.ends >= 0
         self.least[done] = self.most[done] = self.sizes[self.ends[done]]
@@ -207,24 +212,29 @@ class Trie:
 
     def partners(self, r: int, num: int, den: int) -> np.ndarray:
         """Sets not larger than set r with den * overlap >= num * union, r itself left out."""
-        mine, size = self.sets[r], len(self.sets[r])
+        mine, size = self.known[r], int(self.sizes[r])
         smallest = -(-num * size // den)
         self.mark[mine] = True
         nodes = np.arange(self.level_end[1])
-        before = np.zeros(len(nodes), np.int64)
+        before = seen = np.zeros(len(nodes), np.int64)
         found = []
         while len(nodes):
-            overlap = before + self.mark[self.codes[nodes]].sum(axis=1)
-            rest = np.minimum(size - np.searchsorted(mine, self.last[nodes], side="right"), self.most[nodes] - self.depth[nodes])
+            codes = self.codes[nodes]
+            overlap = before + self.mark[codes].sum(axis=1)
+            # what both may still have in common: elements after the last one known of either
+            passed = seen + (codes <= mine[-1]).sum(axis=1)
+            left = size - np.searchsorted(mine, self.last[nodes], side="right")
+            rest = np.minimum(left, self.most[nodes] - passed)
             need = num * (size + np.maximum(self.least[nodes], smallest))
             alive = ((overlap + rest) * (num + den) >= need) & (self.most[nodes] >= smallest) & (self.least[nodes] <= size)
-            nodes, overlap = nodes[alive], overlap[alive]
+            nodes, overlap, passed, left = nodes[alive], overlap[alive], passed[alive], left[alive]
             done = self.ends[nodes] >= 0
             other = self.ends[nodes[done]]
-            hit = (den + num) * overlap[done] >= num * (size + self.sizes[other])
+            rest = np.minimum(left[done], self.sizes[other] - passed[done])
+            hit = (den + num) * (overlap[done] + rest) >= num * (size + self.sizes[other])
             found.append(other[hit & (self.sizes[other] <= size) & (other != r)])
             kids = self.kids[nodes]
-            before = np.repeat(overlap, kids)
+            before, seen = np.repeat(overlap, kids), np.repeat(passed, kids)
             nodes = np.repeat(self.first_kid[nodes] - np.cumsum(kids) + kids, kids) + np.arange(kids.sum())
         self.mark[mine] = False
         return np.concatenate(found) if found else np.zeros(0, np.int64)
@@ -262,6 +272,32 @@ def trie_links(sets: list[np.ndarray], group: np.ndarray, num: int, den: int) ->
     return links
 
 
+def possible(sets: list[np.ndarray], sizes: np.ndarray, group: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which sets, known by their first elements, can be similar to one of another group."""
+    trie = Trie(sets, sizes)
+    out = np.zeros(len(sets), bool)
+    for r in range(len(sets)):
+        near = trie.partners(r, num, den)
+        near = near[group[near] != group[r]]
+        if len(near):
+            out[r] = out[near] = True
+    return out
+
+
+def _possible_tasks(dealt: DataFrame, heads: DataFrame, num: int, den: int) -> DataFrame:
+    """The rows of ``dealt`` whose set can be similar to one of another component in its task, by prefixes alone."""
+
+    def check(table: pa.Table) -> pa.Table:
+        prefix = table.column("prefix").combine_chunks()
+        prefix = prefix.chunk(0) if isinstance(prefix, pa.ChunkedArray) else prefix
+        flat = prefix.flatten().to_numpy(zero_copy_only=False).astype(U)
+        sets = np.split(flat, np.cumsum(np.diff(prefix.offsets.to_numpy()))[:-1])
+        keep = possible(sets, table.column("n").to_numpy(), table.column("part").to_numpy(), num, den)
+        return table.select(["task", "node", "part"]).filter(pa.array(keep))
+
+    return dealt.distinct().join(heads, "node").groupBy("task").applyInArrow(check, "task bigint, node bigint, part bigint")
+
+
 def _join_tasks(dealt: DataFrame, sets: DataFrame, levels, num: int, den: int) -> DataFrame:
     """Links (u, v) of the sets that meet in a task: ``dealt`` has task, node, part (its component)."""
 
@@ -365,7 +401,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10
     found = written(found, "parts")
     cross = found.groupBy("token").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a <> b").select("token")
     rest = found.join(cross, "token", "left_semi")
-    far = written(connected(_join_tasks(dealt(rest, True), sets, levels, num, den)), "far")
+    known = described.select(F.col("uid").alias("node"), "n", "prefix")
+    rest = written(_possible_tasks(dealt(rest, True), known, num, den), "possible")
+    far = written(connected(_join_tasks(rest, sets, levels, num, den)), "far")
     for table in (sets, tokens, found):
         discard(table)
 

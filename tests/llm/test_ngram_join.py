@@ -44,6 +44,21 @@ def test_trie_finds_all_partners():
         assert set(trie.partners(r, 6, 10).tolist()) == want
 
 
+def test_prefixes_rule_out_no_partner():
+    rng = np.random.default_rng(4)
+    sets = list({s.tobytes(): s for s in (np.unique(rng.integers(0, 60, rng.integers(1, 40))).astype(np.uint64) for _ in range(200))}.values())
+    sets += [np.append(s, np.uint64(100)) for s in sets[:40]]
+    sizes = np.array([len(s) for s in sets])
+    heads = [s[: len(s) - -(-7 * len(s) // 10) + 1] for s in sets]
+    whole, known = ngram_join.Trie(sets), ngram_join.Trie(heads, sizes)
+    for r in range(len(sets)):
+        assert set(whole.partners(r, 7, 10).tolist()) <= set(known.partners(r, 7, 10).tolist())
+    group = np.arange(len(sets))
+    linked = {x for r in range(len(sets)) for s in whole.partners(r, 7, 10).tolist() for x in (r, s)}
+    kept = ngram_join.possible(heads, sizes, group, 7, 10)
+    assert linked <= set(np.flatnonzero(kept).tolist()) and not kept.all()
+
+
 def test_components_of_a_chain(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 90), (90, 95)], "u bigint, v bigint")
     got = {r.node: r.root for r in connected(chain).collect()}
