@@ -35,7 +35,7 @@ def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    return decontaminate.drop_leaking(docs, read_table(spark, sf_dir, "benchmark"))
+    return decontaminate.drop_leaking(docs, read_table(spark, sf_dir, "benchmark"), least_words=1)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,13 +5,19 @@ compared with the passages nearest to its length. Hashed TF-IDF rows of all pass
 its rows with a fixed random matrix and back (one pass), the sums of all tasks are a matrix of
 bounded size, and its single-pass Nystroem form gives singular vectors and values. In the
 latent space every passage is compared with every benchmark passage by cosine, in
-blocks of benchmark items. Candidates are then checked on the words themselves: the longest
-common subsequence of the item and the text around the passage must cover ``LCS_SHARE`` of the
-item, and ``ANSWER_SHARE`` of its last words, the answer.
-
-Defined cases: null and empty texts and items match nothing; items of fewer than ``LEAST_WORDS``
-words are too short to tell and match nothing; rows that repeat match alike; a null id is passed
-through; empty tables give no rows. Other columns are passed over.
+blocks of benchmark items. An item shorter than the smallest passage is diluted there by its
+neighbours, so it is also looked for exactly: every place that has ``GRAM`` of its words in a row
+(all of them, if it has fewer) is a candidate. Candidates are then checked on the words themselves:
+the longest common subsequence of the item and the text around the passage must cover ``LCS_SHARE``
+of the item, and ``ANSWER_SHARE`` of its last words, the answer.
+
+Words are runs of letters and digits; in scripts that are written without blanks (Chinese, Japanese,
+Thai, Lao, Burmese, Khmer) every character is a word.
+
+Defined cases: null and empty texts and items, and items without a letter or digit, match nothing;
+items of fewer than ``least_words`` words are passed over (1 keeps all: an item of one common word
+matches every document that has it); rows that repeat match alike; a null id is passed through;
+empty tables give no rows. Other columns are passed over.
 """
 
 from __future__ import annotations
@@ -26,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from massif.llm.tables import fresh, written
-from massif.llm.text import Words, text_chunks
+from massif.llm.text import Rolling, U, Words, mix, text_chunks
 from massif.llm.toxicity import LETTERS
 
 STEP = 8
@@ -40,13 +46,37 @@ RANK = 96
 COSINE = 0.5
 LCS_SHARE = 0.6
 ANSWER_SHARE = 0.5
+#: Items of fewer words are passed over unless the caller asks for them; the queries ask for all.
 LEAST_WORDS = 8
+#: Words in a row that make a place a candidate for a short item.
+GRAM = 5
+#: Bits of a gram's hash looked at before the search in the items' grams.
+GRAM_BITS = 16
 #: Benchmark items compared in one pass over the documents.
 BLOCK_ITEMS = 2000
 SUM_ROWS = 128
 LONG_RUN = 64
 
 
+def _unspaced() -> np.ndarray:
+    """Whether a character's first two UTF-8 bytes (as one number) are those of a script written without blanks."""
+    out = np.zeros(1 << 16, bool)
+    # Thai and Lao, Burmese, Khmer, kana and CJK up to U+9FFF, compatibility and full-width forms, U+20000 and above
+    for first, last in ((0xE0B8, 0xE0BB), (0xE180, 0xE182), (0xE19E, 0xE19F), (0xE380, 0xE9BF), (0xEFA4, 0xEFAB), (0xEFBC, 0xEFBE), (0xF0A0, 0xF0BF)):
+        out[first : last + 1] = True
+    return out
+
+
+UNSPACED = _unspaced()
+
+
+def _characters(data: np.ndarray) -> np.ndarray:
+    """Where the characters of unspaced scripts begin and end in UTF-8 bytes."""
+    lead = np.flatnonzero(data[:-1] >= 0xE0)
+    lead = lead[UNSPACED[data[lead].astype(np.int64) << 8 | data[lead + 1]]]
+    return np.concatenate([lead, lead + np.where(data[lead] >= 0xF0, 4, 3)])
+
+
 def _run_sums(groups: np.ndarray, rows: np.ndarray, picked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(group, sum of ``rows[picked]``) of every run of equal groups.
 
@@ -72,7 +102,7 @@ class Passages:
     """A chunk's words as slots and hashes, and its steps of ``STEP`` words."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        words = Words(data, offsets, lower=True, letters=LETTERS)
+        words = Words(data, offsets, lower=True, letters=LETTERS, cuts=_characters(data))
         self.bounds = words.bounds
         self.hashes = words.hashes()
         self.slots = (self.hashes >> np.uint64(64 - SLOT_BITS)).astype(np.uint16)
@@ -84,6 +114,13 @@ class Passages:
         self.step_doc = np.repeat(np.arange(len(count)), self.steps)
         self.step_of = np.repeat(np.arange(len(self.step_start)), np.diff(np.append(self.step_start, self.bounds[-1])))
 
+    def grams(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """First words and hashes of all runs of ``size`` words inside one document."""
+        first = np.arange(max(0, len(self.hashes) - size + 1))
+        end = np.repeat(self.bounds[1:], np.diff(self.bounds))[: len(first)]
+        first = first[first + size <= end]
+        return first, mix(Rolling(self.hashes, 4).slices(first, first + size) ^ U(size))
+
     def sums(self, rows: np.ndarray) -> np.ndarray:
         """Per step, the sum of its words' rows; words without weight have rows of 0 and are passed over."""
         out = np.zeros((len(self.step_start), rows.shape[1]), rows.dtype)
@@ -198,18 +235,26 @@ def common_subsequence(item: list[int], text: list[int]) -> int:
 class Items:
     """A block of benchmark items: words, latent vectors by passage size, and the item of each vector.
 
-    An item longer than the longest passage is a row of passages itself.
+    An item longer than the longest passage is a row of passages itself. ``grams`` has, by length,
+    the sorted hashes of the short items' grams, with the item and the place in it, and a table of
+    their leading bits.
     """
 
-    def __init__(self, ids: list[int], texts: list[str], space: np.ndarray):
+    def __init__(self, ids: list[int], texts: list[str], space: np.ndarray, least_words: int = LEAST_WORDS):
         self.ids, self.words = [], []
+        self.latent: list[np.ndarray] = []
+        grams: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
         held: dict[int, tuple[list, list]] = {size: ([], []) for size in SIZES}
         for item, text in zip(ids, texts, strict=True):
             raw = np.frombuffer(text.encode(), np.uint8)
             got = Passages(raw, np.array([0, len(raw)]))
             n = len(got.hashes)
-            if n < LEAST_WORDS:
+            if n < max(1, least_words):
                 continue
+            self.latent.append(_unit(space[got.slots].sum(axis=0, keepdims=True))[0])
+            if n < SIZES[0] * STEP:
+                first, hashes = got.grams(min(n, GRAM))
+                grams.setdefault(min(n, GRAM), []).append((hashes, np.full(len(first), len(self.ids)), first))
             size = min(SIZES, key=lambda s: abs(s * STEP - n))
             whole = n <= SIZES[-1] * STEP * 4 // 3
             z = space[got.slots].sum(axis=0, keepdims=True) if whole else got.whole(got.sums(space), size)
@@ -222,6 +267,13 @@ class Items:
         for i, w in enumerate(self.words):
             self.has[i, (np.array(w, np.uint64) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)] = True
         self.by_size = {size: (_unit(np.concatenate(z)), np.array(owner, np.int64)) for size, (z, owner) in held.items() if z}
+        self.grams = {}
+        for size, parts in grams.items():
+            hashes, owner, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+            by = np.argsort(hashes, kind="stable")
+            known = np.zeros(1 << GRAM_BITS, bool)
+            known[(hashes >> U(64 - GRAM_BITS)).astype(np.int64)] = True
+            self.grams[size] = (hashes[by], owner[by], place[by], known)
 
 
 def _unit(z: np.ndarray) -> np.ndarray:
@@ -234,13 +286,63 @@ def _region(at, size, n, b0, b1):
     return np.maximum(b0, at - reach), np.minimum(b1, at + size + reach)
 
 
+def _enough_known(got: Passages, items: Items, q: np.ndarray, a: np.ndarray, b: np.ndarray, share: float) -> np.ndarray:
+    """Whether words ``a`` to ``b`` have enough words whose slot item ``q`` has, for a common subsequence of ``share``."""
+    keep = np.zeros(len(q), bool)
+    for part in range(0, len(q), 1 << 14):
+        cut = slice(part, part + (1 << 14))
+        n = b[cut] - a[cut]
+        ends = np.cumsum(n)
+        words = np.repeat(a[cut] - ends + n, n) + np.arange(ends[-1])
+        known = items.has[np.repeat(q[cut], n), got.slots[words]]
+        keep[cut] = np.add.reduceat(known, ends - n, dtype=np.int64) >= share * items.sizes[q[cut]]
+    return keep
+
+
+def exact_candidates(got: Passages, items: Items, space: np.ndarray, share: float) -> dict[tuple[int, int], list[tuple[float, int, int]]]:
+    """Like ``candidates``, of the places that have a gram of a short item; the cosine is that of so many words as the item has."""
+    found: dict[tuple[int, int], list[tuple[float, int, int]]] = {}
+    for size, (hashes, owner, place, known) in items.grams.items():
+        first, here = got.grams(size)
+        likely = np.flatnonzero(known[(here >> U(64 - GRAM_BITS)).astype(np.int64)])
+        lo, hi = (np.searchsorted(hashes, here[likely], side=side) for side in ("left", "right"))
+        n = hi - lo
+        row = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        q, at = owner[row], np.repeat(first[likely], n)
+        if not len(q):
+            continue
+        doc = np.searchsorted(got.bounds, at, side="right") - 1
+        b0, b1 = got.bounds[doc], got.bounds[doc + 1]
+        start = np.maximum(b0, at - place[row])
+        # the grams of one copy give one place
+        _, one = np.unique(np.column_stack([q, start]), axis=0, return_index=True)
+        q, start, doc, b0, b1 = q[one], start[one], doc[one], b0[one], b1[one]
+        keep = _enough_known(got, items, q, *_region(start, items.sizes[q], items.sizes[q], b0, b1), share)
+        for doc, q, at, end in zip(doc[keep].tolist(), q[keep].tolist(), start[keep].tolist(), b1[keep].tolist(), strict=True):
+            m = int(items.sizes[q])
+            near = found.setdefault((doc, q), [])
+            # a whole copy cannot be bettered
+            if near and near[-1][0] == 2.0:
+                continue
+            if got.hashes[at : min(at + m, end)].tolist() == items.words[q]:
+                near[:] = [(2.0, at, m)]
+            else:
+                z = _unit(space[got.slots[at : min(at + m, end)]].sum(axis=0, keepdims=True))[0]
+                near.append((float(z @ items.latent[q]), at, m))
+    for (_, q), near in found.items():
+        if near[-1][0] == 2.0:
+            z = items.latent[q]
+            near[-1] = (float(z @ z), *near[-1][1:])
+    return found
+
+
 def candidates(got: Passages, items: Items, space: np.ndarray, cosine: float, share: float) -> dict[tuple[int, int], list[tuple[float, int, int]]]:
     """(document, item) -> (cosine, first word, words) of the passages near the item, the nearest first.
 
     A common subsequence cannot be longer than the number of words around the passage whose slot
     the item has; passages that fall short of ``share`` by this bound are left out.
     """
-    found: dict[tuple[int, int], list[tuple[float, int, int]]] = {}
+    found = exact_candidates(got, items, space, share)
     sums = got.sums(space)
     for size, (vectors, owner) in items.by_size.items():
         first = got.starts(size)
@@ -251,14 +353,7 @@ def candidates(got: Passages, items: Items, space: np.ndarray, cosine: float, sh
             at, q, c = first[lo + row], owner[col], near[row, col]
             doc, start = got.step_doc[at], got.step_start[at]
             a, b = _region(start, size * STEP, items.sizes[q], got.bounds[doc], got.bounds[doc + 1])
-            keep = np.zeros(len(at), bool)
-            for part in range(0, len(at), 1 << 14):
-                cut = slice(part, part + (1 << 14))
-                n = b[cut] - a[cut]
-                ends = np.cumsum(n)
-                words = np.repeat(a[cut] - ends + n, n) + np.arange(ends[-1])
-                known = items.has[np.repeat(q[cut], n), got.slots[words]]
-                keep[cut] = np.add.reduceat(known, ends - n, dtype=np.int64) >= share * items.sizes[q[cut]]
+            keep = _enough_known(got, items, q, a, b, share)
             for doc, q, c, start in zip(doc[keep].tolist(), q[keep].tolist(), c[keep].tolist(), start[keep].tolist(), strict=True):
                 found.setdefault((doc, q), []).append((c, start, size * STEP))
     for near_ in found.values():
@@ -288,7 +383,7 @@ def verify(got: Passages, items: Items, doc: int, item: int, near: list[tuple[fl
 
 def find_leaks(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
-    cosine: float = COSINE, share: float = LCS_SHARE, answer: float = ANSWER_SHARE,
+    cosine: float = COSINE, share: float = LCS_SHARE, answer: float = ANSWER_SHARE, least_words: int = LEAST_WORDS,
 ) -> DataFrame:
     """One row per document and benchmark item found in it: id, item, cosine, lcs_share, answer_share."""
     spark = docs.sparkSession
@@ -304,7 +399,7 @@ def find_leaks(
     out = None
     for block in blocks:
         held = listed.filter(F.col("block") == block).orderBy("item", "text").collect()  # about BLOCK_ITEMS rows
-        shared = spark.sparkContext.broadcast((space, Items([r["item"] for r in held], [r["text"] for r in held], space)))
+        shared = spark.sparkContext.broadcast((space, Items([r["item"] for r in held], [r["text"] for r in held], space, least_words)))
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             space, items = shared.value
@@ -325,8 +420,8 @@ def find_leaks(
     return out
 
 
-def drop_leaking(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_leaking(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """The documents in which no benchmark item is found, with all their columns."""
     i = fresh("id", docs)
-    leaking = written(find_leaks(docs, benchmark, id_col, text_col).select(F.col(id_col).alias(i)).distinct(), "leaking")
+    leaking = written(find_leaks(docs, benchmark, id_col, text_col, least_words=least_words).select(F.col(id_col).alias(i)).distinct(), "leaking")
     return docs.join(leaking, docs[id_col].eqNullSafe(F.col(i)), "left_anti")

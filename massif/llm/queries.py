@@ -125,4 +125,4 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = (read_table(spark, sf_dir, t) for t in ("documents", "benchmark"))
-    return decontaminate.find_leaks(docs, benchmark).select("doc_id", "item_id", "cosine", "lcs_share", "answer_share")
+    return decontaminate.find_leaks(docs, benchmark, least_words=1).select("doc_id", "item_id", "cosine", "lcs_share", "answer_share")

@@ -85,10 +85,10 @@ class Rolling:
 class Words:
     """The words of a chunk: byte ranges, first word of each document, hashes.
 
-    Words are ``[^\\x20\\x09-\\x0D]+``, or runs of the bytes that ``letters`` allows.
+    Words are ``[^\\x20\\x09-\\x0D]+``, or runs of the bytes that ``letters`` allows; they end at ``cuts``.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, letters: np.ndarray | None = None):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, letters: np.ndarray | None = None, cuts: np.ndarray | None = None):
         n = len(data)
         if lower:
             data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
@@ -96,6 +96,8 @@ class Words:
         inside = ~((data == 32) | ((data >= 9) & (data <= 13))) if letters is None else letters[data]
         edge = np.zeros(n + 1, bool)
         edge[offsets] = True
+        if cuts is not None:
+            edge[cuts] = True
         first = inside.copy()
         first[1:] &= ~inside[:-1] | edge[1:n]
         last = inside.copy()
