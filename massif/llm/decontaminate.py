@@ -5,9 +5,9 @@ compared with the passages nearest to its length. Hashed TF-IDF rows of all pass
 its rows with a fixed random matrix and back (one pass), the sums of all tasks are a matrix of
 bounded size, and its single-pass Nystroem form gives singular vectors and values. In the
 latent space every passage is compared with every benchmark passage by cosine, in
-blocks of benchmark items. An item shorter than the smallest passage is diluted there by its
-neighbours, so it is also looked for exactly: every place that has ``GRAM`` of its words in a row
-(all of them, if it has fewer) is a candidate. Candidates are then checked on the words themselves:
+blocks of benchmark items. Short items and items of frequent words alone are diluted there by their
+neighbours, so all items are also looked for exactly: every place that has ``GRAM`` words of an item
+in a row (all of them, if it has fewer) is a candidate. Candidates are then checked on the words themselves:
 the longest common subsequence of the item and the text around the passage must cover ``LCS_SHARE``
 of the item, and ``ANSWER_SHARE`` of its last words, the answer.
 
@@ -40,18 +40,16 @@ STEP = 8
 SIZES = (2, 4, 6)
 SLOT_BITS = 13
 IDF_POWER = 3
-#: Slots below this share of the median weight, so the words of every other document, count nothing.
-LEAST_WEIGHT = 0.1
 RANK = 96
 COSINE = 0.5
 LCS_SHARE = 0.6
 ANSWER_SHARE = 0.5
 #: Items of fewer words are passed over unless the caller asks for them; the queries ask for all.
 LEAST_WORDS = 8
-#: Words in a row that make a place a candidate for a short item.
+#: Words in a row that make a place a candidate for an item.
 GRAM = 5
 #: Bits of a gram's hash looked at before the search in the items' grams.
-GRAM_BITS = 16
+GRAM_BITS = 20
 #: Benchmark items compared in one pass over the documents.
 BLOCK_ITEMS = 2000
 SUM_ROWS = 128
@@ -122,10 +120,15 @@ class Passages:
         return first, mix(Rolling(self.hashes, 4).slices(first, first + size) ^ U(size))
 
     def sums(self, rows: np.ndarray) -> np.ndarray:
-        """Per step, the sum of its words' rows; words without weight have rows of 0 and are passed over."""
+        """Per step, the sum of its words' rows: all first words are added at once, then all second ones, and so on."""
         out = np.zeros((len(self.step_start), rows.shape[1]), rows.dtype)
-        words = np.flatnonzero(rows.any(axis=1)[self.slots])
-        step, total = _run_sums(self.step_of[words], rows, self.slots[words])
+        size = np.diff(np.append(self.step_start, self.bounds[-1]))
+        full = size == STEP
+        first, total = self.step_start[full], np.zeros((int(full.sum()), rows.shape[1]), rows.dtype)
+        for k in range(STEP):
+            total += rows[self.slots[first + k]]
+        out[full] = total
+        step, total = _run_sums(self.step_of[~full[self.step_of]], rows, self.slots[~full[self.step_of]])
         out[step] = total
         return out
 
@@ -163,8 +166,7 @@ def idf_weights(docs: DataFrame) -> np.ndarray:
     seen = np.zeros(1 << SLOT_BITS)
     seen[slots[slots >= 0]] = n[slots >= 0]
     # a power: words of every second sentence say little about which passage it is
-    weight = (np.log((n[slots < 0].sum() + 1) / (seen + 1)) + 0.05) ** IDF_POWER
-    return np.where(weight >= LEAST_WEIGHT * np.median(weight), weight, 0.0)
+    return (np.log((n[slots < 0].sum() + 1) / (seen + 1)) + 0.05) ** IDF_POWER
 
 
 def latent_space(docs: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int = 11) -> np.ndarray:
@@ -186,10 +188,7 @@ def latent_space(docs: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int =
                 head = got.within % SIZES[1] == 0
                 sums = np.add.reduceat(got.sums(rows), np.flatnonzero(head), axis=0)
                 product = sums[:, :rank] / np.maximum(sums[:, rank:], 1e-9)
-                words = np.flatnonzero(weight[got.slots])
-                if not len(words):
-                    continue
-                order = words[np.argsort(got.slots[words], kind="stable")]
+                order = np.argsort(got.slots, kind="stable")
                 of_word = (np.cumsum(head) - 1)[got.step_of]
                 slots, sums = _run_sums(got.slots[order], product, of_word[order])
                 total[slots] += sums * weight[slots][:, None]
@@ -236,7 +235,7 @@ class Items:
     """A block of benchmark items: words, latent vectors by passage size, and the item of each vector.
 
     An item longer than the longest passage is a row of passages itself. ``grams`` has, by length,
-    the sorted hashes of the short items' grams, with the item and the place in it, and a table of
+    the sorted hashes of the items' grams, with the item and the place in it, and a table of
     their leading bits.
     """
 
@@ -252,9 +251,8 @@ class Items:
             if n < max(1, least_words):
                 continue
             self.latent.append(_unit(space[got.slots].sum(axis=0, keepdims=True))[0])
-            if n < SIZES[0] * STEP:
-                first, hashes = got.grams(min(n, GRAM))
-                grams.setdefault(min(n, GRAM), []).append((hashes, np.full(len(first), len(self.ids)), first))
+            first, hashes = got.grams(min(n, GRAM))
+            grams.setdefault(min(n, GRAM), []).append((hashes, np.full(len(first), len(self.ids)), first))
             size = min(SIZES, key=lambda s: abs(s * STEP - n))
             whole = n <= SIZES[-1] * STEP * 4 // 3
             z = space[got.slots].sum(axis=0, keepdims=True) if whole else got.whole(got.sums(space), size)
@@ -300,7 +298,7 @@ def _enough_known(got: Passages, items: Items, q: np.ndarray, a: np.ndarray, b:
 
 
 def exact_candidates(got: Passages, items: Items, space: np.ndarray, share: float) -> dict[tuple[int, int], list[tuple[float, int, int]]]:
-    """Like ``candidates``, of the places that have a gram of a short item; the cosine is that of so many words as the item has."""
+    """Like ``candidates``, of the places that have a gram of an item; the cosine is that of so many words as the item has."""
     found: dict[tuple[int, int], list[tuple[float, int, int]]] = {}
     for size, (hashes, owner, place, known) in items.grams.items():
         first, here = got.grams(size)

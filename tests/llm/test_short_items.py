@@ -46,7 +46,7 @@ def test_short_items_are_found_word_for_word(spark):
 def test_items_of_unspaced_scripts(spark, script):
     rng = random.Random(5)
     letters = [chr(c) for c in UNSPACED[script]]
-    items = ["".join(rng.choices(letters, k=k)) for k in (6, 9, 14)]
+    items = ["".join(rng.choices(letters, k=k)) for k in (6, 9, 14, 30, 70)]
     texts = ["".join(rng.choices(letters, k=150)) for _ in range(40)]
     for n, item in enumerate(items):
         texts[n] = texts[n][: 50 + n] + item + texts[n][50 + n :]
@@ -61,3 +61,18 @@ def test_query_keeps_short_items(spark, tmp_path):
     spark.createDataFrame([(1, "who wrote it ada lovelace " + "other words " * 30), (2, "nothing of that kind " * 9)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(7, "Who wrote it? Ada Lovelace.")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert [(r.doc_id, r.item_id) for r in QUERIES["op7_benchmark_decontamination"](spark, str(tmp_path)).collect()] == [(1, 7)]
+
+
+def test_items_of_frequent_words_are_found(spark):
+    """Words of every other document keep their weight: an item of nothing else has a vector."""
+    rng = random.Random(3)
+    often = ["".join(rng.choices("abcdefghij", k=3)) for _ in range(60)]
+    rare = ["".join(rng.choices("abcdefghij", k=8)) for _ in range(4000)]
+    texts = [[rng.choice(often) if rng.random() < 0.5 else rng.choice(rare) for _ in range(120)] for _ in range(60)]
+    items = [rng.choices(often, k=k) for k in (18, 30, 45)]
+    for n, item in enumerate(items):
+        texts[n][16:16] = item
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id bigint, text string")
+    assert decontaminate.idf_weights(docs).min() > 0
+    assert {(n, n) for n in range(3)} <= {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, bench).collect()}
