@@ -126,9 +126,11 @@ def places(runs: list[Run]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarra
 PIECES = "piece int, start bigint, length bigint, ids binary, ids_crc32 bigint, part bigint, local_rank bigint"
 
 
-def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", added: bool = True) -> DataFrame:
     """The pieces of every document with their ids (little-endian unsigned 32-bit), stored.
 
+    Added tokens of the vocabulary are matched in the texts, unless ``added`` is false.
+
     Only a longer document is cut; its first piece is the shorter one. ``part`` and
     ``local_rank`` number the pieces of each length within the writing task.
     """
@@ -139,7 +141,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id
         ranks = np.zeros(capacity + 1, np.int64)
         end = np.array([end_id], "<u4")
         for batch in batches:
-            ids_of = encode_column(tokenizer, batch.column(1).to_pylist())
+            ids_of = encode_column(tokenizer, batch.column(1).to_pylist(), added)
             rows, out, held = [], {k: [] for k in ("piece", "start", "length", "ids", "ids_crc32", "local_rank")}, 0
             for row, ids in enumerate(ids_of):
                 ids = np.concatenate([ids, end]).astype("<u4", copy=False)

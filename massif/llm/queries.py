@@ -84,7 +84,7 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    blocks = token_output.write_tokens(docs, public_tokenizers.path("word_bpe_49k.json"))
+    blocks = token_output.write_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), added=True)
     return token_output.read_tokens(blocks).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 

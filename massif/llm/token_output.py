@@ -102,8 +102,11 @@ def decode_simple8b(words: np.ndarray, escapes: np.ndarray, n: int) -> np.ndarra
 BLOCK = "shard int, block int, word_start bigint, id_start bigint, n_ids bigint, words binary, escapes binary, n_tokens array<bigint>"
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = END_ID, block_ids: int = BLOCK_IDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode, append the end id, and write the shards; returns the written block table."""
+def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = END_ID, block_ids: int = BLOCK_IDS, id_col: str = "doc_id", text_col: str = "text", added: bool = False) -> DataFrame:
+    """Encode, append the end id, and write the shards; returns the written block table.
+
+    ``added`` matches the vocabulary's added tokens in the texts, as the library does by default.
+    """
     id_type = docs.schema[id_col].dataType
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +125,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = END_ID, block_id
 
         doc_ids, parts, sizes, held = [], [], [], 0
         for batch in batches:
-            for row, ids in enumerate(encode_column(tokenizer, batch.column(1).to_pylist())):
+            for row, ids in enumerate(encode_column(tokenizer, batch.column(1).to_pylist(), added)):
                 doc_ids.append(batch.column(0).slice(row, 1))
                 parts += [ids, end]
                 sizes.append(len(ids) + 1)

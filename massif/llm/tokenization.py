@@ -6,6 +6,10 @@ white space. So a text of ordinary characters is cut there; each distinct unit i
 the tokenizer's own pre-token pattern, spelled out for those characters, and encoded once by the
 library's model. Any other text, and any other kind of tokenizer, goes through the whole
 library. Both ways give the same ids.
+
+The vocabulary's added tokens ('<|endoftext|>') are matched inside texts where the caller asks for
+the library's own default (``added``), as the queries do: texts that hold one go through the whole
+library. Without it such a string is ordinary text (``encode_special_tokens``).
 """
 
 from __future__ import annotations
@@ -43,13 +47,15 @@ def byte_letters() -> list[str]:
 
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
         self.model = self.tokenizer.model
         with open(path, encoding="utf-8") as f:
             described = json.load(f)
+        # tokens that are not special are matched in either case
+        self.added = [x["content"].lower() for x in described.get("added_tokens") or [] if added or not x["special"]]
         pre, norm = described.get("pre_tokenizer") or {}, described.get("normalizer")
         parts = pre.get("pretokenizers") or [{}]
         self.cut, self.fold = None, False
@@ -66,6 +72,12 @@ class Encoder:
         self.units: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
+    def _holds_added(self, text: str) -> bool:
+        if not self.added:
+            return False
+        low = text.lower()
+        return any(token in low for token in self.added)
+
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
@@ -89,7 +101,7 @@ class Encoder:
         cut: list[list[str] | None] = []
         seen: set[str] = set()
         for text in texts:
-            if self.cut is None or UNSURE.search(text) or (not self.fold and DIVIDED_RUN.search(text)):
+            if self.cut is None or UNSURE.search(text) or (not self.fold and DIVIDED_RUN.search(text)) or self._holds_added(text):
                 cut.append(None)
                 continue
             units = text.split() if self.fold else text.split(" ")
@@ -116,14 +128,14 @@ class Encoder:
         return out
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, added: bool = False) -> Encoder:
     """The worker's encoder of a vocabulary file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    if (path, added) not in _ENCODERS:
+        _ENCODERS[path, added] = Encoder(path, added)
+    return _ENCODERS[path, added]
 
 
 def text_slices(texts: list[str], limit: int = 1 << 21) -> Iterator[tuple[int, int]]:
@@ -138,9 +150,9 @@ def text_slices(texts: list[str], limit: int = 1 << 21) -> Iterator[tuple[int, i
         yield lo, len(texts)
 
 
-def encode_column(path: str, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+def encode_column(path: str, texts: Iterable[str | None], added: bool = False) -> Iterator[np.ndarray]:
     """Ids of each text in order; null is empty."""
     whole = [t or "" for t in texts]
-    enc = encoder(path)
+    enc = encoder(path, added)
     for lo, hi in text_slices(whole):
         yield from enc.encode(whole[lo:hi])
