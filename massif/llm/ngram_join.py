@@ -13,8 +13,9 @@ belong to several components are looked at, all of them, so no link between comp
 missed; a set goes to a task only if by the prefixes there it can be similar to one of another component, while a group of thousands of near copies is not compared pair by pair again. Groups
 above a task's size are dealt in blocks and pairs of blocks.
 
-Sets are compared by 40-bit hashes, five bytes each: a wrong count needs a collision within one
-pair of sets (for two sets of 500, one pair in four million), and matters only at the threshold.
+Set sizes and the digests of classes are taken from the whole 64-bit hashes. Stored sets and
+prefixes have 56-bit hashes, seven bytes each: among n n-grams of a set or of two compared sets
+about n * n / 2**57 collide (one million: one set in 140,000).
 
 Defined cases: null, empty or blank texts have an empty set and no link; a text of fewer words
 is one n-gram; a null id is passed through and is the smallest only among nulls; rows that
@@ -38,7 +39,7 @@ from massif.llm.tables import discard, fresh, written
 from massif.llm.text import Rolling, U, Words, mix, text_chunks
 
 SKETCH_BITS = 22
-HASH_BITS = 40
+HASH_BITS = 56
 SKETCH_FLUSH = 1 << 22
 #: An n-gram is reported to the sketch by a task that meets it so often in one go.
 SKETCH_LEAST = 8
@@ -78,11 +79,21 @@ def _unpacked(raw: bytes, levels: np.ndarray) -> np.ndarray:
     return _keys(wide.view("<u8").ravel(), levels)
 
 
+def _distinct(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarray]:
+    """Each document's distinct n-grams as whole hashes."""
+    grams, starts = _grams(data, offsets, size)
+    return [np.unique(grams[a:b]) for a, b in zip(starts, starts[1:], strict=False)]
+
+
+def _ordered(grams: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """A document's n-grams in the global order."""
+    return np.unique(_keys(grams & U((1 << HASH_BITS) - 1), levels))
+
+
 def _sets(data: np.ndarray, offsets: np.ndarray, size: int, levels: np.ndarray) -> list[np.ndarray]:
     """Each document's distinct n-grams in the global order."""
     grams, starts = _grams(data, offsets, size)
-    keys = _keys(grams & U((1 << HASH_BITS) - 1), levels)
-    return [np.unique(keys[a:b]) for a, b in zip(starts, starts[1:], strict=False)]
+    return [_ordered(grams[a:b], levels) for a, b in zip(starts, starts[1:], strict=False)]
 
 
 def frequency_levels(docs: DataFrame, size: int) -> np.ndarray:
@@ -324,9 +335,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in text_chunks(batch.column(1)):
-                sets = _sets(data, offsets, words, levels.value)
-                sizes = np.array([len(s) for s in sets], np.int64)
-                flat = np.concatenate(sets)
+                whole = _distinct(data, offsets, words)
+                sizes = np.array([len(s) for s in whole], np.int64)
+                flat = np.concatenate(whole)
+                sets = [_ordered(s, levels.value) for s in whole]
                 at = np.concatenate([[0], np.cumsum(sizes)])
                 digests = []
                 for salt in (0x243F6A8885A308D3, 0x13198A2E03707344):
