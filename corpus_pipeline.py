@@ -15,12 +15,13 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go; it learns from the rows that are not held out."""
+    """Rows whose text the quality classifier rejects go, whatever their ids; it learns from the rows that are not held out."""
     learn = labelled.fold("doc_id", 4) != 2
-    rejected = quality.score_quality(docs, read_table(spark, sf_dir, "labels"), learn).filter(F.col("score") < quality.KEEP_FROM)
-    key = fresh("rejected", docs)
-    gone = rejected.select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col(key)), "left_anti")
+    key = fresh("text", docs)
+    marked = docs.withColumn(key, F.xxhash64(F.coalesce("text", F.lit(""))))
+    scored = quality.score_quality(marked, read_table(spark, sf_dir, "labels"), learn, key_col=key)
+    gone = written(scored.filter(F.col("score") < quality.KEEP_FROM).select(F.col(key).alias(f"{key}_k")).distinct(), "rejected")
+    return marked.join(gone, F.col(key) == F.col(f"{key}_k"), "left_anti").drop(key)
 
 
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

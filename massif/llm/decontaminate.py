@@ -419,7 +419,8 @@ def find_leaks(
 
 
 def drop_leaking(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
-    """The documents in which no benchmark item is found, with all their columns."""
-    i = fresh("id", docs)
-    leaking = written(find_leaks(docs, benchmark, id_col, text_col, least_words=least_words).select(F.col(id_col).alias(i)).distinct(), "leaking")
-    return docs.join(leaking, docs[id_col].eqNullSafe(F.col(i)), "left_anti")
+    """The rows in whose text no benchmark item is found, with all their columns; ids play no part."""
+    key = fresh("text", docs)
+    marked = docs.withColumn(key, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    leaking = written(find_leaks(marked, benchmark, key, text_col, least_words=least_words).select(F.col(key).alias(f"{key}_k")).distinct(), "leaking")
+    return marked.join(leaking, F.col(key) == F.col(f"{key}_k"), "left_anti").drop(key)

@@ -322,11 +322,11 @@ def _join_tasks(dealt: DataFrame, sets: DataFrame, levels, num: int, den: int) -
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text", task_sets: int = TASK_SETS) -> DataFrame:
-    """One row per input row: id, n_shingles, class_size, component_id, uid, component.
+    """One row per input row: id, n_shingles, class_size, component_id, uid, component, tkey.
 
     Two documents link when ``den * |intersection| >= num * |union|`` of their n-gram sets.
     ``component_id`` is the smallest id reachable by links; ``component`` names the component
-    without regard to ids, and ``uid`` the row.
+    without regard to ids, ``uid`` the row, and ``tkey`` the hash of its text.
     """
     spark = docs.sparkSession
     rows = keyed(docs, id_col, text_col)
@@ -422,18 +422,29 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10
     roots = classes.join(near, "node", "left").withColumn("mid", F.coalesce("root", "node")).drop("root")
     roots = roots.join(far.select(F.col("node").alias("mid"), "root"), "mid", "left").withColumn("component", F.coalesce("root", "mid"))
     roots = written(roots.select("d1", "d2", "n", "class_size", "component"), "roots")
-    placed = described.select("uid", "id", "n", "d1", "d2").join(roots, ["d1", "d2", "n"], "left")
-    placed = written(placed.select("uid", "id", "n", F.coalesce("class_size", F.lit(1).cast("bigint")).alias("class_size"), F.coalesce("component", "uid").alias("component")), "placed")
+    placed = described.select("uid", "id", "tkey", "n", "d1", "d2").join(roots, ["d1", "d2", "n"], "left")
+    placed = written(placed.select("uid", "id", "tkey", "n", F.coalesce("class_size", F.lit(1).cast("bigint")).alias("class_size"), F.coalesce("component", "uid").alias("component")), "placed")
     least = written(placed.groupBy("component").agg(F.min("id").alias("component_id")), "least")
-    return placed.join(least, "component").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "class_size", "component_id", "uid", "component")
+    return placed.join(least, "component").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "class_size", "component_id", "uid", "component", "tkey")
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The document with the smallest id of each component stays, with all its columns.
+    """One row of each component stays, that with the smallest id (nulls last), with all its columns.
 
-    Documents are told apart by id here: rows that repeat an id stay or go together.
+    Rows are told apart by id and text, so null and repeated ids do no harm; of rows that repeat
+    both, one stays. Texts without an n-gram have no link: all such rows stay.
     """
-    found = near_duplicates(docs, words, num, den, id_col, text_col)
-    i = fresh("id", docs)
-    gone = found.groupBy(F.col(id_col).alias(i)).agg(F.min(F.col(id_col).eqNullSafe(F.col("component_id")).cast("int")).alias("stays")).filter("stays = 0").select(i)
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col(i)), "left_anti")
+    found = near_duplicates(docs, words, num, den, id_col, text_col).filter("n_shingles > 0")
+    i, t = fresh("id", docs), fresh("text", docs)
+    found = written(found.select(F.col(id_col).alias(i), F.col("tkey").alias(f"{t}_k"), "component"), "linked")
+    first = found.groupBy("component").agg(F.min(F.struct(F.col(i).isNull().alias("none"), F.col(i).alias("id"), F.col(f"{t}_k").alias("key"))).alias("first"))
+    first = written(first, "first")
+    other = ~F.col(i).eqNullSafe(F.col("first.id")) | (F.col(f"{t}_k") != F.col("first.key"))
+    gone = written(found.join(first, "component").filter(other).select(i, f"{t}_k").distinct(), "gone")
+    match = (F.col(t) == F.col(f"{t}_k")) & F.col(id_col).eqNullSafe(F.col(i))
+    left = docs.withColumn(t, F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).join(gone, match, "left_anti")
+    repeats = written(found.groupBy(i, f"{t}_k").count().filter("count > 1").select(i, f"{t}_k"), "repeats")
+    if repeats.isEmpty():
+        return left.drop(t)
+    single = left.join(repeats, match, "left_anti")
+    return single.unionByName(left.join(repeats, match, "left_semi").dropDuplicates([t, id_col])).drop(t)
