@@ -8,7 +8,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massif.llm import chat_format, decontaminate, exact_dedup, labelled, ngram_join, packing, quality, substring_dedup, suffix_dedup, token_output, toxicity
+from massif.llm import (
+    byte_bpe,
+    chat_format,
+    decontaminate,
+    exact_dedup,
+    labelled,
+    ngram_join,
+    packing,
+    prefix_trie,
+    quality,
+    substring_dedup,
+    suffix_dedup,
+    token_align,
+    token_output,
+    toxicity,
+)
 from massif.llm.tables import read_table, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,3 +141,71 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = (read_table(spark, sf_dir, t) for t in ("documents", "benchmark"))
     return decontaminate.find_leaks(docs, benchmark, least_words=1).select("doc_id", "item_id", "cosine", "lcs_share", "answer_share")
+
+
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read_table(spark, sf_dir, "conversations")
+    numbered = stored(prefix_trie.number_turns(turns), "turns")
+    conv = F.col("conv")
+    heads = numbered.select("conv").distinct().select("conv", (conv - conv % 100).alias("head"), (F.crc32(conv.cast("string").cast("binary")) % 6).alias("take"))
+    # a conversation without id has no head
+    heads = heads.withColumn("take", F.coalesce("take", F.lit(0)).cast("bigint"))
+    return prefix_trie.prefix_trie(stored(prefix_trie.rebuild(numbered, heads), "rebuilt"), members=heads)
+
+
+ORACLE["op11_prefix_trie"] = r"""
+WITH t AS (
+  SELECT conv_id, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest, length(coalesce(text, '')) AS points,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS p
+  FROM conversations
+), c AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS head,
+         xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ord(x)::BIGINT),
+             lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda p, q: xor(p >> 1, (p & 1) * 3988292384))), 4294967295) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM t)
+), r AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY own, p) AS depth, digest, points
+  FROM (SELECT c.conv_id, 0 AS own, t.p, t.digest, t.points FROM c JOIN t ON t.conv_id = c.head AND t.p <= c.h
+        UNION ALL SELECT c.conv_id, 1, t.p, t.digest, t.points FROM c JOIN t ON t.conv_id = c.conv_id AND t.p > c.h)
+), paths AS (
+  SELECT conv_id, depth, sha256(string_agg(digest, '') OVER (PARTITION BY conv_id ORDER BY depth)) AS node, points,
+         depth = max(depth) OVER (PARTITION BY conv_id) AS is_end
+  FROM r
+  UNION ALL SELECT conv_id, 0, '', 0, conv_id NOT IN (SELECT conv_id FROM r) FROM c
+), nodes AS (
+  SELECT depth, node, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(points) AS saved,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (is_end), '')) AS ends_sha256
+  FROM paths GROUP BY depth, node
+), above AS (
+  SELECT n.depth, n.node, p.node AS parent, m.conv_id AS parent_conv_id
+  FROM nodes n JOIN paths p ON p.conv_id = n.conv_id AND p.depth = n.depth - 1 JOIN nodes m ON m.depth = p.depth AND m.node = p.node
+), children AS (
+  SELECT depth - 1 AS depth, parent AS node, count(*) AS n_children FROM above GROUP BY ALL
+), totals AS (
+  SELECT p.depth, p.node, sum(n.saved) AS saved_tokens, count(*) FILTER (k.n_children IS NULL) AS n_leaves
+  FROM nodes n JOIN paths p ON p.conv_id = n.conv_id AND p.depth <= n.depth LEFT JOIN children k ON k.depth = n.depth AND k.node = n.node
+  GROUP BY p.depth, p.node
+)
+SELECT n.conv_id, n.depth, a.parent_conv_id, n.n_convs, coalesce(k.n_children, 0) AS n_children, t.n_leaves, CAST(t.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN totals t USING (depth, node) LEFT JOIN above a USING (depth, node) LEFT JOIN children k USING (depth, node)
+"""
+
+
+@query
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = byte_bpe.encode(read_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return byte_bpe.decode(encoded, ranks, public_tokenizers.PATTERN).select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query
+def op13_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = (public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    aligned = token_align.align(read_table(spark, sf_dir, "documents"), a, b)
+    return token_align.score_links(aligned, token_align.link_counts(spark, aligned, a, b))
