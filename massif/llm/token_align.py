@@ -33,7 +33,7 @@ from massif.llm.tables import stored
 from massif.llm.tokenization import byte_letters, encoder, text_slices
 
 SLICE_CHARS = 1 << 20
-ALIGNED = "a_ids array<int>, b_ids array<int>, a_sizes array<int>, b_sizes array<int>, links array<int>"
+ALIGNED = "a_ids array<int>, b_ids array<int>, a_sizes array<int>, b_sizes array<int>, links array<int>, groups_sha256 string"
 
 
 class TokenBytes:
@@ -136,6 +136,21 @@ def common_ends(a: np.ndarray, b: np.ndarray, a_bounds: np.ndarray, b_bounds: np
         )
 
 
+def groups_text(a_ids: np.ndarray, b_ids: np.ndarray, a_sizes: np.ndarray, b_sizes: np.ndarray) -> str:
+    """The groups of one document as ``a1,a2|b1;a3|b2,b3``; empty without tokens."""
+    a_text, b_text = (np.array(list(map(str, ids.tolist())), object) for ids in (a_ids, b_ids))
+    ends = [np.cumsum(sizes) - 1 for sizes in (a_sizes, b_sizes)]
+    for text, end, mark in ((a_text, ends[0], "|"), (b_text, ends[1], ";")):
+        last = text[end] + mark
+        text += ","
+        text[end] = last
+    # every group's A tokens stand before its B tokens
+    out = np.empty(len(a_text) + len(b_text), object)
+    out[np.arange(len(a_text)) + np.repeat(np.cumsum(b_sizes) - b_sizes, a_sizes)] = a_text
+    out[np.arange(len(b_text)) + np.repeat(np.cumsum(a_sizes), b_sizes)] = b_text
+    return "".join(out.tolist())[:-1]
+
+
 class Aligner:
     """The worker's pair of vocabularies."""
 
@@ -145,7 +160,7 @@ class Aligner:
         self.a, self.b = byte_level_tokens(a_path), piece_tokens(self.model)
         self.pairs = possible_links(self.a, self.b)
 
-    def align(self, texts: list[str]) -> list[pa.ListArray]:
+    def align(self, texts: list[str]) -> list[pa.Array]:
         """The columns of ``ALIGNED``."""
         spaced = [" " + t if t else "" for t in texts]
         a_lists = encoder(self.a_path).encode(spaced)
@@ -160,10 +175,11 @@ class Aligner:
         links = np.searchsorted(self.pairs, a_ids[cut_a] * len(self.b.tokens) + b_ids[cut_b])
         groups = np.searchsorted(cut_a, a_bounds)
         sizes = [np.diff(np.concatenate([[-1], cut])) for cut in (cut_a, cut_b)]
-        return [
-            pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values.astype(np.int32)))
-            for bounds, values in ((a_bounds, a_ids), (b_bounds, b_ids), (groups, sizes[0]), (groups, sizes[1]), (groups, links))
-        ]
+        columns = [(a_bounds, a_ids), (b_bounds, b_ids), (groups, sizes[0]), (groups, sizes[1]), (groups, links)]
+        shown = (groups_text(*(values[bounds[k] : bounds[k + 1]] for bounds, values in columns[:4])) for k in range(len(texts)))
+        digests = pa.array([hashlib.sha256(t.encode()).hexdigest() if t else "" for t in shown])
+        lists = (pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values.astype(np.int32))) for bounds, values in columns)
+        return [*lists, digests]
 
 
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
@@ -207,21 +223,6 @@ def link_counts(spark: SparkSession, aligned: DataFrame, a_path: str, b_path: st
     return spark.createDataFrame(table, "link int, a_id int, b_id int, n bigint, is_best boolean")
 
 
-def groups_text(a_ids: np.ndarray, b_ids: np.ndarray, a_sizes: np.ndarray, b_sizes: np.ndarray) -> str:
-    """The groups of one document as ``a1,a2|b1;a3|b2,b3``."""
-    a_text, b_text = (np.array(list(map(str, ids.tolist())), object) for ids in (a_ids, b_ids))
-    ends = [np.cumsum(sizes) - 1 for sizes in (a_sizes, b_sizes)]
-    for text, end, mark in ((a_text, ends[0], "|"), (b_text, ends[1], ";")):
-        last = text[end] + mark
-        text += ","
-        text[end] = last
-    # every group's A tokens stand before its B tokens
-    out = np.empty(len(a_text) + len(b_text), object)
-    out[np.arange(len(a_text)) + np.repeat(np.cumsum(b_sizes) - b_sizes, a_sizes)] = a_text
-    out[np.arange(len(b_text)) + np.repeat(np.cumsum(a_sizes), b_sizes)] = b_text
-    return "".join(out.tolist())[:-1]
-
-
 SCORED = "n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string"
 
 
@@ -229,7 +230,7 @@ def score_links(aligned: DataFrame, counts: DataFrame, id_col: str = "doc_id") -
     """Per document: its tokens, groups and links, how many links are the best of their B id, the sum of all links' counts, and the digest of its groups."""
     held = counts.select("link", "n", "is_best").toArrow()  # bounded by the vocabularies
     size = int(np.max(held.column("link").to_numpy(), initial=-1)) + 1
-    n, best = np.zeros(size, np.int64), np.zeros(size, bool)
+    n, best = np.zeros(size, np.int64), np.zeros(size, np.int64)
     n[held.column("link").to_numpy()] = held.column("n").to_numpy()
     best[held.column("link").to_numpy()] = held.column("is_best").to_numpy(zero_copy_only=False)
 
@@ -237,19 +238,14 @@ def score_links(aligned: DataFrame, counts: DataFrame, id_col: str = "doc_id") -
         for batch in batches:
             if not batch.num_rows:
                 continue
-            offsets, values = zip(*((c.offsets.to_numpy(), c.values.to_numpy()) for c in batch.columns[1:]), strict=True)
-            n_a, n_b, n_groups = (np.diff(offsets[k]).astype(np.int64) for k in (0, 1, 2))
+            offsets, values = batch.column(1).offsets.to_numpy(), batch.column(1).values.to_numpy()
+            links = values[offsets[0] : offsets[-1]]
             # running sums over all links of the batch, taken at the ends of the documents
-            bounds = offsets[4] - offsets[4][0]
-            links = values[4][offsets[4][0] : offsets[4][-1]]
-            sums = [np.diff(np.concatenate([[0], np.cumsum(x[links])])[bounds]) for x in (best.astype(np.int64), n)]
-            digests = []
-            for k in range(batch.num_rows):
-                part = [v[o[k] : o[k + 1]] for o, v in zip(offsets[:4], values[:4], strict=True)]
-                digests.append(hashlib.sha256(groups_text(*part).encode()).hexdigest() if len(part[0]) else "")
-            columns = [batch.column(0), *map(pa.array, (n_a, n_b, n_groups, n_groups, *sums)), pa.array(digests)]
-            yield pa.RecordBatch.from_arrays(columns, ["id", *(c.split()[0] for c in SCORED.split(", "))])
-
-    schema = T.StructType([T.StructField("id", aligned.schema[id_col].dataType), *T._parse_datatype_string(SCORED).fields])
-    rows = aligned.select(F.col(id_col).alias("id"), "a_ids", "b_ids", "a_sizes", "b_sizes", "links")
-    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+            sums = [np.diff(np.concatenate([[0], np.cumsum(x[links])])[offsets - offsets[0]]) for x in (best, n)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, sums)], ["row", "links", "n_best", "count_sum"])
+
+    row = F.struct(F.col(id_col).alias("id"), *(F.size(c).cast("bigint").alias(k) for c, k in (("a_ids", "n_a"), ("b_ids", "n_b"), ("links", "n_groups"))), "groups_sha256")
+    rows = aligned.select(row.alias("row"), "links")
+    schema = T.StructType([*rows.schema.fields, *T._parse_datatype_string("n_best bigint, count_sum bigint").fields])
+    scored = rows.mapInArrow(run, schema).select("row.*", "n_best", "count_sum").withColumn("n_links", F.col("n_groups"))
+    return scored.select("id", *(c.split()[0] for c in SCORED.split(", "))).withColumnRenamed("id", id_col)

@@ -34,7 +34,8 @@ WORDS_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 UNSURE = re.compile("[^\t\n\r -~\xa1-įı-ɏ]")
 #: Runs of white space that a cut before each space would divide.
 DIVIDED_RUN = re.compile(r"\s (?:\s|\Z)")
-CACHE_UNITS, CACHE_PIECES = 800_000, 500_000
+#: A worker keeps the ids of so many units and pieces, of up to LONG_UNIT characters each (below 200 MB).
+CACHE_UNITS, CACHE_PIECES = 300_000, 150_000
 LONG_UNIT = 64
 
 
@@ -81,14 +82,20 @@ class Encoder:
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
+    def _tokens(self, name: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(name)]).tobytes()
+
     def _unit(self, unit: str) -> bytes:
         """Ids of a text whose pre-tokens are known to be those of the spelled-out pattern."""
+        blank = not self.fold and unit.startswith(" ")
+        word = unit[1:] if blank else unit
+        if word.isascii() and word.isalpha():  # one pre-token, and its letters stand for themselves
+            return self._tokens(self.letters[32] + word if blank else word)
         out = []
         for piece in self.cut(unit):
             got = self.pieces.get(piece)
             if got is None:
-                name = piece.encode().decode("latin-1").translate(self.letters)
-                got = array("I", [t.id for t in self.model.tokenize(name)]).tobytes()
+                got = self._tokens(piece.encode().decode("latin-1").translate(self.letters))
                 if len(piece) <= LONG_UNIT:
                     if len(self.pieces) >= CACHE_PIECES:
                         self.pieces.clear()
