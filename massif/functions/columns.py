@@ -37,6 +37,10 @@ def group_label(name: str | None) -> Column:
 # minimum, edge i is mn + i * step, edge n is exactly the maximum.
 
 
+#: Doubles count in steps of one up to here, so an axis of more bins has edges that are equal.
+MOST_BINS = float(1 << 53)
+
+
 def _step(mn: Column, mx: Column, n_bins: Column) -> Column:
     return (mx - mn) / n_bins
 
@@ -53,12 +57,18 @@ def published_edge(i: Column, mn: Column, mx: Column, n_bins: Column) -> Column:
 
 def bin_edges(mn: Column, mx: Column, n_bins: Column) -> Column:
     return F.transform(
-        F.sequence(F.lit(0), n_bins.cast("int")), lambda i: published_edge(i, mn, mx, n_bins)
+        F.sequence(F.lit(0).cast("bigint"), n_bins.cast("bigint")), lambda i: published_edge(i, mn, mx, n_bins)
     )
 
 
+def axis_struct(mn: Column, mx: Column, n_bins: Column) -> Column:
+    """What all edges of an axis follow from, however many bins it has."""
+    first = published_edge(F.lit(0), mn, mx, n_bins)
+    return F.struct(first.alias("first_edge"), mn.alias("minimum"), _step(mn, mx, n_bins).alias("step"), mx.alias("maximum"), (n_bins + 1).alias("edges"))
+
+
 def _clamp(position: Column, n_bins: Column) -> Column:
-    return F.greatest(F.lit(1), F.least(n_bins, position)).cast("int")
+    return F.greatest(F.lit(1).cast("bigint"), F.least(n_bins.cast("bigint"), position.cast("bigint")))
 
 
 def right_closed_bin(x: Column, mn: Column, mx: Column, n_bins: Column) -> Column:
@@ -73,7 +83,7 @@ def right_closed_bin(x: Column, mn: Column, mx: Column, n_bins: Column) -> Colum
         .when((guess > 1) & (x <= inner_edge(guess - 1, mn, mx, n_bins)), guess - 1)
         .when((guess < n_bins) & (x > inner_edge(guess, mn, mx, n_bins)), guess + 1)
         .otherwise(guess)
-        .cast("int")
+        .cast("bigint")
     )
 
 
@@ -85,7 +95,7 @@ def left_closed_bin(x: Column, mn: Column, mx: Column, n_bins: Column) -> Column
         .when((guess > 1) & (x < inner_edge(guess - 1, mn, mx, n_bins)), guess - 1)
         .when((guess < n_bins) & (x >= inner_edge(guess, mn, mx, n_bins)), guess + 1)
         .otherwise(guess)
-        .cast("int")
+        .cast("bigint")
     )
 
 
@@ -100,14 +110,18 @@ def bin_third(bin_number: Column, n_bins: Column) -> Column:
 
 
 def freedman_diaconis(n: Column, mn: Column, mx: Column, q25: Column, q75: Column) -> Column:
-    """Bin count by Freedman-Diaconis, Sturges when the quartiles coincide."""
+    """Bin count by Freedman-Diaconis, Sturges when the quartiles coincide.
+
+    Null where the bins would be too many for a double to tell their edges apart.
+    """
     iqr = q75 - q25
     width = 2 * iqr / F.pow(n.cast("double"), F.lit(1.0 / 3.0))
+    bins = F.ceil((mx - mn) / F.when(width > 0, width))
     return (
         F.when(n < 2, F.lit(1))
-        .when((iqr > 0) & (width > 0), F.ceil((mx - mn) / width))
+        .when((iqr > 0) & (width > 0), F.when((mx - mn) / F.when(width > 0, width) <= MOST_BINS, bins))
         .otherwise(F.ceil(1 + F.log2(n.cast("double"))))
-        .cast("int")
+        .cast("bigint")
     )
 
 

@@ -84,14 +84,18 @@ def store_vectors(profile: DataFrame, params: DataFrame) -> tuple[str, Iterator[
     The struct written is the storage form of an ML vector, so reading it back
     with a vector schema needs no conversion per row. The segments come one by one.
     """
+    # bins that no combination fills do not change a distance: a vector has one place per counted bin
+    counted = profile.where(F.col("bin").isNotNull()).select(*KEYS, "bin").distinct()
+    places = counted.withColumn("i", F.row_number().over(Window.partitionBy(*KEYS).orderBy("bin")) - 1)
+    places = settle(places)
+    widths = places.groupBy(*KEYS).agg(F.count("*").cast("int").alias("n_bins"))
     numbered = settle(
-        params.select(*KEYS, "n_bins").withColumn(
-            "segment_id", F.row_number().over(Window.orderBy(*KEYS)).cast("int")
-        )
+        params.select(*KEYS).join(widths, KEYS).withColumn("segment_id", F.row_number().over(Window.orderBy(*KEYS)).cast("int"))
     )
-    cell = F.when(F.col("bin").isNotNull(), F.struct((F.col("bin") - 1).alias("i"), F.col("n").cast("double").alias("v")))
+    cell = F.when(F.col("i").isNotNull(), F.struct("i", F.col("n").cast("double").alias("v")))
     vectors = (
-        profile.groupBy(*KEYS, "comb")
+        profile.join(places, [*KEYS, "bin"], "left")
+        .groupBy(*KEYS, "comb")
         .agg(F.array_sort(F.collect_list(cell)).alias("cells"))
         .join(numbered, KEYS)
         .select(

@@ -27,12 +27,13 @@ def training_cells(profile: DataFrame, comb_cluster: DataFrame) -> DataFrame:
     )
 
 
-def train_bin_model(cells: DataFrame, params: DataFrame, smoothing: float = 0.0) -> DataFrame:
-    """Probability of each cluster for each bin 1..n_bins and for the null bin.
+def count_bin_model(cells: DataFrame, smoothing: float = 0.0) -> DataFrame:
+    """Probability of each cluster for each bin with training rows, and once per segment for all other bins.
 
-    ``label`` is the 0-based rank of the cluster. A bin without training rows
-    gets the segment's cluster shares. Segments with fewer than two clusters
-    get no model.
+    ``label`` is the 0-based rank of the cluster. The rows with ``is_default`` hold the segment's cluster
+    shares; they stand for every bin without training rows, the null bin included, so the model
+    is as long as the counted cells and not as the axis. Segments with fewer than two
+    clusters get no model.
     """
     cells = settle(cells)
     per_segment = Window.partitionBy(*KEYS)
@@ -43,28 +44,41 @@ def train_bin_model(cells: DataFrame, params: DataFrame, smoothing: float = 0.0)
         .withColumn("prior", F.col("class_n") / F.sum("class_n").over(per_segment))
         .where("classes > 1")
     )
-    bins = F.concat(F.sequence(F.lit(1), F.col("n_bins")), F.array(F.lit(None).cast("int")))
-    spine = classes.join(params.select(*KEYS, "n_bins"), KEYS).withColumn("bin", F.explode(bins)).drop("n_bins")
+    trained = cells.groupBy(*CELL).agg(F.sum("n").alias("bin_n"))
+    spine = classes.join(trained, KEYS)
     counted = join_null_safe(spine, cells, [*CELL, "cluster"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    in_bin = F.sum("n").over(Window.partitionBy(*CELL))
-    weight = F.col("bin_n") + smoothing * F.col("classes")
-    return (
-        counted.withColumn("bin_n", in_bin)
-        .withColumn(
-            "p", F.when(weight > 0, (F.col("n") + smoothing) / weight).otherwise(F.col("prior"))
-        )
-        .select(*CELL, "cluster", "label", F.col("n").cast("bigint").alias("n"), F.col("bin_n").cast("bigint"), "p")
-    )
+    columns = [*CELL, "cluster", "label", F.col("n").cast("bigint").alias("n"), F.col("bin_n").cast("bigint").alias("bin_n"), "p", "is_default"]
+    share = (F.col("n") + smoothing) / (F.col("bin_n") + smoothing * F.col("classes"))
+    none = F.lit(0).cast("bigint")
+    # with smoothing, an empty bin has equal shares
+    empty = F.lit(1.0) / F.col("classes") if smoothing > 0 else F.col("prior")
+    others = classes.withColumns({"bin": F.lit(None).cast(cells.schema["bin"].dataType), "n": none, "bin_n": none, "p": empty, "is_default": F.lit(True)})
+    return counted.withColumns({"p": share, "is_default": F.lit(False)}).select(*columns).unionByName(others.select(*columns))
+
+
+def train_bin_model(cells: DataFrame, params: DataFrame, smoothing: float = 0.0) -> DataFrame:
+    """Probability of each cluster for each bin 1..n_bins and for the null bin; ``count_bin_model`` with all bins listed, a view of short axes."""
+    held = settle(count_bin_model(cells, smoothing))
+    others = held.where("is_default").drop("is_default", "bin")
+    bins = F.concat(F.sequence(F.lit(1).cast("bigint"), F.col("n_bins").cast("bigint")), F.array(F.lit(None).cast("bigint")))
+    spine = others.join(params.select(*KEYS, "n_bins"), KEYS).withColumn("bin", F.explode(bins)).drop("n_bins")
+    known = held.where("not is_default").select(*CELL, "cluster", *(F.col(c).alias(f"own_{c}") for c in ("n", "bin_n", "p")))
+    own = join_null_safe(spine, known, [*CELL, "cluster"], "left")
+    return own.select(*CELL, "cluster", "label", *(F.coalesce(f"own_{c}", c).alias(c) for c in ("n", "bin_n", "p")))
 
 
 def bin_predictions(model: DataFrame) -> DataFrame:
-    """Per bin: classes, probabilities and the most probable cluster, first on ties."""
+    """Per bin: classes, probabilities and the most probable cluster, first on ties.
+
+    The rows of a model that stand for all other bins stay marked as such.
+    """
     listed = F.array_sort(F.collect_list(F.struct("label", "cluster", "p")))
+    keys = [*CELL, *(c for c in ("is_default",) if c in model.columns)]
     return (
-        model.groupBy(*CELL)
+        model.groupBy(*keys)
         .agg(listed.alias("m"))
         .select(
-            *CELL,
+            *keys,
             F.col("m.cluster").alias("classes"),
             F.col("m.p").alias("probabilities"),
             F.element_at(
@@ -79,6 +93,8 @@ def bin_predictions(model: DataFrame) -> DataFrame:
 
 def confusion(model: DataFrame) -> DataFrame:
     """Training rows per (segment, true cluster, predicted cluster)."""
+    # bins without training rows, and the rows that stand for them, add nothing
+    model = model.where("bin_n > 0")
     predicted = bin_predictions(model).select(*CELL, "predicted_cluster")
     return (
         join_null_safe(model, predicted, CELL)
@@ -172,7 +188,8 @@ def score_rows(long: DataFrame, params: DataFrame, predictions: DataFrame, edge_
 
     Works on batch and streaming input. The context is the bounds of the bin,
     its third of the axis and a title. Rows without parameters or model keep
-    null results and a ``reject_reason``.
+    null results and a ``reject_reason``. Predictions for all other bins of a segment, where there are
+    such, hold for the bins that are not listed.
     """
     binned = long.join(params.select(*KEYS, "mn", "mx", "n_bins"), KEYS, "left").withColumn("bin", placed_bin(edge_rule))
     edge = lambda i: published_edge(i, F.col("mn"), F.col("mx"), F.col("n_bins"))
@@ -180,9 +197,15 @@ def score_rows(long: DataFrame, params: DataFrame, predictions: DataFrame, edge_
         "value %.2f: cluster %d", F.col("value"), F.col("predicted_cluster")
     )
     no_model = F.col("n_bins").isNull() | F.col("predicted_cluster").isNull()
+    if "is_default" in predictions.columns:
+        results = ["classes", "probabilities", "predicted_cluster"]
+        others = predictions.where("is_default").select(*KEYS, *(F.col(c).alias(f"other_{c}") for c in results))
+        found = join_null_safe(binned, predictions.where("not is_default").drop("is_default"), CELL, "left").join(others, KEYS, "left")
+        found = found.withColumns({c: F.coalesce(c, f"other_{c}") for c in results}).drop(*(f"other_{c}" for c in results))
+    else:
+        found = join_null_safe(binned, predictions, CELL, "left")
     return (
-        join_null_safe(binned, predictions, CELL, "left")
-        .withColumn("bin_lower", edge(F.col("bin") - 1))
+        found.withColumn("bin_lower", edge(F.col("bin") - 1))
         .withColumn("bin_upper", edge(F.col("bin")))
         .withColumn("bin_third", bin_third(F.col("bin"), F.col("n_bins")))
         .withColumn("title", F.when(F.col("predicted_cluster").isNotNull(), title))
@@ -191,6 +214,27 @@ def score_rows(long: DataFrame, params: DataFrame, predictions: DataFrame, edge_
     )
 
 
+def with_counts(scored: DataFrame, counts: DataFrame, whole: bool = False) -> DataFrame:
+    """Add how many training rows the predicted cluster has in all and in the row's bin.
+
+    ``counts`` has (segment, cluster, bin, ``n``, ``cluster_total``) for counted bins only; another bin
+    of a known cluster has none. ``whole=True`` adds the list of (bin, n) of all counted bins. A row
+    whose predicted cluster has no profile is rejected.
+    """
+    per_cluster = [*KEYS, "predicted_cluster"]
+    named = counts.withColumnRenamed("cluster", "predicted_cluster")
+    listed = [F.array_sort(F.collect_list(F.struct("bin", "n"))).alias("cluster_counts")] if whole else []
+    totals = named.groupBy(*per_cluster).agg(F.max("cluster_total").alias("cluster_total"), *listed)
+    in_bin = named.select(*per_cluster, "bin", F.col("n").alias("cluster_in_bin"))
+    none = F.when(F.col("cluster_total").isNotNull() & F.col("bin").isNotNull(), F.lit(0).cast("bigint"))
+    return (
+        scored.join(totals, per_cluster, "left")
+        .join(in_bin, [*per_cluster, "bin"], "left")
+        .withColumn("cluster_in_bin", F.coalesce("cluster_in_bin", none))
+        .withColumn("reject_reason", F.coalesce("reject_reason", F.when(F.col("cluster_total").isNull(), "no profile of the cluster")))
+    )
+
+
 def with_profile(scored: DataFrame, profiles: DataFrame, whole: bool = False) -> DataFrame:
     """Add how many training rows the predicted cluster has in all and in the row's bin.
 
@@ -203,7 +247,7 @@ def with_profile(scored: DataFrame, profiles: DataFrame, whole: bool = False) ->
     )
     out = (
         scored.join(shown, [*KEYS, "predicted_cluster"], "left")
-        .withColumn("cluster_in_bin", F.element_at("cluster_counts", F.col("bin")))
+        .withColumn("cluster_in_bin", F.element_at("cluster_counts", F.col("bin").cast("int")))
         .withColumn(
             "reject_reason",
             F.coalesce("reject_reason", F.when(F.col("cluster_total").isNull(), "no profile of the cluster")),

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from massif.functions.columns import bin_edges, segment_name
+from massif.functions.columns import axis_struct, segment_name
+from massif.operators.combos import WIDEST
 from massif.operators.segments import KEYS
 
 
@@ -29,21 +30,34 @@ def cluster_profile(profile: DataFrame) -> DataFrame:
     )
 
 
+def run_profile(profile: DataFrame, params: DataFrame) -> DataFrame:
+    """The whole bin axis of every cluster as runs: (first_bin, last_bin, n), n for each bin of the run.
+
+    A counted bin is a run of its own, a stretch of empty bins is one run, so there are at most
+    about twice as many rows as counted bins, however many bins the axis has.
+    """
+    counted = profile.where(F.col("bin").isNotNull()).join(params.select(*KEYS, "n_bins"), KEYS)
+    along = Window.partitionBy(*KEYS, "cluster").orderBy("bin")
+    first, last, none = F.lit(1).cast("bigint"), F.col("n_bins").cast("bigint"), F.lit(0).cast("bigint")
+    bin_ = F.col("bin").cast("bigint")
+
+    def run(start: Column, end: Column, n: Column) -> Column:
+        return F.when(start <= end, F.struct(start.alias("first_bin"), end.alias("last_bin"), n.cast("bigint").alias("n")))
+
+    before = run(F.coalesce(F.lag(bin_).over(along) + 1, first), bin_ - 1, none)
+    after = F.when(F.lead(bin_).over(along).isNull(), run(bin_ + 1, last, none))
+    runs = F.filter(F.array(before, run(bin_, bin_, F.col("n")), after), lambda r: r.isNotNull())
+    return counted.select(*KEYS, "cluster", runs.alias("runs")).select(*KEYS, "cluster", F.explode("runs").alias("r")).select(*KEYS, "cluster", "r.*")
+
+
 def dense_profile(profile: DataFrame, params: DataFrame) -> DataFrame:
-    """Every bin 1..n_bins of every cluster, zero where nothing was counted."""
-    spine = (
-        profile.select(*KEYS, "cluster")
-        .distinct()
-        .join(params.select(*KEYS, "n_bins"), KEYS)
-        .select(*KEYS, "cluster", F.explode(F.sequence(F.lit(1), F.col("n_bins"))).alias("bin"))
-    )
-    return spine.join(profile, [*KEYS, "cluster", "bin"], "left").select(
-        *KEYS, "cluster", "bin", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")
-    )
+    """Every bin 1..n_bins of every cluster, zero where nothing was counted; a view of axes that are short enough to be listed."""
+    bins = F.explode(F.sequence("first_bin", "last_bin")).alias("bin")
+    return run_profile(profile, params).select(*KEYS, "cluster", bins, "n")
 
 
 def profile_share(profile: DataFrame) -> DataFrame:
-    """Count, cluster total and percentage per bin; 0 where the total is 0."""
+    """Count, cluster total and percentage per bin, of bins or of runs; 0 where the total is 0."""
     total = F.sum("n").over(Window.partitionBy(*KEYS, "cluster"))
     return profile.withColumn("total_items", total).withColumn(
         "percentage", F.when(F.col("total_items") > 0, F.col("n") * 100.0 / F.col("total_items")).otherwise(0.0)
@@ -51,7 +65,9 @@ def profile_share(profile: DataFrame) -> DataFrame:
 
 
 def wide_profile(profile: DataFrame, n_bins: int, comb: Sequence[str] = ("cluster",)) -> DataFrame:
-    """One row per cluster with columns c_1..c_n; a view for display."""
+    """One row per cluster with columns c_1..c_n; a view for display, of at most ``WIDEST`` bins."""
+    if n_bins > WIDEST:
+        raise ValueError(f"A wide view of {n_bins} bins has too many columns; use the long profile.")
     pivoted = profile.groupBy(*KEYS, *comb).pivot("bin", list(range(1, n_bins + 1))).agg(F.sum("n"))
     return pivoted.select(
         *KEYS, *comb, *[F.coalesce(F.col(str(i)), F.lit(0)).cast("double").alias(f"c_{i}") for i in range(1, n_bins + 1)]
@@ -66,18 +82,22 @@ def unpivot_profile(wide: DataFrame, ids: Sequence[str], bins: Sequence[str]) ->
 
 
 def profile_documents(
-    dense: DataFrame, params: DataFrame, hdr: DataFrame, optimal_k: DataFrame
+    runs: DataFrame, params: DataFrame, hdr: DataFrame, optimal_k: DataFrame
 ) -> DataFrame:
-    """One nested row per segment: bins, edges, and per cluster its bins and HDR."""
+    """One nested row per segment: its axis, and per cluster its bins as runs and its HDR.
+
+    All edges follow from ``axis``; ``count`` and ``percentage_of_cluster`` are those of each bin of a run.
+    """
     bins = (
-        profile_share(dense)
+        profile_share(runs)
         .groupBy(*KEYS, "cluster")
         .agg(
             F.sum("n").cast("double").alias("total_items"),
             F.array_sort(
                 F.collect_list(
                     F.struct(
-                        F.col("bin").alias("bin_label"),
+                        "first_bin",
+                        "last_bin",
                         F.col("n").cast("double").alias("count"),
                         F.col("percentage").alias("percentage_of_cluster"),
                     )
@@ -104,7 +124,7 @@ def profile_documents(
             *KEYS,
             F.coalesce("k", F.lit(0)).alias("optimal_k_used"),
             F.col("n_bins").alias("quantization_bins"),
-            bin_edges(F.col("mn"), F.col("mx"), F.col("n_bins")).alias("bin_edges"),
+            axis_struct(F.col("mn"), F.col("mx"), F.col("n_bins")).alias("axis"),
             "unit",
             "clusters",
         )

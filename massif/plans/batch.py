@@ -137,7 +137,7 @@ def analyze(df: DataFrame, spec: AnalysisSpec, threads: int = 8, run_id: str | N
         "combos": lambda: kept,
         "comb_cells": lambda: base.kept_cells.select("segment_group", "comb", "n"),
         "filtered": lambda: filtered,
-        "bin_params": lambda: binning.with_edges(params),
+        "bin_params": lambda: binning.with_axis(params),
         "comb_profile": lambda: profile,
         "k_labels": lambda: clustering.sweep_labels(profile, params, spec.min_k, spec.max_k, threads),
         "k_metrics": lambda: settle(clustering.k_scores(profile, made["k_labels"])),
@@ -145,14 +145,14 @@ def analyze(df: DataFrame, spec: AnalysisSpec, threads: int = 8, run_id: str | N
         "k_scores": flagged_scores,
         "comb_cluster": lambda: settle(clustering.final_clusters(profile, made["k_labels"], made["optimal_k"])),
         "filled_counts": clustered,
-        "cluster_counts": lambda: settle(profiles.dense_profile(made["filled_counts"], params)),
+        "cluster_counts": lambda: settle(profiles.run_profile(made["filled_counts"], params)),
         "cluster_profile": lambda: profiles.profile_share(made["cluster_counts"]),
         "hdr": lambda: settle(
             density.high_density_region(made["filled_counts"], params, spec.hdr_excluded_percent)
         ),
         "cluster_describe": lambda: settle(composition.cluster_describe(filtered, made["comb_cluster"], measures)),
         "bin_model": lambda: settle(
-            model.train_bin_model(model.training_cells(profile, made["comb_cluster"]), params)
+            model.count_bin_model(model.training_cells(profile, made["comb_cluster"]))
         ),
         "silhouette_samples": lambda: silhouette.order_samples(settle(silhouette.silhouette_samples(profile, at_best()))),
         "projection": lambda: clustering.project_2d(profile, params, made["comb_cluster"]),

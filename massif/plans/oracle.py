@@ -32,7 +32,7 @@ def params(source: str, name: str = "par", n_bins: str | None = None) -> str:
     """Bin parameters of ``source(segment_group, feature, value)``."""
     fd = """CAST(CASE WHEN n < 2 THEN 1 WHEN q75 > q25
         THEN ceil((mx - mn) / (2e0 * (q75 - q25) / pow(CAST(n AS DOUBLE), 1e0 / 3e0)))
-        ELSE ceil(1e0 + log2(CAST(n AS DOUBLE))) END AS INTEGER)"""
+        ELSE ceil(1e0 + log2(CAST(n AS DOUBLE))) END AS BIGINT)"""
     return f"""
 {name}0 AS (SELECT segment_group, feature, count(value) AS n, min(value) AS mn, max(value) AS mx,
     quantile_cont(value, 0.25) AS q25, quantile_cont(value, 0.75) AS q75
@@ -49,9 +49,9 @@ def edge(i: str) -> str:
 
 
 RIGHT_BIN = """CASE WHEN value IS NULL THEN NULL
-    ELSE CAST(1 + len(list_filter(range(1, n_bins), lambda i: mn + i * step < value)) AS INTEGER) END"""
+    ELSE CAST(1 + len(list_filter(range(1, n_bins), lambda i: mn + i * step < value)) AS BIGINT) END"""
 LEFT_BIN = """CASE WHEN value IS NULL THEN NULL
-    ELSE CAST(1 + len(list_filter(range(1, n_bins), lambda i: mn + i * step <= value)) AS INTEGER) END"""
+    ELSE CAST(1 + len(list_filter(range(1, n_bins), lambda i: mn + i * step <= value)) AS BIGINT) END"""
 
 KEPT = f"""{EV},
 sizes AS (SELECT weekday, hour, count(*) AS n FROM ev GROUP BY weekday, hour),
@@ -67,7 +67,7 @@ ruled AS (SELECT DISTINCT segment_group, feature, comb, CAST(hour // 8 AS INTEGE
     FROM profile JOIN kept USING (comb)),
 cp AS (SELECT segment_group, feature, cluster, bin, CAST(sum(n) AS BIGINT) AS n
     FROM profile JOIN ruled USING (segment_group, feature, comb) WHERE bin IS NOT NULL GROUP BY ALL),
-spine AS (SELECT segment_group, feature, cluster, CAST(unnest(range(1, n_bins + 1)) AS INTEGER) AS bin
+spine AS (SELECT segment_group, feature, cluster, CAST(unnest(range(1, n_bins + 1)) AS BIGINT) AS bin
     FROM (SELECT DISTINCT segment_group, feature, cluster FROM cp) JOIN par USING (segment_group, feature)),
 dense AS (SELECT segment_group, feature, cluster, bin, coalesce(n, 0) AS n
     FROM spine LEFT JOIN cp USING (segment_group, feature, cluster, bin))"""
@@ -247,7 +247,7 @@ ORACLE["document_bins"] = with_(
     f"SELECT segment_group, doc_id, feature, value, {RIGHT_BIN} AS bin FROM long JOIN par USING (segment_group, feature)",
 )
 ORACLE["bin_edges"] = with_(
-    f"{LINES}, {params('line_long', n_bins='12')}",
+    f"{LINES}, {params('line_long', n_bins='CAST(12 AS BIGINT)')}",
     f"""SELECT segment_group, feature, n_bins, CAST(i AS INTEGER) AS i, round({edge('i')}, 4) AS edge
 FROM (SELECT *, unnest(range(0, n_bins + 1)) AS i FROM par)""",
 )
@@ -256,7 +256,7 @@ ORACLE["quantize"] = with_(
     f"SELECT segment_group, feature, event_id, value, {RIGHT_BIN} AS bin FROM long JOIN par USING (segment_group, feature)",
 )
 QUANTITY = f"""long AS (SELECT 'all_data' AS segment_group, 'l_quantity' AS feature, l_orderkey, l_linenumber, l_quantity AS value
-    FROM lineitem), {params('long', n_bins='49')}"""
+    FROM lineitem), {params('long', n_bins='CAST(49 AS BIGINT)')}"""
 ORACLE["quantize_left"] = with_(
     QUANTITY,
     f"SELECT segment_group, feature, l_orderkey, l_linenumber, value, {LEFT_BIN} AS bin FROM long JOIN par USING (segment_group, feature)",
@@ -295,7 +295,7 @@ FROM b GROUP BY l_returnflag, b.q25, b.median, b.q75"""
 
 ORACLE["comb_profile"] = with_(KEPT, "SELECT segment_group, feature, comb, bin, n FROM profile")
 ORACLE["line_profile"] = with_(
-    f"{LINES}, {params('line_long', n_bins='20')}",
+    f"{LINES}, {params('line_long', n_bins='CAST(20 AS BIGINT)')}",
     f"""SELECT segment_group, feature, l_linenumber, o_orderpriority, l_linestatus, bin, count(*) AS n
 FROM (SELECT *, {RIGHT_BIN} AS bin FROM line_long JOIN par USING (segment_group, feature)) GROUP BY ALL""",
 )

@@ -126,8 +126,7 @@ class Parts:
 
     @cached_property
     def bin_model(self) -> DataFrame:
-        cells = model.training_cells(self.profile, self.ruled)
-        return settle(model.train_bin_model(cells, self.params))
+        return settle(model.count_bin_model(model.training_cells(self.profile, self.ruled)))
 
 
 def prepared(spark: SparkSession, folder: str) -> Parts:
@@ -448,7 +447,7 @@ def profile_json(spark, folder):
     regions = density.high_density_region(clustered, parts.params, HDR_EXCLUDED)
     chosen = parts.params.select(*KEYS, F.lit(3).alias("k"))
     documents = profiles.profile_documents(
-        profiles.dense_profile(clustered, parts.params), parts.params, density.hdr_profile(regions), chosen
+        profiles.run_profile(clustered, parts.params), parts.params, density.hdr_profile(regions), chosen
     )
     path = scratch_path(spark, "documents")
     tables.write_json(documents, path, "profiles", "r1")
@@ -459,11 +458,11 @@ def profile_json(spark, folder):
             "segment_name",
             "optimal_k_used",
             "quantization_bins",
-            F.size("bin_edges").alias("edges"),
+            F.col("axis.edges").alias("edges"),
             F.col("c.cluster_id").alias("cluster_id"),
             F.col("c.total_items").alias("total_items"),
             F.col("c.hdr_profile.hdr_threshold_count").alias("hdr_threshold_count"),
-            F.size("c.bin_profiles").alias("bins_listed"),
+            F.aggregate("c.bin_profiles", F.lit(0).cast("bigint"), lambda a, b: a + b["last_bin"] - b["first_bin"] + 1).cast("int").alias("bins_listed"),
             F.aggregate("c.bin_profiles", F.lit(0.0), lambda a, b: a + b["percentage_of_cluster"]).alias("percent"),
         )
     )
@@ -570,7 +569,9 @@ def elbow(spark, folder):
 
 @query
 def train_bin_model(spark, folder):
-    return rounded(prepared(spark, folder).bin_model)
+    """The counted model with every bin listed."""
+    parts = prepared(spark, folder)
+    return rounded(model.train_bin_model(model.training_cells(parts.profile, parts.ruled), parts.params))
 
 
 @query
@@ -622,13 +623,13 @@ def score_batch(spark, folder):
 
 def _scoring_tables(parts: Parts, groups: list[str] | None = None) -> streaming.ScoringTables:
     params = parts.params if groups is None else settle(parts.params.where(F.col("segment_group").isin(groups)))
-    dense = profiles.dense_profile(parts.clusters, params)
+    runs = profiles.run_profile(parts.clusters, params)
     return streaming.ScoringTables(
         AnalysisSpec(name="events", grouping="event_type", categorical=CATS, continuous=["value"]),
         "events",
         params,
         settle(model.bin_predictions(parts.bin_model)),
-        settle(streaming.cluster_counts(dense)),
+        settle(streaming.cluster_counts(runs)),
     )
 
 

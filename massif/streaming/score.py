@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -35,7 +35,7 @@ def load_scoring_tables(spark: SparkSession, folder: str, run_id: str | None = N
     record = spark.read.parquet(f"{folder}/runs").where(F.col("run_id") == run_id).select("parameters").first()
     if record is None:
         raise FileNotFoundError(f"Run {run_id} not found below {folder}.")
-    params = settle(read_table(spark, folder, "bin_params", run_id).drop("bin_edges"))
+    params = settle(read_table(spark, folder, "bin_params", run_id).drop("axis"))
     return ScoringTables(
         AnalysisSpec.from_json(record[0]),
         run_id,
@@ -46,11 +46,10 @@ def load_scoring_tables(spark: SparkSession, folder: str, run_id: str | None = N
 
 
 def cluster_counts(profile: DataFrame) -> DataFrame:
-    """The dense profile of each cluster: its total, and its counts in bin order."""
-    return profile.groupBy(*KEYS, "cluster").agg(
-        F.sum("n").cast("bigint").alias("cluster_total"),
-        F.transform(F.array_sort(F.collect_list(F.struct("bin", "n"))), lambda c: c.n).alias("cluster_counts"),
-    )
+    """The counted bins of each cluster with its total, from its profile by bins or by runs (of which only counted bins have counts)."""
+    named = profile.withColumnRenamed("first_bin", "bin") if "first_bin" in profile.columns else profile
+    total = F.sum("n").over(Window.partitionBy(*KEYS, "cluster")).cast("bigint")
+    return named.withColumn("cluster_total", total).where("n > 0").select(*KEYS, "cluster", F.col("bin").cast("bigint").alias("bin"), "n", "cluster_total")
 
 
 def read_rows(
@@ -106,7 +105,7 @@ def score(
         "m.value",
     )
     scored = model.score_rows(long, tables.params, tables.predictions, edge_rule)
-    scored = model.with_profile(scored, tables.profiles, whole_profile)
+    scored = model.with_counts(scored, tables.profiles, whole_profile)
     # a null group is a segment of its own when the run has one
     row_reason = F.when(
         (F.col("row_reason") != "grouping value absent") | F.col("predicted_cluster").isNull(), F.col("row_reason")

@@ -150,9 +150,14 @@ def test_saved_run_reads_back_and_scores_a_stream(spark, data, result, tmp_path)
     ]
     assert {d["segment_name"] for d in documents} == {f"{g}_{f}" for g in ("north", "south", "NaN") for f in ("hours", "weight_kg")}
     for d in documents:
-        assert len(d["bin_edges"]) == d["quantization_bins"] + 1
+        axis = d["axis"]
+        assert axis["edges"] == d["quantization_bins"] + 1 and axis["first_edge"] < axis["minimum"] < axis["maximum"]
+        assert axis["minimum"] + axis["step"] * d["quantization_bins"] == pytest.approx(axis["maximum"])
         assert len(d["clusters"]) == d["optimal_k_used"]
-        assert all(len(c["bin_profiles"]) == d["quantization_bins"] for c in d["clusters"])
+        for c in d["clusters"]:
+            # runs follow each other without gaps over the whole axis
+            ends = [0, *(r["last_bin"] for r in c["bin_profiles"])]
+            assert [r["first_bin"] - 1 for r in c["bin_profiles"]] == ends[:-1] and ends[-1] == d["quantization_bins"]
 
     scoring = streaming.load_scoring_tables(spark, folder)
     assert scoring.spec == SPEC and scoring.run_id == result.run_id
@@ -279,3 +284,38 @@ def test_infinite_measure_leaves_the_other_segments(data):
     endless = data.withColumn("hours", F.when(F.col("trip") == 7, float("inf")).otherwise(F.col("hours")))
     out = analyze(endless, AnalysisSpec(categorical=["weekday", "weight"], continuous=["hours", "weight_kg"], min_combination_size=5, max_k=3))
     assert {r.feature for r in out["bin_params"].collect()} == {"weight_kg"}
+
+
+def test_one_outlier_leaves_a_long_axis_and_short_tables(spark, data, tmp_path):
+    """A range of 1e12 quartile distances: as many bins, but rows for counted bins and stretches only."""
+    folder = str(tmp_path / "out")
+    far = data.withColumn("hours", F.when(F.col("trip") == 7, 1e13).otherwise(F.col("hours")))
+    spec = AnalysisSpec(name="far", categorical=["weekday", "weight"], continuous=["hours", "weight_kg"], min_combination_size=5, max_k=3)
+    out = analyze(far, spec)
+    params = {r.feature: r for r in out["bin_params"].collect()}
+    assert params["hours"].n_bins > 1e12 and params["weight_kg"].n_bins < 1000
+    save(out, folder)
+    axes = out["cluster_counts"].groupBy("feature", "cluster").agg(F.count("*").alias("runs"), F.sum(F.col("last_bin") - F.col("first_bin") + 1).alias("bins"))
+    for r in axes.collect():
+        assert r.bins == params[r.feature].n_bins and r.runs < 4000
+    assert out["hdr"].where("feature = 'hours' and start_bin is not null").count() > 0
+    assert out["bin_model"].count() < 10_000
+    scoring = streaming.load_scoring_tables(spark, folder)
+    rows = spark.createDataFrame([(1.0, "light", 5e12, 1.0), (1.0, "light", 1e13, 1.0)], "weekday double, weight string, hours double, weight_kg double")
+    found = {r.value: r for r in streaming.score(rows, scoring).where("feature = 'hours'").collect()}
+    # a bin without training rows has the shares of the segment, and no row of the cluster
+    empty = found[5e12]
+    assert empty.reject_reason is None and empty.cluster_in_bin == 0 and sum(empty.probabilities) == pytest.approx(1.0)
+    assert found[1e13].bin == params["hours"].n_bins and found[1e13].cluster_in_bin >= 1
+
+
+def test_a_range_that_no_double_can_cut_leaves_the_other_segments(data):
+    far = data.withColumn("hours", F.when(F.col("trip") == 7, 1e300).otherwise(F.col("hours")))
+    out = analyze(far, AnalysisSpec(categorical=["weekday", "weight"], continuous=["hours", "weight_kg"], min_combination_size=5, max_k=3))
+    assert {r.feature for r in out["bin_params"].collect()} == {"weight_kg"}
+    assert out["hdr"].count() > 0
+
+
+def test_unknown_categoricals_are_left_out_with_a_warning(data, caplog):
+    out = analyze(data, AnalysisSpec(categorical=["weekday", "nope"], continuous=["hours"], min_combination_size=5, max_k=3))
+    assert out.spec.categorical == ["weekday"] and "nope" in caplog.text

@@ -119,3 +119,30 @@ def test_scoring_rows_and_rejects(spark, trained):
     assert (shown["g", 0.5].cluster_total, shown["g", 0.5].cluster_in_bin, shown["g", 0.5].cluster_counts) == (12, 1, [1, 2, 0, 9])
     reasons = {(r.segment_group, r.value): r.reject_reason for r in model.with_profile(scored, profiles).collect()}
     assert reasons["g", 0.5] is None and reasons["g", None] == "no profile of the cluster"
+
+
+def test_counted_model_is_the_listed_one_without_empty_bins(spark, trained):
+    rows, cells, params, listed = trained
+    for smoothing in (0.0, 0.5):
+        counted = model.count_bin_model(cells, smoothing)
+        listed = model.train_bin_model(cells, params, smoothing)
+        own = [tuple(r) for r in counted.where("not is_default").drop("is_default").collect()]
+        assert set(own) == {tuple(r) for r in listed.where("bin_n > 0").collect()}
+        others = {(r.segment_group, r.cluster): r.p for r in counted.where("is_default").collect()}
+        assert all(r.p == others[r.segment_group, r.cluster] for r in listed.where("bin_n = 0").collect())
+    long = spark.createDataFrame([("g", "f", x / 4) for x in range(-4, 24)] + [("g", "f", None), ("x", "f", 1.0), ("lone", "f", 1.0)], "segment_group string, feature string, value double")
+    same = ["segment_group", "value", "bin", "classes", "probabilities", "predicted_cluster", "reject_reason"]
+    one, two = ({str(r) for r in model.score_rows(long, params, model.bin_predictions(m)).select(*same).collect()} for m in (counted, listed))
+    assert one == two
+    assert {str(r) for r in model.accuracy(counted).collect()} == {str(r) for r in model.accuracy(listed).collect()}
+    assert {str(r) for r in model.model_metadata(counted, params).collect()} == {str(r) for r in model.model_metadata(listed, params).collect()}
+
+
+def test_counts_of_the_row_s_bin(spark, trained):
+    _, _, params, frame = trained
+    long = spark.createDataFrame([("g", "f", 0.5), ("g", "f", 3.5), ("g", "f", None)], "segment_group string, feature string, value double")
+    scored = model.score_rows(long, params, model.bin_predictions(frame))
+    counts = spark.createDataFrame([("g", "f", 3, 1, 5, 12), ("g", "f", 3, 2, 7, 12)], "segment_group string, feature string, cluster int, bin bigint, n bigint, cluster_total bigint")
+    shown = {r.value: r for r in model.with_counts(scored, counts, whole=True).collect()}
+    assert (shown[0.5].cluster_total, shown[0.5].cluster_in_bin, [tuple(x) for x in shown[0.5].cluster_counts]) == (12, 5, [(1, 5), (2, 7)])
+    assert shown[None].cluster_in_bin is None and shown[None].reject_reason == "no profile of the cluster"
