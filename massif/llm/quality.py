@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 
 from massif.llm import labelled
 from massif.llm.crf import ChainModel, Chains, fit_chains, fit_logistic, logistic, logit
-from massif.llm.text import _BYTES, Rolling, U, Words, mix, text_chunks
+from massif.llm.text import U, Words, mix, slice_hashes, text_chunks
 
 CHAIN = 512
 BINS = 10
@@ -72,7 +72,7 @@ class Lines:
         line_of = np.repeat(np.arange(m), n_words)
         pairs = np.unique(np.stack([line_of.astype(U), hashed]), axis=1) if len(hashed) else np.zeros((2, 0), U)
         distinct = np.bincount(pairs[0].astype(np.int64), minlength=m)
-        line_hash = mix(Rolling(_BYTES[2][data], 6).slices(self.start, self.end) ^ size.astype(U))
+        line_hash = slice_hashes(data, self.start, self.end, 2)
         _, of, copies = np.unique(np.stack([self.doc.astype(U), line_hash]), axis=1, return_inverse=True, return_counts=True)
         stop = (data == 46) | (data == 63) | (data == 33)
         some = np.maximum(n_words, 1)
