@@ -30,9 +30,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from massif.llm.tables import stored
-from massif.llm.tokenization import byte_letters, encoder, text_slices
+from massif.llm.text import text_chunks
+from massif.llm.tokenization import byte_letters, encoder
 
-SLICE_CHARS = 1 << 20
+#: Bytes of text that are aligned at once.
+SLICE_BYTES = 1 << 18
 ALIGNED = "a_ids array<int>, b_ids array<int>, a_sizes array<int>, b_sizes array<int>, links array<int>, groups_sha256 string"
 
 
@@ -136,21 +138,6 @@ def common_ends(a: np.ndarray, b: np.ndarray, a_bounds: np.ndarray, b_bounds: np
         )
 
 
-def groups_text(a_ids: np.ndarray, b_ids: np.ndarray, a_sizes: np.ndarray, b_sizes: np.ndarray) -> str:
-    """The groups of one document as ``a1,a2|b1;a3|b2,b3``; empty without tokens."""
-    a_text, b_text = (np.array(list(map(str, ids.tolist())), object) for ids in (a_ids, b_ids))
-    ends = [np.cumsum(sizes) - 1 for sizes in (a_sizes, b_sizes)]
-    for text, end, mark in ((a_text, ends[0], "|"), (b_text, ends[1], ";")):
-        last = text[end] + mark
-        text += ","
-        text[end] = last
-    # every group's A tokens stand before its B tokens
-    out = np.empty(len(a_text) + len(b_text), object)
-    out[np.arange(len(a_text)) + np.repeat(np.cumsum(b_sizes) - b_sizes, a_sizes)] = a_text
-    out[np.arange(len(b_text)) + np.repeat(np.cumsum(a_sizes), b_sizes)] = b_text
-    return "".join(out.tolist())[:-1]
-
-
 class Aligner:
     """The worker's pair of vocabularies."""
 
@@ -159,6 +146,20 @@ class Aligner:
         self.model = sentencepiece.SentencePieceProcessor(model_file=b_path)
         self.a, self.b = byte_level_tokens(a_path), piece_tokens(self.model)
         self.pairs = possible_links(self.a, self.b)
+        # an id as written within its group and at the end of its side, A's then B's
+        self.shown = [f"{i}{mark}" for tokens, last in ((self.a.tokens, "|"), (self.b.tokens, ";")) for i in range(len(tokens)) for mark in (",", last)]
+
+    def groups_text(self, a_ids: np.ndarray, b_ids: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray, ends: np.ndarray) -> Iterator[str]:
+        """The groups of each document as ``a1,a2|b1;a3|b2,b3``; empty without tokens. ``ends`` bounds the tokens of both sides together."""
+        a_codes, b_codes = 2 * a_ids, 2 * (b_ids + len(self.a.tokens))
+        a_codes[cut_a] += 1
+        b_codes[cut_b] += 1
+        # every group's A tokens stand before its B tokens
+        out = np.empty(len(a_codes) + len(b_codes), np.int64)
+        out[np.arange(len(a_codes)) + np.repeat(np.concatenate([[0], cut_b[:-1] + 1])[: len(cut_a)], np.diff(cut_a, prepend=-1))] = a_codes
+        out[np.arange(len(b_codes)) + np.repeat(cut_a + 1, np.diff(cut_b, prepend=-1))] = b_codes
+        for lo, hi in zip(ends[:-1], ends[1:], strict=True):
+            yield "".join(map(self.shown.__getitem__, out[lo:hi].tolist()))[:-1]
 
     def align(self, texts: list[str]) -> list[pa.Array]:
         """The columns of ``ALIGNED``."""
@@ -176,8 +177,8 @@ class Aligner:
         groups = np.searchsorted(cut_a, a_bounds)
         sizes = [np.diff(np.concatenate([[-1], cut])) for cut in (cut_a, cut_b)]
         columns = [(a_bounds, a_ids), (b_bounds, b_ids), (groups, sizes[0]), (groups, sizes[1]), (groups, links)]
-        shown = (groups_text(*(values[bounds[k] : bounds[k + 1]] for bounds, values in columns[:4])) for k in range(len(texts)))
-        digests = pa.array([hashlib.sha256(t.encode()).hexdigest() if t else "" for t in shown])
+        shown = self.groups_text(a_ids, b_ids, cut_a, cut_b, a_bounds + b_bounds)
+        digests = pa.array([hashlib.sha256(t.encode()).hexdigest() if t else "" for t in shown], pa.string())
         lists = (pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values.astype(np.int32))) for bounds, values in columns)
         return [*lists, digests]
 
@@ -201,9 +202,9 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = aligner(a_path, b_path)
         for batch in batches:
-            texts = batch.column(1).fill_null("").to_pylist()
-            for lo, hi in text_slices(texts, SLICE_CHARS):
-                columns = both.align(texts[lo:hi])
+            texts = batch.column(1).fill_null("")
+            for lo, hi, _, _ in text_chunks(texts, SLICE_BYTES):
+                columns = both.align(texts.slice(lo, hi - lo).to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *columns], ["id", *(c.split()[0] for c in ALIGNED.split(", "))])
 
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *T._parse_datatype_string(ALIGNED).fields])

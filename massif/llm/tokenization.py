@@ -89,8 +89,9 @@ class Encoder:
         """Ids of a text whose pre-tokens are known to be those of the spelled-out pattern."""
         blank = not self.fold and unit.startswith(" ")
         word = unit[1:] if blank else unit
-        if word.isascii() and word.isalpha():  # one pre-token, and its letters stand for themselves
-            return self._tokens(self.letters[32] + word if blank else word)
+        if word.isalpha():  # one pre-token
+            name = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+            return self._tokens(self.letters[32] + name if blank else name)
         out = []
         for piece in self.cut(unit):
             got = self.pieces.get(piece)
