@@ -35,7 +35,9 @@ from massif.llm.tokenization import byte_letters, encoder
 
 #: Bytes of text that are aligned at once.
 SLICE_BYTES = 1 << 18
-ALIGNED = "a_ids array<int>, b_ids array<int>, a_sizes array<int>, b_sizes array<int>, links array<int>, groups_sha256 string"
+#: Links that are added up at once.
+SLICE_LINKS = 1 << 18
+ALIGNED = "a_ids array<int>, b_ids array<int>, a_sizes array<int>, b_sizes array<int>, links array<int>, n_a bigint, n_b bigint, groups_sha256 string"
 
 
 class TokenBytes:
@@ -180,7 +182,7 @@ class Aligner:
         shown = self.groups_text(a_ids, b_ids, cut_a, cut_b, a_bounds + b_bounds)
         digests = pa.array([hashlib.sha256(t.encode()).hexdigest() if t else "" for t in shown], pa.string())
         lists = (pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values.astype(np.int32))) for bounds, values in columns)
-        return [*lists, digests]
+        return [*lists, pa.array(np.diff(a_bounds)), pa.array(np.diff(b_bounds)), digests]
 
 
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
@@ -196,7 +198,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
     """One row per row of ``docs``, stored.
 
     ``a_ids`` and ``b_ids`` are the tokens, ``a_sizes`` and ``b_sizes`` how many of them each group
-    has, and ``links`` the place in ``possible_links`` of the pair that ends each group.
+    has (``n_a`` and ``n_b`` in all), and ``links`` the place in ``possible_links`` of the pair that ends each group.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,13 +242,16 @@ def score_links(aligned: DataFrame, counts: DataFrame, id_col: str = "doc_id") -
             if not batch.num_rows:
                 continue
             offsets, values = batch.column(1).offsets.to_numpy(), batch.column(1).values.to_numpy()
-            links = values[offsets[0] : offsets[-1]]
-            # running sums over all links of the batch, taken at the ends of the documents
-            sums = [np.diff(np.concatenate([[0], np.cumsum(x[links])])[offsets - offsets[0]]) for x in (best, n)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, sums)], ["row", "links", "n_best", "count_sum"])
-
-    row = F.struct(F.col(id_col).alias("id"), *(F.size(c).cast("bigint").alias(k) for c, k in (("a_ids", "n_a"), ("b_ids", "n_b"), ("links", "n_groups"))), "groups_sha256")
+            lo = 0
+            while lo < batch.num_rows:  # some documents at a time: the sums run over all their links
+                hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + SLICE_LINKS, side="right")) - 1)
+                links = values[offsets[lo] : offsets[hi]]
+                sums = [np.diff(np.concatenate([[0], np.cumsum(x[links])])[offsets[lo : hi + 1] - offsets[lo]]) for x in (best, n)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *map(pa.array, sums)], ["row", "n_best", "count_sum"])
+                lo = hi
+
+    row = F.struct(F.col(id_col).alias("id"), "n_a", "n_b", F.size("links").cast("bigint").alias("n_groups"), "groups_sha256")
     rows = aligned.select(row.alias("row"), "links")
-    schema = T.StructType([*rows.schema.fields, *T._parse_datatype_string("n_best bigint, count_sum bigint").fields])
+    schema = T.StructType([rows.schema["row"], *T._parse_datatype_string("n_best bigint, count_sum bigint").fields])
     scored = rows.mapInArrow(run, schema).select("row.*", "n_best", "count_sum").withColumn("n_links", F.col("n_groups"))
     return scored.select("id", *(c.split()[0] for c in SCORED.split(", "))).withColumnRenamed("id", id_col)
