@@ -31,10 +31,12 @@ CHAIN = 128
 FEATURE_BITS = 22
 #: Lengths, in bytes, of the word beginnings that are features.
 BEGINNINGS = (4, 5, 6)
-#: A marking word occurs at least so often for each toxic learning document, and in all, ...
-LEXICON_SHARE, LEXICON_LEAST = 0.02, 3
-#: ... and this many times likelier there than in others.
+#: A marking word's likelihood ratio (doubled logarithm; 1 word in 10,000 has it by chance) ...
+LEXICON_PROOF = 15.0
+#: ... and how many times likelier it is in toxic documents than in others.
 LEXICON_RATIO = 50.0
+#: Words of a run, and least hashes of runs by which copies are known.
+RUN, LEAST_HASHES = 5, 2
 #: Token letters: ASCII letters, digits, and all bytes of longer characters.
 LETTERS = np.array([48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in range(256)])
 
@@ -101,26 +103,65 @@ def _aggregate(p: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     return np.column_stack([logit(most) / 5, np.log1p(np.bincount(doc, np.where(p >= 0.5, p, 0.0), n))])
 
 
+def _families(own: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """A family number for each of n documents: copies and near copies, which share one of their least hashes of a run of words, are one family."""
+    run = own.copy()
+    for k in range(1, RUN):
+        run[: len(own) - k] = mix(run[: len(own) - k] ^ own[k:])
+    whole = np.ones(len(own), bool)
+    whole[max(len(own) - RUN + 1, 0) :] = False
+    if len(own) >= RUN:
+        whole[: len(own) - RUN + 1] = doc[: len(own) - RUN + 1] == doc[RUN - 1 :]
+    parent = list(range(n))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    known: dict[int, int] = {}
+    bounds = np.searchsorted(doc, np.arange(n + 1))
+    for i in range(n):
+        part = slice(bounds[i], bounds[i + 1])
+        least = np.unique(mix(run[part][whole[part]]))[:LEAST_HASHES]
+        for h in least.tolist():
+            parent[root(i)] = root(known.setdefault(h, i))
+    return np.array([root(i) for i in range(n)], np.int64)
+
+
+def _likelihood_ratio(k: np.ndarray, other: np.ndarray, q: float) -> np.ndarray:
+    """Log-likelihood ratio (doubled) of k among k + other against the share q."""
+    total = k + other
+    with np.errstate(divide="ignore", invalid="ignore"):
+        terms = [np.where(x > 0, x * np.log(x / (total * share)), 0.0) for x, share in ((k, q), (other, 1 - q))]
+    return 2 * (terms[0] + terms[1])
+
+
 def _token_labels(parts: list[np.ndarray], context: np.ndarray, doc: np.ndarray, y: np.ndarray) -> np.ndarray:
     """1 for tokens of toxic documents whose word, or a beginning of it, marks toxic documents.
 
-    Occurrences between the same neighbours are counted once: copied text is no further evidence.
+    Copied text is no further evidence: a word is counted once between the same neighbours, and
+    once in a family of copies. Either count may prove it, by a likelihood ratio whose bound is
+    the same for samples of every size.
     """
     toxic_docs, other_docs = int(y.sum()), int((1 - y).sum())
-    least = max(LEXICON_LEAST, LEXICON_SHARE * toxic_docs)
     toxic_token = y[doc] == 1
     marked = np.zeros(len(doc), bool)
+    family = _families(parts[0], doc, len(y))[doc].astype(U)
     for part in parts:
-        counts = []
-        for rows in (toxic_token, ~toxic_token):
-            met = np.unique(np.stack([part[rows], context[rows]]), axis=1)[0]
-            counts.append(np.unique(met, return_counts=True))
-        (keys, toxic), (known, n) = counts
-        at = np.searchsorted(known, keys)
-        at[at == len(known)] = 0
-        other = np.where(known[at] == keys, n[at], 0) if len(known) else np.zeros(len(keys), np.int64)
-        ratio = ((toxic + 0.1) / (toxic_docs + 1)) / ((other + 0.1) / (other_docs + 1))
-        marked |= np.isin(part, keys[(toxic >= least) & (ratio >= LEXICON_RATIO)])
+        for unit in (context, family):
+            counts = []
+            for rows in (toxic_token, ~toxic_token):
+                met = np.unique(np.stack([part[rows], unit[rows]]), axis=1)[0]
+                counts.append(np.unique(met, return_counts=True))
+            (keys, toxic), (known, n) = counts
+            at = np.searchsorted(known, keys)
+            at[at == len(known)] = 0
+            other = np.where(known[at] == keys, n[at], 0) if len(known) else np.zeros(len(keys), np.int64)
+            ratio = ((toxic + 0.1) / (toxic_docs + 1)) / ((other + 0.1) / (other_docs + 1))
+            proven = _likelihood_ratio(toxic, other, toxic_docs / (toxic_docs + other_docs)) >= LEXICON_PROOF
+            marked |= np.isin(part, keys[proven & (ratio >= LEXICON_RATIO)])
     return marked & toxic_token
 
 
