@@ -533,6 +533,11 @@ SELECT event_id, CASE WHEN event_type = 'error' THEN 'NaN' ELSE event_type END A
     CASE WHEN event_type = 'error' THEN 'grouping value absent' ELSE 'no model or parameters' END AS reject_reason
 FROM events WHERE event_type IN ('error', 'view')"""
 
+ORACLE["stream_malformed"] = """
+SELECT event_id, 'malformed row' AS reject_reason, event_id || CASE event_type WHEN 'error' THEN ',error,unreadable' WHEN 'signup' THEN ',signup,1,more'
+    ELSE ',"view,' || CAST(floor(value) AS BIGINT) END AS line
+FROM events WHERE event_type IN ('error', 'signup', 'view')"""
+
 # --- runs -------------------------------------------------------------------
 
 RUNS = """runs AS (SELECT CASE WHEN hour(ts) = 0 THEN 'x' ELSE '' END || strftime(ts, '%Y%m%d_%H%M%S') || '_run_' || event_type AS run_id, event_type,

@@ -672,6 +672,22 @@ def stream_rejects(spark, folder):
     )
 
 
+@query
+def stream_malformed(spark, folder):
+    """Events as CSV text: errors have a word for the number, sign-ups a field too many, views no end of their quote."""
+    number = F.when(F.col("event_type") == "error", "unreadable").otherwise(F.floor("value").cast("string"))
+    more = F.when(F.col("event_type") == "signup", "1,more")
+    quoted = F.when(F.col("event_type") == "view", F.lit('"view')).otherwise(F.col("event_type"))
+    lines_ = events(spark, folder).select(F.concat_ws(",", "event_id", quoted, F.coalesce(more, number)))
+    text = scratch_path(spark, "lines")
+    lines_.write.text(text)
+    rows = streaming.read_rows(spark, text, "event_id bigint, event_type string, value double", header="false")
+    out = scratch_path(spark, "scored")
+    scoring = _scoring_tables(prepared(spark, folder))
+    streaming.start_scoring(rows, scoring, out, scratch_path(spark, "checkpoint"), available_now=True).awaitTermination()
+    return streaming.read_results(spark, out, "rejected").select(F.col("instance.event_id").alias("event_id"), F.col("instance.corrupt_record").alias("line"), "reject_reason")
+
+
 # --- facts of fitted steps that SQL can state ---------------------------------
 
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from massif.functions.columns import group_label, measure
 from massif.operators import model
@@ -18,6 +18,11 @@ from massif.sources.runs import find_latest_run
 from massif.sources.tables import read_table
 
 
+#: Holds the text of a CSV or JSON row that does not fit the schema.
+CORRUPT = "corrupt_record"
+MALFORMED, NO_NUMBER = "malformed row", "measure is no number"
+
+
 @dataclass(frozen=True)
 class ScoringTables:
     """What scoring needs from a run: its parameters and three small tables."""
@@ -55,13 +60,23 @@ def cluster_counts(profile: DataFrame) -> DataFrame:
 def read_rows(
     spark: SparkSession, path: str, schema: StructType | str, source: str = "csv", files_per_batch: int | None = None, **options: str
 ) -> DataFrame:
-    """Rows of a folder as they arrive; CSV and Parquet files, or any streaming source."""
-    reader = spark.readStream.format(source).schema(schema)
+    """Rows of a folder as they arrive; CSV, JSON and Parquet files, or any streaming source.
+
+    A CSV or JSON row that does not fit the schema keeps its text in ``corrupt_record``; it is
+    a reject and stops nothing.
+    """
+    if isinstance(schema, str):
+        schema = StructType.fromDDL(schema)
+    reader = spark.readStream.format(source)
+    if source in ("csv", "json"):
+        if CORRUPT not in schema.fieldNames():
+            schema = StructType([*schema.fields, StructField(CORRUPT, StringType())])
+        reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
     if source == "csv":
         reader = reader.option("header", "true")
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.options(**options).load(path)
+    return reader.schema(schema).options(**options).load(path)
 
 
 def score(
@@ -73,7 +88,8 @@ def score(
 ) -> DataFrame:
     """One scored record per row and measure, with its context or the reason it failed.
 
-    Stateless: every row is joined to the run's tables and nothing else.
+    Stateless: every row is joined to the run's tables and nothing else. A malformed row and a
+    measure given as text that is no number are rejects without results.
     """
     spec = tables.spec
     payload = F.struct(*[F.col(c) for c in rows.columns])
@@ -86,26 +102,36 @@ def score(
     empty = F.lit(True)
     for c in rows.columns:
         empty = empty & F.col(c).isNull()
+    malformed = F.when(F.col(CORRUPT).isNotNull(), MALFORMED) if CORRUPT in rows.columns else F.lit(None).cast("string")
     # a measure of the run that the rows lack gives a record too, with its reason
     none = F.lit(None).cast("double")
-    pairs = [
-        F.struct(F.lit(m).alias("feature"), (measure(m) if m in rows.columns else none).alias("value"), F.lit(m not in rows.columns).alias("absent"))
-        for m in spec.continuous
-    ] or [F.struct(F.lit(None).cast("string").alias("feature"), none.alias("value"), F.lit(True).alias("absent"))]
+    pairs = []
+    for m in spec.continuous:
+        value, reason = none, F.lit("measure absent")
+        if m in rows.columns:
+            value, reason = measure(m), F.lit(None).cast("string")
+            if isinstance(rows.schema[m].dataType, StringType):
+                number = F.col(m).try_cast("double")
+                value, reason = F.when(~F.isnan(number), number), F.when(F.col(m).isNotNull() & number.isNull(), NO_NUMBER)
+        pairs.append(F.struct(F.lit(m).alias("feature"), value.alias("value"), reason.alias("reason")))
+    pairs = pairs or [F.struct(F.lit(None).cast("string").alias("feature"), none.alias("value"), F.lit("measure absent").alias("reason"))]
     long = rows.select(
         payload.alias("instance"),
         group.alias("segment_group"),
-        F.coalesce(F.when(empty, "no payload"), missing_group).alias("row_reason"),
+        F.coalesce(malformed, F.when(empty, "no payload"), missing_group).alias("row_reason"),
         F.explode(F.array(*pairs)).alias("m"),
     ).select(
         "instance",
         "segment_group",
-        F.coalesce(F.when(F.col("row_reason") == "no payload", F.col("row_reason")), F.when(F.col("m.absent"), "measure absent"), "row_reason").alias("row_reason"),
+        F.coalesce(F.when(F.col("row_reason").isin(MALFORMED, "no payload"), F.col("row_reason")), "m.reason", "row_reason").alias("row_reason"),
         "m.feature",
         "m.value",
     )
     scored = model.score_rows(long, tables.params, tables.predictions, edge_rule)
     scored = model.with_counts(scored, tables.profiles, whole_profile)
+    unread = F.coalesce(F.col("row_reason").isin(MALFORMED, NO_NUMBER), F.lit(False))
+    results = [c for c in scored.columns if c not in long.columns and c != "reject_reason"]
+    scored = scored.withColumns({c: F.when(~unread, F.col(c)) for c in results})
     # a null group is a segment of its own when the run has one
     row_reason = F.when(
         (F.col("row_reason") != "grouping value absent") | F.col("predicted_cluster").isNull(), F.col("row_reason")

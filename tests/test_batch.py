@@ -230,6 +230,33 @@ def test_stream_without_grouping_or_with_a_missing_column(spark, data, result, t
         streaming.read_results(spark, f"{folder}/s", "lost")
 
 
+def test_rows_that_cannot_be_read_are_rejects(spark, data, result, tmp_path):
+    folder = str(tmp_path / "out")
+    plain = analyze(data, AnalysisSpec(name="plain", categorical=["weekday", "weight"], continuous=["hours"], min_combination_size=5, max_k=3))
+    save(plain, folder)
+    scoring = streaming.load_scoring_tables(spark, folder)
+    for source, lines in {
+        "csv": ["trip,hours", "1,2.5", "2,soon", "3,2.5,more", ",", '4,"2.5', "5,2.5"],
+        "json": ['{"trip": 1, "hours": 2.5}', '{"trip": 2, "hours": "soon"}', '{"trip": 3, "hours"', "{}", "[4", '{"trip": 5, "hours": 2.5}'],
+    }.items():
+        incoming = tmp_path / source
+        incoming.mkdir()
+        (incoming / "rows").write_text("\n".join(lines) + "\n")
+        rows = streaming.read_rows(spark, str(incoming), "trip bigint, hours double", source)
+        out = f"{folder}/{source}"
+        streaming.start_scoring(rows, scoring, out, f"{folder}/{source}_state", available_now=True).awaitTermination()
+        good, bad = streaming.read_results(spark, out).collect(), streaming.read_results(spark, out, "rejected").collect()
+        assert sorted(r.instance.trip for r in good) == [1, 5] and all(r.predicted_cluster is not None for r in good)
+        assert sorted(r.reject_reason for r in bad) == ["malformed row"] * 3 + ["no payload"]
+        broken = [r for r in bad if r.reject_reason == "malformed row"]
+        assert all(r.instance.corrupt_record in lines and r.predicted_cluster is None and r.bin is None for r in broken)
+
+    text = spark.createDataFrame([(1, "2.5"), (2, "soon"), (3, None), (4, "NaN")], "trip int, hours string")
+    found = {r.instance.trip: r for r in streaming.score(text, scoring).collect()}
+    assert found[2].reject_reason == "measure is no number" and found[2].predicted_cluster is None and found[2].title is None
+    assert all(found[t].reject_reason is None and found[t].predicted_cluster is not None for t in (1, 3, 4))
+
+
 def test_several_analyses_in_order(spark, data, tmp_path):
     path = str(tmp_path / "trips.parquet")
     data.write.parquet(path)

@@ -64,6 +64,40 @@ def test_tables_of_a_run(spark, tmp_path):
     assert found[0].file_name.endswith(".json")
 
 
+def test_tables_by_segment(spark, tmp_path):
+    folder = str(tmp_path)
+    rows = [("01", "v", 1, "x"), ("a/b=c d", "v", 2, None), ("", "w", 3, "z"), ("NaN", "v", 4, "z")]
+    schema = "segment_group string, feature string, n int, name string"
+    df = spark.createDataFrame(rows, schema)
+    read = lambda **k: sorted(tables.read_table(spark, folder, "t", "r1", **k).collect(), key=lambda r: r.n)
+    assert tables.write_table(df, folder, "t", "r1")
+    assert tables.write_table(df.where("n = 1"), folder, "t", "r2")
+    assert [tuple(r) for r in read()] == rows
+    assert tables.read_table(spark, folder, "t", "r1").dtypes == df.dtypes
+    # one segment lists one folder
+    for row in rows[:2]:
+        one = tables.read_table(spark, folder, "t", "r1", segment=row[:2])
+        assert [tuple(r) for r in one.collect()] == [row]
+        assert len({f.rsplit("/", 1)[0] for f in one.inputFiles()}) == 1
+        assert len(one.inputFiles()) < len(tables.read_table(spark, folder, "t", "r1").inputFiles())
+    # a repeated save replaces its own run, and what it no longer has is passed over
+    assert tables.write_table(df.where("n <> 3").withColumn("n", df.n * 10), folder, "t", "r1")
+    assert [r.n for r in read()] == [10, 20, 40]
+    assert tables.read_table(spark, folder, "t", "r2").count() == 1
+    with pytest.raises(FileNotFoundError):
+        read(segment=("absent", "v"))
+    with pytest.raises(ValueError):
+        tables.write_table(df.withColumnRenamed("name", tables.SAVE), folder, "t", "r1")
+    # a save that fails, or has no rows, leaves nothing to read
+    with pytest.raises(Exception, match="broken"):
+        tables.write_table(df.selectExpr("segment_group", "feature", "n", "raise_error('broken') AS name"), folder, "t", "r1")
+    with pytest.raises(FileNotFoundError):
+        read()
+    assert not tables.write_table(df.limit(0), folder, "t", "r1")
+    with pytest.raises(FileNotFoundError):
+        read()
+
+
 def test_latest_run(spark, tmp_path):
     schema = "run_id string, status string"
     listed = [("20250101_000000_run_a", "done"), ("20260101_000000_run_b", "failed"), ("zzz", "failed")]
