@@ -83,3 +83,18 @@ def test_roles_are_checked(spark):
     for grouping, cats, measures in (("c", ["c"], ["v"]), ("g", ["c"], [])):
         with pytest.raises(ValueError):
             segments.check_roles(df, grouping, cats, measures)
+
+
+def test_rows_behind_the_parameters_are_computed_once(spark):
+    """The rows may come from a join; statistics and every pass of the percentiles read what it gave."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    rows = spark.range(1000).selectExpr("'g' AS segment_group", "'m' AS feature", "CAST(id AS DOUBLE) AS value")
+    params = binning.bin_params(rows.mapInPandas(counted, rows.schema), group_rows=50).collect()
+    assert [(r.n, r.mn, r.mx, r.q25, r.q75, r.n_bins) for r in params] == [(1000, 0.0, 999.0, 249.75, 749.25, 10)]
+    assert seen.value == 1000
