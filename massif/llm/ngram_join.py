@@ -10,8 +10,9 @@ its overlap plus what can still come (the shorter of what remains of both) is to
 Equal sets are one class from the start. A first round deals every class by its first three
 shared n-grams only and joins components. In the second round only n-grams that still
 belong to several components are looked at, all of them, so no link between components is
-missed; a set goes to a task only if by the prefixes there it can be similar to one of another component, while a group of thousands of near copies is not compared pair by pair again. Groups
-above a task's size are dealt in blocks and pairs of blocks.
+missed, while a group of thousands of near copies is not compared pair by pair again. In both rounds
+prefixes go to the tasks first, and a whole set follows only if by the prefixes there it can be similar to one
+of another component. Groups above a task's size are dealt in blocks and pairs of blocks.
 
 Set sizes and the digests of classes are taken from the whole 64-bit hashes. Stored sets and
 prefixes have 56-bit hashes, seven bytes each: among n n-grams of a set or of two compared sets
@@ -284,12 +285,35 @@ def trie_links(sets: list[np.ndarray], group: np.ndarray, num: int, den: int) ->
 
 
 def possible(sets: list[np.ndarray], sizes: np.ndarray, group: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Which sets, known by their first elements, can be similar to one of another group."""
-    trie = Trie(sets, sizes)
+    """Which sets, known by their first elements in order, can be similar to one of another group.
+
+    Similar sets share a first element, so the pairs come from lists of the sets that have each. Up to the
+    lesser of two last known elements both are known; of what follows, the shorter rest can be in common.
+    """
+    lengths = np.array([len(s) for s in sets], np.int64)
+    codes, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    bounds = np.concatenate([[0], np.cumsum(lengths)])
+    owner = np.repeat(np.arange(len(sets)), lengths)
+    placed = owner * len(codes) + flat  # ascends: set after set, each in order
+    by = np.argsort(flat, kind="stable")
+    members, starts = owner[by], np.searchsorted(flat[by], np.arange(len(codes) + 1))
+    several = np.diff(starts) > 1
+    last = flat[bounds[1:] - 1]
     out = np.zeros(len(sets), bool)
     for r in range(len(sets)):
-        near = trie.partners(r, num, den)
+        mine = flat[bounds[r] : bounds[r + 1]]
+        shared = mine[several[mine]].tolist()
+        if not shared:
+            continue
+        count = np.bincount(np.concatenate([members[starts[c] : starts[c + 1]] for c in shared]), minlength=len(sets))
+        near = np.flatnonzero(count)
         near = near[group[near] != group[r]]
+        overlap = count[near]
+        rest = np.minimum(
+            sizes[r] - np.searchsorted(mine, last[near], side="right"),
+            sizes[near] - (np.searchsorted(placed, near * len(codes) + last[r], side="right") - bounds[near]),
+        )
+        near = near[(overlap + rest) * (num + den) >= num * (sizes[r] + sizes[near])]
         if len(near):
             out[r] = out[near] = True
     return out
@@ -364,11 +388,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10
     tokens = written(heads.join(shared, "token"), "tokens")
     discard(heads)
 
-    # the sets of the classes that share an n-gram of their prefix
-    wanted = tokens.select(F.col("node").alias("uid")).distinct().join(described.select("uid", F.col("id").alias("own"), F.col("tkey").alias("own_key")), "uid")
-    met = rows.join(wanted, (rows["tkey"] == F.col("own_key")) & rows["id"].eqNullSafe(F.col("own"))).select("uid", "text")
-    if not described.groupBy("id", "tkey").count().filter("count > 1").isEmpty():
-        met = met.dropDuplicates(["uid"])
+    repeated = not described.groupBy("id", "tkey").count().filter("count > 1").isEmpty()
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -376,7 +396,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10
                 sets = _sets(data, offsets, words, levels.value)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([_packed(s) for s in sets], pa.binary())], ["node", "keys"])
 
-    sets = written(met.mapInArrow(whole, "node bigint, keys binary"), "keys")
+    def whole_sets(tasks: DataFrame) -> DataFrame:
+        """The whole sets of the classes that stand in a task."""
+        wanted = tasks.select(F.col("node").alias("uid")).distinct().join(described.select("uid", F.col("id").alias("own"), F.col("tkey").alias("own_key")), "uid")
+        met = rows.join(wanted, (rows["tkey"] == F.col("own_key")) & rows["id"].eqNullSafe(F.col("own"))).select("uid", "text")
+        if repeated:
+            met = met.dropDuplicates(["uid"])
+        return written(met.mapInArrow(whole, "node bigint, keys binary"), "keys")
+
+    def linked(members: DataFrame, pairs: bool) -> DataFrame:
+        """(node, root) of the links between members; only sets that can be similar by their prefixes are made whole and dealt."""
+        tasks = written(_possible_tasks(dealt(members, pairs), known, num, den), "possible")
+        sets = whole_sets(tasks)
+        found = written(connected(_join_tasks(tasks, sets, levels, num, den)), "linked")
+        discard(sets)
+        return found
 
     def dealt(members: DataFrame, pairs: bool) -> DataFrame:
         """Tasks of about ``task_sets`` sets; a larger group of one n-gram goes in blocks, or in all pairs of blocks.
@@ -407,16 +441,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10
 
     rank = F.row_number().over(W.partitionBy("node").orderBy("pos"))
     first = tokens.withColumn("rank", rank).filter(F.col("rank") <= FIRST_TOKENS).select("token", "node", "n", F.col("node").alias("part"))
-    near = written(connected(_join_tasks(dealt(first, False), sets, levels, num, den)), "near")
+    known = described.select(F.col("uid").alias("node"), "n", "prefix")
+    near = linked(first, False)
 
     found = tokens.join(near, "node", "left").select("token", "node", "n", F.coalesce("root", "node").alias("part"))
     found = written(found, "parts")
     cross = found.groupBy("token").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a <> b").select("token")
     rest = found.join(cross, "token", "left_semi")
-    known = described.select(F.col("uid").alias("node"), "n", "prefix")
-    rest = written(_possible_tasks(dealt(rest, True), known, num, den), "possible")
-    far = written(connected(_join_tasks(rest, sets, levels, num, den)), "far")
-    for table in (sets, tokens, found):
+    far = linked(rest, True)
+    for table in (tokens, found):
         discard(table)
 
     roots = classes.join(near, "node", "left").withColumn("mid", F.coalesce("root", "node")).drop("root")

@@ -59,6 +59,24 @@ def test_prefixes_rule_out_no_partner():
     assert linked <= set(np.flatnonzero(kept).tolist()) and not kept.all()
 
 
+def test_whole_sets_only_of_possible_partners(spark, monkeypatch):
+    """Sets that share one rare n-gram and cannot be similar are told apart by their prefixes, in both rounds."""
+    made = []
+    join = ngram_join._join_tasks
+
+    def noted(tasks, sets, *rest):
+        made.append((tasks.count(), sets.count()))
+        return join(tasks, sets, *rest)
+
+    monkeypatch.setattr(ngram_join, "_join_tasks", noted)
+    texts = ["x " + " ".join(f"d{i}w{k}" for k in range(10)) for i in range(40)]
+    texts += [" ".join(f"e{k}" for k in range(60)), " ".join(f"e{k}" for k in range(61))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(docs, words=1, num=90, den=100).collect()}
+    assert got == {i: min(i, 40) for i in range(42)}
+    assert sum(n for _, n in made) <= 2
+
+
 def test_components_of_a_chain(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 90), (90, 95)], "u bigint, v bigint")
     got = {r.node: r.root for r in connected(chain).collect()}
