@@ -10,7 +10,8 @@ its overlap plus what can still come (the shorter of what remains of both) is to
 Equal sets are one class from the start. A first round deals every class by its first three
 shared n-grams only and joins components. In the second round only n-grams that still
 belong to several components are looked at, all of them, so no link between components is
-missed, while a group of thousands of near copies is not compared pair by pair again. In both rounds
+missed, while a group of thousands of near copies is not compared pair by pair again. An n-gram of a prefix
+counts only where, by its place and the sizes, it can be the first that two similar sets share (``_meeting``). In both rounds
 prefixes go to the tasks first, and a whole set follows only if by the prefixes there it can be similar to one
 of another component. Groups above a task's size are dealt in blocks and pairs of blocks.
 
@@ -319,6 +320,21 @@ def possible(sets: list[np.ndarray], sizes: np.ndarray, group: np.ndarray, num:
     return out
 
 
+def _meeting(rows: DataFrame, num: int, den: int, task_sets: int) -> DataFrame:
+    """Rows (token, node, n, pos; c of them have the token) whose n-gram can be the first that similar sets share.
+
+    Before the first common n-gram nothing is in common, so at places i and j the overlap is at most the lesser of
+    n - i and m - j. That must be ``num / (num + den) * (n + m)``: m is at most the ``reach`` of the one, n at most that of the
+    other. So in order of size an earlier row must reach as far as this one, or the next one must be within its
+    reach. Of groups above a task's size all rows stay: their parts do not know each other.
+    """
+    many = F.col("c") > task_sets
+    by = W.partitionBy("token", F.when(many, F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / task_sets))).otherwise(F.lit(0))).orderBy("n")
+    known = rows.withColumn("reach", F.floor((F.col("n") - F.col("pos")) * (num + den) / num) - F.col("n"))
+    known = known.withColumn("before", F.max("reach").over(by.rowsBetween(W.unboundedPreceding, -1))).withColumn("after", F.lead("n").over(by))
+    return known.filter(many | (F.col("before") >= F.col("n")) | (F.col("after") <= F.col("reach"))).drop("c", "reach", "before", "after")
+
+
 def _possible_tasks(dealt: DataFrame, heads: DataFrame, num: int, den: int) -> DataFrame:
     """The rows of ``dealt`` whose set can be similar to one of another component in its task, by prefixes alone."""
 
@@ -384,8 +400,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10
     classes = written(classes, "classes")
     reps = described.join(classes.select(F.col("node").alias("uid")), "uid", "left_semi")
     heads = written(reps.select(F.col("uid").alias("node"), "n", F.posexplode("prefix").alias("pos", "token")), "prefixes")
-    shared = written(heads.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token"), "shared")
-    tokens = written(heads.join(shared, "token"), "tokens")
+    shared = written(heads.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token", "c"), "shared")
+    tokens = written(_meeting(heads.join(shared, "token"), num, den, task_sets), "tokens")
     discard(heads)
 
     repeated = not described.groupBy("id", "tkey").count().filter("count > 1").isEmpty()
