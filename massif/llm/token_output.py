@@ -37,12 +37,20 @@ ESCAPE = (1 << 60) - 1
 U = np.uint64
 
 
-def _fits(need: np.ndarray, count: int, bits: int) -> np.ndarray:
-    """Whether the ``count`` values from each place on need at most ``bits``; there are none past the end."""
-    wider = np.zeros(len(need) + count, np.int32)
-    np.cumsum(need > bits, out=wider[1 : len(need) + 1])
-    wider[len(need) + 1 :] = wider[len(need)]
-    return wider[count:] == wider[: len(need)]
+#: The narrowest width for a value, by the exponent of the nearest double (those that round up to 2**60 need 60).
+WIDTHS = np.array([min(b for b in BITS if b >= min(e, 60)) for e in range(62)], np.uint8)
+
+
+def _widest(need: np.ndarray) -> dict[int, np.ndarray]:
+    """For each number of values per word, the widest of so many from each place on; there are none past the end."""
+    n, most = len(need), max(PER_WORD)
+    spans, out = [np.concatenate([need, np.zeros(most, np.uint8)])], {}
+    for k in range(most.bit_length() - 1):
+        spans.append(np.maximum(spans[k][: -1 << k], spans[k][1 << k :]))
+    for count in PER_WORD:
+        k = count.bit_length() - 1
+        out[count] = np.maximum(spans[k][:n], spans[k][count - (1 << k) :][:n])
+    return out
 
 
 def encode_simple8b(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -52,18 +60,10 @@ def encode_simple8b(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     escaped = values >= U(ESCAPE)
     escapes = values[escaped]
     values = np.where(escaped, U(ESCAPE), values)
-    need = np.zeros(n, np.uint8)
-    lower = 0
-    for b in sorted(set(BITS)):  # the narrowest width that holds the value
-        fits = (values < U(1 << b)) & (values >= U(lower))
-        need[fits] = b
-        lower = 1 << b
+    widest = _widest(WIDTHS[np.frexp(values.astype(np.float64))[1]])
     choice = np.full(n, 15, np.uint8)
-    open_ = np.ones(n, bool)
-    for s, (count, bits) in enumerate(zip(PER_WORD[:-1], BITS[:-1], strict=True)):
-        hit = open_ & _fits(need, count, bits)
-        choice[hit] = s
-        open_ &= ~hit
+    for s in range(14, -1, -1):  # the most values that fit
+        choice[widest[PER_WORD[s]] <= BITS[s]] = s
     step = np.array(PER_WORD)[choice].tolist()
     at, starts = 0, []
     while at < n:
