@@ -90,7 +90,7 @@ def _run_sums(groups: np.ndarray, rows: np.ndarray, picked: np.ndarray) -> tuple
     total = rows[picked[heads]]
     for k in range(1, min(int(count[0]), LONG_RUN)):
         n = int(np.searchsorted(-count, -k, side="left"))
-        total[:n] += rows[picked[heads[:n] + k]]
+        total[:n] += rows.take(picked[heads[:n] + k], axis=0)
     for i in range(int(np.searchsorted(-count, -LONG_RUN, side="left"))):
         total[i] += rows[picked[heads[i] + LONG_RUN : heads[i] + count[i]]].sum(axis=0)
     return groups[heads], total
@@ -125,8 +125,9 @@ class Passages:
         size = np.diff(np.append(self.step_start, self.bounds[-1]))
         full = size == STEP
         first, total = self.step_start[full], np.zeros((int(full.sum()), rows.shape[1]), rows.dtype)
+        more = np.empty_like(total)
         for k in range(STEP):
-            total += rows[self.slots[first + k]]
+            total += rows.take(self.slots[first + k].astype(np.int64), axis=0, out=more, mode="clip")
         out[full] = total
         step, total = _run_sums(self.step_of[~full[self.step_of]], rows, self.slots[~full[self.step_of]])
         out[step] = total
@@ -137,14 +138,21 @@ class Passages:
         left = np.repeat(self.steps, self.steps) - self.within
         return np.flatnonzero((left >= size) | (self.within == 0))
 
-    def whole(self, sums: np.ndarray, size: int) -> np.ndarray:
-        """Per passage of ``size`` steps, the sum over its steps."""
-        first = self.starts(size)
-        out = sums[first].copy()
-        for k in range(1, size):
-            more = self.within[first] + k < self.steps[self.step_doc[first]]
-            out[more] += sums[first[more] + k]
-        return out
+    def whole(self, sums: np.ndarray, sizes: tuple[int, ...] = SIZES) -> Iterator[tuple[int, np.ndarray]]:
+        """(size, sum over its steps per passage of ``size`` steps) of ascending sizes; one sum grows step by step."""
+        out, n = sums.copy(), len(sums)
+        for size, before in zip(sizes, (1, *sizes), strict=False):
+            for k in range(before, size):
+                out[: max(0, n - k)] += sums[k:]
+            first = self.starts(size)
+            total = out[first]
+            # a document of fewer steps
+            short = np.flatnonzero(self.steps[self.step_doc[first]] < size)
+            total[short] = sums[first[short]]
+            for k in range(1, size):
+                more = short[k < self.steps[self.step_doc[first[short]]]]
+                total[more] += sums[first[more] + k]
+            yield size, total
 
 
 def idf_weights(docs: DataFrame) -> np.ndarray:
@@ -156,7 +164,9 @@ def idf_weights(docs: DataFrame) -> np.ndarray:
             for lo, hi, data, offsets in text_chunks(batch.column(0)):
                 got = Passages(data, offsets)
                 doc = np.repeat(np.arange(hi - lo), np.diff(got.bounds))
-                total += np.bincount(np.unique(doc << SLOT_BITS | got.slots.astype(np.int64)) & ((1 << SLOT_BITS) - 1), minlength=len(total))
+                held = np.sort(doc << SLOT_BITS | got.slots.astype(np.int64))
+                held = held[np.concatenate([[True], held[1:] != held[:-1]])[: len(held)]]
+                total += np.bincount(held & ((1 << SLOT_BITS) - 1), minlength=len(total))
                 n_docs += hi - lo
         slots = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(slots, -1)), pa.array(np.append(total[slots], n_docs))], ["slot", "n"])
@@ -186,7 +196,12 @@ def latent_space(docs: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int =
                 if not len(got.step_start):
                     continue
                 head = got.within % SIZES[1] == 0
-                sums = np.add.reduceat(got.sums(rows), np.flatnonzero(head), axis=0)
+                sums, first = got.sums(rows), np.flatnonzero(head)
+                count, rest = np.diff(np.append(first, len(sums))), np.zeros((len(first), sums.shape[1]), sums.dtype)
+                for k in range(1, SIZES[1]):
+                    more = count > k
+                    rest[more] += sums[first[more] + k]
+                sums = sums[first] + rest
                 product = sums[:, :rank] / np.maximum(sums[:, rank:], 1e-9)
                 order = np.argsort(got.slots, kind="stable")
                 of_word = (np.cumsum(head) - 1)[got.step_of]
@@ -224,8 +239,8 @@ def common_subsequence(item: list[int], text: list[int]) -> int:
         places[w] = places.get(w, 0) | 1 << i
     full = (1 << len(item)) - 1
     row = full
-    for w in text:
-        hit = row & places.get(w, 0)
+    for place in filter(None, map(places.get, text)):
+        hit = row & place
         if hit:
             row = ((row + hit) | (row - hit)) & full
     return len(item) - row.bit_count()
@@ -255,7 +270,7 @@ class Items:
             grams.setdefault(min(n, GRAM), []).append((hashes, np.full(len(first), len(self.ids)), first))
             size = min(SIZES, key=lambda s: abs(s * STEP - n))
             whole = n <= SIZES[-1] * STEP * 4 // 3
-            z = space[got.slots].sum(axis=0, keepdims=True) if whole else got.whole(got.sums(space), size)
+            z = space[got.slots].sum(axis=0, keepdims=True) if whole else next(got.whole(got.sums(space), (size,)))[1]
             held[size][0].append(z)
             held[size][1].extend([len(self.ids)] * len(z))
             self.ids.append(item)
@@ -341,13 +356,14 @@ def candidates(got: Passages, items: Items, space: np.ndarray, cosine: float, sh
     the item has; passages that fall short of ``share`` by this bound are left out.
     """
     found = exact_candidates(got, items, space, share)
-    sums = got.sums(space)
-    for size, (vectors, owner) in items.by_size.items():
-        first = got.starts(size)
-        z = _unit(got.whole(sums, size))
+    for size, z in got.whole(got.sums(space)):
+        if size not in items.by_size:
+            continue
+        vectors, owner = items.by_size[size]
+        first, z = got.starts(size), _unit(z)
         for lo in range(0, len(z), 1 << 13):
             near = z[lo : lo + (1 << 13)] @ vectors.T
-            row, col = np.nonzero(near >= cosine)
+            row, col = np.divmod(np.flatnonzero(near >= cosine), len(owner))
             at, q, c = first[lo + row], owner[col], near[row, col]
             doc, start = got.step_doc[at], got.step_start[at]
             a, b = _region(start, size * STEP, items.sizes[q], got.bounds[doc], got.bounds[doc + 1])
