@@ -141,7 +141,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id
         ranks = np.zeros(capacity + 1, np.int64)
         end = np.array([end_id], "<u4")
         for batch in batches:
-            ids_of = encode_column(tokenizer, batch.column(1).to_pylist(), added)
+            ids_of = encode_column(tokenizer, batch.column(1), added)
             rows, out, held = [], {k: [] for k in ("piece", "start", "length", "ids", "ids_crc32", "local_rank")}, 0
             for row, ids in enumerate(ids_of):
                 ids = np.concatenate([ids, end]).astype("<u4", copy=False)
@@ -154,7 +154,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id
                         out[key].append(value)
                     ranks[b - a] += 1
                     held += len(raw)
-                if held > 1 << 24:
+                if held > 1 << 22:
                     yield emit(batch, rows, out, part)
                     rows, out, held = [], {k: [] for k in out}, 0
             if rows:

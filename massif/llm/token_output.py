@@ -125,7 +125,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = END_ID, block_id
 
         doc_ids, parts, sizes, held = [], [], [], 0
         for batch in batches:
-            for row, ids in enumerate(encode_column(tokenizer, batch.column(1).to_pylist(), added)):
+            for row, ids in enumerate(encode_column(tokenizer, batch.column(1), added)):
                 doc_ids.append(batch.column(0).slice(row, 1))
                 parts += [ids, end]
                 sizes.append(len(ids) + 1)

@@ -18,7 +18,7 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 from operator import attrgetter
 
 import numpy as np
@@ -26,6 +26,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
+from massif.llm.text import text_chunks
+
 #: Letters and numbers below U+0250, and the published pre-token patterns over them.
 LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
 NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -40,6 +42,8 @@ DIVIDED_RUN = re.compile(r"\s (?:\s|\Z)")
 #: A worker keeps the ids of so many units and pieces, of up to LONG_UNIT bytes each (below 250 MB, typically 40).
 CACHE_UNITS, CACHE_PIECES = 600_000, 150_000
 LONG_UNIT = 64
+#: Bytes of text that are encoded at once: a call looks through all that is kept, so small slices would pay for that again and again.
+SLICE_BYTES = 1 << 22
 TOKEN_ID = attrgetter("id")
 
 
@@ -195,9 +199,8 @@ def text_slices(texts: list[str], limit: int = 1 << 23) -> Iterator[tuple[int, i
         yield lo, len(texts)
 
 
-def encode_column(path: str, texts: Iterable[str | None], added: bool = False) -> Iterator[np.ndarray]:
+def encode_column(path: str, texts: pa.Array, added: bool = False) -> Iterator[np.ndarray]:
     """Ids of each text in order; null is empty."""
-    whole = [t or "" for t in texts]
     enc = encoder(path, added)
-    for lo, hi in text_slices(whole):
-        yield from enc.encode(whole[lo:hi])
+    for lo, hi, _, _ in text_chunks(texts, SLICE_BYTES):
+        yield from enc.encode([t or "" for t in texts.slice(lo, hi - lo).to_pylist()])
