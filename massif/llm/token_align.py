@@ -31,9 +31,10 @@ from pyspark.sql import types as T
 
 from massif.llm.tables import stored
 from massif.llm.text import text_chunks
+from massif.llm.tokenization import SLICE_BYTES as ENCODED_BYTES
 from massif.llm.tokenization import byte_letters, encoder
 
-#: Bytes of text that are aligned at once.
+#: Bytes of text that are aligned at once; A's tokens are found for ENCODED_BYTES at a time.
 SLICE_BYTES = 1 << 18
 #: Links that are added up at once.
 SLICE_LINKS = 1 << 18
@@ -163,10 +164,18 @@ class Aligner:
         for lo, hi in zip(ends[:-1], ends[1:], strict=True):
             yield "".join(map(self.shown.__getitem__, out[lo:hi].tolist()))[:-1]
 
-    def align(self, texts: list[str]) -> list[pa.Array]:
-        """The columns of ``ALIGNED``."""
+    def slices(self, texts: pa.Array) -> Iterator[tuple[int, int, list[pa.Array]]]:
+        """Row ranges and their columns. A's tokens are found for larger slices, in which more words repeat."""
+        for lo, hi, _, _ in text_chunks(texts, ENCODED_BYTES):
+            part = texts.slice(lo, hi - lo)
+            held = [t or "" for t in part.to_pylist()]
+            a_lists = encoder(self.a_path).encode([" " + t if t else "" for t in held])
+            for a, b, _, _ in text_chunks(part, SLICE_BYTES):
+                yield lo + a, lo + b, self.align(held[a:b], a_lists[a:b])
+
+    def align(self, texts: list[str], a_lists: list[np.ndarray]) -> list[pa.Array]:
+        """The columns of ``ALIGNED`` of texts whose A tokens are known."""
         spaced = [" " + t if t else "" for t in texts]
-        a_lists = encoder(self.a_path).encode(spaced)
         b_lists = [np.array(ids, np.int64) for ids in self.model.encode(texts, num_threads=1)]
         for k, text in enumerate(spaced):
             raw = text.encode()
@@ -204,9 +213,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = aligner(a_path, b_path)
         for batch in batches:
-            texts = batch.column(1).fill_null("")
-            for lo, hi, _, _ in text_chunks(texts, SLICE_BYTES):
-                columns = both.align(texts.slice(lo, hi - lo).to_pylist())
+            for lo, hi, columns in both.slices(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *columns], ["id", *(c.split()[0] for c in ALIGNED.split(", "))])
 
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *T._parse_datatype_string(ALIGNED).fields])
