@@ -12,8 +12,10 @@ shared n-grams only and joins components. In the second round only n-grams that
 belong to several components are looked at, all of them, so no link between components is
 missed, while a group of thousands of near copies is not compared pair by pair again. An n-gram of a prefix
 counts only where, by its place and the sizes, it can be the first that two similar sets share (``_meeting``). In both rounds
-prefixes go to the tasks first, and a whole set follows only if by the prefixes there it can be similar to one
-of another component. Groups above a task's size are dealt in blocks and pairs of blocks.
+counts go to the tasks first, a byte for four to eight n-grams of a set, and a whole set follows only if by the counts
+there it can be similar to one of another component (``alike``). Its text is read again for that; texts whose hash
+is not in a bitmap of the wanted ones, of fixed size, are passed over before the shuffle. Groups above a task's size
+are dealt in blocks and pairs of blocks.
 
 Set sizes and the digests of classes are taken from the whole 64-bit hashes. Stored sets and
 prefixes have 56-bit hashes, seven bytes each: among n n-grams of a set or of two compared sets
@@ -51,6 +53,10 @@ TASK_NGRAMS = 4_000_000
 #: N-grams that share a first member share a task up to so many times a task's sets.
 LED_ROWS = 8
 SEGMENT = 64
+#: Places in which the n-grams of a set are counted: so many at least, and one for four to eight n-grams.
+LEAST_PLACES = 16
+#: Bits of the map of texts that are read again, 2**25: 4 MB at any input size.
+MAP_BITS = 25
 
 
 def _grams(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -98,6 +104,16 @@ def _sets(data: np.ndarray, offsets: np.ndarray, size: int, levels: np.ndarray)
     return [_ordered(grams[a:b], levels) for a, b in zip(starts, starts[1:], strict=False)]
 
 
+def _places(size: int) -> int:
+    return max(LEAST_PLACES, 1 << max(0, (size // 4).bit_length() - 1))
+
+
+def _counted(keys: np.ndarray, size: int) -> bytes:
+    """How many of a set's n-grams fall in each place by their last bits, modulo 256."""
+    places = _places(size)
+    return np.bincount((keys & U(places - 1)).astype(np.int64), minlength=places).astype(np.uint8).tobytes()
+
+
 def frequency_levels(docs: DataFrame, size: int) -> np.ndarray:
     """For each of the sketch's slots, the bit length of how often frequent n-grams fell there: 2**22 bytes, at any input size."""
 
@@ -335,18 +351,75 @@ def _meeting(rows: DataFrame, num: int, den: int, task_sets: int) -> DataFrame:
     return known.filter(many | (F.col("before") >= F.col("n")) | (F.col("after") <= F.col("reach"))).drop("c", "reach", "before", "after")
 
 
-def _possible_tasks(dealt: DataFrame, heads: DataFrame, num: int, den: int) -> DataFrame:
-    """The rows of ``dealt`` whose set can be similar to one of another component in its task, by prefixes alone."""
+def alike(counts: list[bytes], sizes: np.ndarray, group: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which sets can be similar to one of another group, by their numbers of n-grams in each place (``_counted``).
+
+    N-grams that only one of two sets has are at least as many as their counts differ, all places together. That also holds
+    for differences modulo 256, taken the shorter way, and for the sums of places in halves, so sets with more places are
+    compared with sets with fewer. Similar sets have at most ``(den - num) / (den + num) * (n + m)`` such n-grams.
+    """
+    by = np.argsort(sizes, kind="stable")
+    sizes, group = sizes[by], group[by]
+    width = np.array([len(counts[i]) for i in by], np.int64)  # ascends with the size
+    tables: dict[int, tuple[int, int, np.ndarray]] = {}  # places -> first set, end of those that have no more, and the counts from there on
+    table = None
+    for places in np.unique(width)[::-1].tolist():
+        while table is not None and table.shape[1] > places:
+            table = table[:, : table.shape[1] // 2] + table[:, table.shape[1] // 2 :]
+        first, end = np.searchsorted(width, [places, places + 1]).tolist()
+        own = np.frombuffer(b"".join(counts[i] for i in by[first:end]), np.uint8).reshape(-1, places)
+        table = own if table is None else np.concatenate([own, table])
+        tables[places] = first, end, table
+    low = np.searchsorted(sizes, -(-num * sizes // den)).tolist()
+    high = np.searchsorted(sizes, den * sizes // num, side="right").tolist()
+    found = np.zeros(len(by), bool)
+    for r in np.flatnonzero(sizes).tolist():
+        if found[r]:
+            continue  # sets that have not been found yet look for this one themselves
+        for places, (first, end, table) in tables.items():
+            start, stop = max(low[r], first), high[r] if places == width[r] else min(high[r], end)
+            if places > width[r] or start >= stop:
+                continue
+            near = start + np.flatnonzero(group[start:stop] != group[r])
+            apart = np.abs((table[near - first] - table[r - first]).view(np.int8)).view(np.uint8).sum(axis=1, dtype=np.int64)
+            near = near[apart * (den + num) <= (sizes[near] + sizes[r]) * (den - num)]
+            if len(near):
+                found[r] = found[near] = True
+    out = np.zeros(len(by), bool)
+    out[by] = found
+    return out
+
+
+def _possible_tasks(dealt: DataFrame, counts: DataFrame, num: int, den: int) -> DataFrame:
+    """The rows of ``dealt`` whose set can be similar to one of another component in its task, by the counts alone."""
 
     def check(table: pa.Table) -> pa.Table:
-        prefix = table.column("prefix").combine_chunks()
-        prefix = prefix.chunk(0) if isinstance(prefix, pa.ChunkedArray) else prefix
-        flat = prefix.flatten().to_numpy(zero_copy_only=False).astype(U)
-        sets = np.split(flat, np.cumsum(np.diff(prefix.offsets.to_numpy()))[:-1])
-        keep = possible(sets, table.column("n").to_numpy(), table.column("part").to_numpy(), num, den)
+        keep = alike(table.column("counts").to_pylist(), table.column("n").to_numpy(), table.column("part").to_numpy(), num, den)
         return table.select(["task", "node", "part"]).filter(pa.array(keep))
 
-    return dealt.distinct().join(heads, "node").groupBy("task").applyInArrow(check, "task bigint, node bigint, part bigint")
+    return dealt.distinct().join(counts, "node").groupBy("task").applyInArrow(check, "task bigint, node bigint, part bigint")
+
+
+def _key_map(keys: DataFrame) -> np.ndarray:
+    """A bit for the last bits of each hash ``tkey``, in 64-bit numbers."""
+    last = F.col("tkey").bitwiseAND(F.lit((1 << MAP_BITS) - 1))
+    bit = F.expr("shiftleft(1L, cast(tkey & 63 as int))")
+    table = keys.groupBy(F.shiftright(last, 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()  # at most 2**19 rows of two numbers
+    bits = np.zeros(1 << (MAP_BITS - 6), U)
+    bits[table.column("at").to_numpy()] = table.column("bits").to_numpy().view(U)
+    return bits
+
+
+def _in_map(rows: DataFrame, bits) -> DataFrame:
+    """The rows whose ``tkey`` has its bit in a broadcast map: all whose hash was put in it, and a few others."""
+    at = rows.columns.index("tkey")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            last = batch.column(at).to_numpy().view(U) & U((1 << MAP_BITS) - 1)
+            yield batch.filter(pa.array((bits.value[last >> U(6)] >> (last & U(63)) & U(1)).astype(bool)))
+
+    return rows.mapInArrow(keep, rows.schema)
 
 
 def _join_tasks(dealt: DataFrame, sets: DataFrame, levels, num: int, den: int) -> DataFrame:
@@ -369,8 +442,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10
     without regard to ids, ``uid`` the row, and ``tkey`` the hash of its text.
     """
     spark = docs.sparkSession
-    rows = keyed(docs, id_col, text_col)
-    levels = spark.sparkContext.broadcast(frequency_levels(rows, words))
+    every = keyed(docs, id_col, text_col)
+    levels = spark.sparkContext.broadcast(frequency_levels(every, words))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -384,16 +457,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10
                 for salt in (0x243F6A8885A308D3, 0x13198A2E03707344):
                     sums = np.concatenate([[U(0)], np.cumsum(mix(flat ^ U(salt)))]).astype(U)
                     digests.append(pa.array((sums[at[1:]] - sums[at[:-1]]).view(np.int64)))
+                counts = pa.array([_counted(s, n) for s, n in zip(sets, sizes.tolist(), strict=True)], pa.binary())
                 heads = [s[: len(s) - -(-num * len(s) // den) + 1] if len(s) else s for s in sets]
                 prefix = pa.ListArray.from_arrays(
                     pa.array(np.concatenate([[0], np.cumsum([len(h) for h in heads])]).astype(np.int32)), pa.array(np.concatenate(heads).view(np.int64))
                 )
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(sizes), *digests, prefix], ["id", "tkey", "n", "d1", "d2", "prefix"]
+                    [batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(sizes), *digests, counts, prefix],
+                    ["id", "tkey", "n", "d1", "d2", "counts", "prefix"],
                 )
 
-    schema = T.StructType([rows.schema["id"], *T._parse_datatype_string("tkey bigint, n bigint, d1 bigint, d2 bigint, prefix array<bigint>").fields])
-    described = rows.select("id", "text", "tkey").mapInArrow(describe, schema).withColumn("uid", F.monotonically_increasing_id())
+    schema = T.StructType([every.schema["id"], *T._parse_datatype_string("tkey bigint, n bigint, d1 bigint, d2 bigint, counts binary, prefix array<bigint>").fields])
+    described = every.select("id", "text", "tkey").mapInArrow(describe, schema).withColumn("uid", F.monotonically_increasing_id())
     described = written(described, "sets")
 
     classes = described.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("uid").alias("node"), F.count("*").alias("class_size"))
@@ -415,13 +490,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10
     def whole_sets(tasks: DataFrame) -> DataFrame:
         """The whole sets of the classes that stand in a task."""
         wanted = tasks.select(F.col("node").alias("uid")).distinct().join(described.select("uid", F.col("id").alias("own"), F.col("tkey").alias("own_key")), "uid")
+        wanted = written(wanted, "wanted")
+        bits = spark.sparkContext.broadcast(_key_map(wanted.select(F.col("own_key").alias("tkey"))))
+        rows = _in_map(every, bits)
         met = rows.join(wanted, (rows["tkey"] == F.col("own_key")) & rows["id"].eqNullSafe(F.col("own"))).select("uid", "text")
         if repeated:
             met = met.dropDuplicates(["uid"])
         return written(met.mapInArrow(whole, "node bigint, keys binary"), "keys")
 
     def linked(members: DataFrame, pairs: bool) -> DataFrame:
-        """(node, root) of the links between members; only sets that can be similar by their prefixes are made whole and dealt."""
+        """(node, root) of the links between members; only sets that can be similar by their counts are made whole and dealt."""
         tasks = written(_possible_tasks(dealt(members, pairs), known, num, den), "possible")
         sets = whole_sets(tasks)
         found = written(connected(_join_tasks(tasks, sets, levels, num, den)), "linked")
@@ -457,7 +535,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10
 
     rank = F.row_number().over(W.partitionBy("node").orderBy("pos"))
     first = tokens.withColumn("rank", rank).filter(F.col("rank") <= FIRST_TOKENS).select("token", "node", "n", F.col("node").alias("part"))
-    known = described.select(F.col("uid").alias("node"), "n", "prefix")
+    known = described.select(F.col("uid").alias("node"), "n", "counts")
     near = linked(first, False)
 
     found = tokens.join(near, "node", "left").select("token", "node", "n", F.coalesce("root", "node").alias("part"))
