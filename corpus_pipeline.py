@@ -17,11 +17,9 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text the quality classifier rejects go, whatever their ids; it learns from the rows that are not held out."""
     learn = labelled.fold("doc_id", 4) != 2
-    key = fresh("text", docs)
-    marked = docs.withColumn(key, F.xxhash64(F.coalesce("text", F.lit(""))))
-    scored = quality.score_quality(marked, read_table(spark, sf_dir, "labels"), learn, key_col=key)
-    gone = written(scored.filter(F.col("score") < quality.KEEP_FROM).select(F.col(key).alias(f"{key}_k")).distinct(), "rejected")
-    return marked.join(gone, F.col(key) == F.col(f"{key}_k"), "left_anti").drop(key)
+    found = fresh("quality", docs)
+    scored = quality.score_quality(docs, read_table(spark, sf_dir, "labels"), learn, beside=found)
+    return scored.filter(F.col(f"{found}.score") >= quality.KEEP_FROM).drop(found)
 
 
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

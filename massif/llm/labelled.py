@@ -44,8 +44,11 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, id_col
     return texts, table.column("y").to_numpy().astype(np.int64), share
 
 
-def score_documents(docs: DataFrame, score: Callable, fields: str, id_col: str, text_col: str) -> DataFrame:
-    """id and ``fields`` for every row; ``score(data, offsets)`` gives the columns of a chunk."""
+def score_documents(docs: DataFrame, score: Callable, fields: str, id_col: str, text_col: str, beside: str | None = None) -> DataFrame:
+    """id and ``fields`` for every row; ``score(data, offsets)`` gives the columns of a chunk.
+
+    With ``beside`` the whole rows are returned, with ``fields`` as a struct of that name behind their columns.
+    """
     names = ["id", *T._parse_datatype_string(fields).fieldNames()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,6 +56,15 @@ def score_documents(docs: DataFrame, score: Callable, fields: str, id_col: str,
             for lo, hi, data, offsets in text_chunks(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *score(data, offsets)], names)
 
+    def run_beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, offsets in text_chunks(batch.column(at)):
+                scored = pa.StructArray.from_arrays(score(data, offsets), names[1:])
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, scored], [*batch.schema.names, beside])
+
+    if beside:
+        at = [c.lower() for c in docs.columns].index(text_col.lower())
+        return docs.mapInArrow(run_beside, T.StructType([*docs.schema.fields, T.StructField(beside, T._parse_datatype_string(fields))]))
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *T._parse_datatype_string(fields).fields])
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
     return out.withColumnRenamed("id", id_col)

@@ -12,10 +12,10 @@ shared n-grams only and joins components. In the second round only n-grams that
 belong to several components are looked at, all of them, so no link between components is
 missed, while a group of thousands of near copies is not compared pair by pair again. An n-gram of a prefix
 counts only where, by its place and the sizes, it can be the first that two similar sets share (``_meeting``). In both rounds
-counts go to the tasks first, a byte for four to eight n-grams of a set, and a whole set follows only if by the counts
-there it can be similar to one of another component (``alike``). Its text is read again for that; texts whose hash
-is not in a bitmap of the wanted ones, of fixed size, are passed over before the shuffle. Groups above a task's size
-are dealt in blocks and pairs of blocks.
+counts go to the tasks first, a byte for two to four n-grams of a set, and a whole set follows only if by the counts
+there it can be similar to one of another component (``alike``). Its text is read again for that; rows whose hash
+is not in a bitmap of the wanted ones, of fixed size, are passed over. Groups above a task's size are dealt in blocks
+and pairs of blocks.
 
 Set sizes and the digests of classes are taken from the whole 64-bit hashes. Stored sets and
 prefixes have 56-bit hashes, seven bytes each: among n n-grams of a set or of two compared sets
@@ -53,9 +53,9 @@ TASK_NGRAMS = 4_000_000
 #: N-grams that share a first member share a task up to so many times a task's sets.
 LED_ROWS = 8
 SEGMENT = 64
-#: Places in which the n-grams of a set are counted: so many at least, and one for four to eight n-grams.
+#: Places in which the n-grams of a set are counted: so many at least, and one for two to four n-grams.
 LEAST_PLACES = 16
-#: Bits of the map of texts that are read again, 2**25: 4 MB at any input size.
+#: Bits of the map of rows whose sets are made again, 2**25: 4 MB at any input size.
 MAP_BITS = 25
 
 
@@ -105,7 +105,7 @@ def _sets(data: np.ndarray, offsets: np.ndarray, size: int, levels: np.ndarray)
 
 
 def _places(size: int) -> int:
-    return max(LEAST_PLACES, 1 << max(0, (size // 4).bit_length() - 1))
+    return max(LEAST_PLACES, 1 << max(0, (size // 2).bit_length() - 1))
 
 
 def _counted(keys: np.ndarray, size: int) -> bytes:
@@ -400,26 +400,20 @@ def _possible_tasks(dealt: DataFrame, counts: DataFrame, num: int, den: int) ->
     return dealt.distinct().join(counts, "node").groupBy("task").applyInArrow(check, "task bigint, node bigint, part bigint")
 
 
-def _key_map(keys: DataFrame) -> np.ndarray:
-    """A bit for the last bits of each hash ``tkey``, in 64-bit numbers."""
-    last = F.col("tkey").bitwiseAND(F.lit((1 << MAP_BITS) - 1))
-    bit = F.expr("shiftleft(1L, cast(tkey & 63 as int))")
-    table = keys.groupBy(F.shiftright(last, 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()  # at most 2**19 rows of two numbers
-    bits = np.zeros(1 << (MAP_BITS - 6), U)
-    bits[table.column("at").to_numpy()] = table.column("bits").to_numpy().view(U)
-    return bits
-
-
-def _in_map(rows: DataFrame, bits) -> DataFrame:
-    """The rows whose ``tkey`` has its bit in a broadcast map: all whose hash was put in it, and a few others."""
-    at = rows.columns.index("tkey")
+def _row_map(rows: DataFrame) -> np.ndarray:
+    """A bit for the last bits of the hash of each row's ``id`` and ``tkey``, in 64-bit numbers."""
+    key = F.xxhash64("id", "tkey")
+    bits = rows.select(F.shiftright(key.bitwiseAND(F.lit((1 << MAP_BITS) - 1)), 6).alias("at"), key.alias("key")).groupBy("at").agg(F.expr("bit_or(shiftleft(1L, cast(key & 63 as int)))").alias("bits"))
+    table = bits.toArrow()  # at most 2**19 rows of two numbers
+    out = np.zeros(1 << (MAP_BITS - 6), U)
+    out[table.column("at").to_numpy()] = table.column("bits").to_numpy().view(U)
+    return out
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            last = batch.column(at).to_numpy().view(U) & U((1 << MAP_BITS) - 1)
-            yield batch.filter(pa.array((bits.value[last >> U(6)] >> (last & U(63)) & U(1)).astype(bool)))
 
-    return rows.mapInArrow(keep, rows.schema)
+def _mapped(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which hashes have their bit in the map: all that were put in it, and a few others."""
+    last = keys.view(U) & U((1 << MAP_BITS) - 1)
+    return (bits[last >> U(6)] >> (last & U(63)) & U(1)).astype(bool)
 
 
 def _join_tasks(dealt: DataFrame, sets: DataFrame, levels, num: int, den: int) -> DataFrame:
@@ -442,8 +436,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10
     without regard to ids, ``uid`` the row, and ``tkey`` the hash of its text.
     """
     spark = docs.sparkSession
-    every = keyed(docs, id_col, text_col)
-    levels = spark.sparkContext.broadcast(frequency_levels(every, words))
+    rows = keyed(docs, id_col, text_col)
+    levels = spark.sparkContext.broadcast(frequency_levels(rows, words))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -467,8 +461,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10
                     ["id", "tkey", "n", "d1", "d2", "counts", "prefix"],
                 )
 
-    schema = T.StructType([every.schema["id"], *T._parse_datatype_string("tkey bigint, n bigint, d1 bigint, d2 bigint, counts binary, prefix array<bigint>").fields])
-    described = every.select("id", "text", "tkey").mapInArrow(describe, schema).withColumn("uid", F.monotonically_increasing_id())
+    schema = T.StructType([rows.schema["id"], *T._parse_datatype_string("tkey bigint, n bigint, d1 bigint, d2 bigint, counts binary, prefix array<bigint>").fields])
+    described = rows.select("id", "text", "tkey").mapInArrow(describe, schema).withColumn("uid", F.monotonically_increasing_id())
     described = written(described, "sets")
 
     classes = described.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("uid").alias("node"), F.count("*").alias("class_size"))
@@ -481,22 +475,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10
 
     repeated = not described.groupBy("id", "tkey").count().filter("count > 1").isEmpty()
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, data, offsets in text_chunks(batch.column(1)):
-                sets = _sets(data, offsets, words, levels.value)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([_packed(s) for s in sets], pa.binary())], ["node", "keys"])
-
     def whole_sets(tasks: DataFrame) -> DataFrame:
-        """The whole sets of the classes that stand in a task."""
-        wanted = tasks.select(F.col("node").alias("uid")).distinct().join(described.select("uid", F.col("id").alias("own"), F.col("tkey").alias("own_key")), "uid")
-        wanted = written(wanted, "wanted")
-        bits = spark.sparkContext.broadcast(_key_map(wanted.select(F.col("own_key").alias("tkey"))))
-        rows = _in_map(every, bits)
-        met = rows.join(wanted, (rows["tkey"] == F.col("own_key")) & rows["id"].eqNullSafe(F.col("own"))).select("uid", "text")
-        if repeated:
-            met = met.dropDuplicates(["uid"])
-        return written(met.mapInArrow(whole, "node bigint, keys binary"), "keys")
+        """The whole sets of the classes that stand in a task: texts are read again, and only sets of wanted rows are made and shuffled."""
+        wanted = written(tasks.select(F.col("node").alias("uid")).distinct().join(described.select("uid", "id", "tkey"), "uid"), "wanted")
+        bits = spark.sparkContext.broadcast(_row_map(wanted))
+
+        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                batch = batch.filter(pa.array(_mapped(batch.column(3).to_numpy(), bits.value)))
+                for lo, hi, data, offsets in text_chunks(batch.column(1)):
+                    sets = _sets(data, offsets, words, levels.value)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array([_packed(s) for s in sets], pa.binary())], ["own", "own_key", "keys"])
+
+        schema = T.StructType([T.StructField("own", rows.schema["id"].dataType), *T._parse_datatype_string("own_key bigint, keys binary").fields])
+        made = rows.select("id", "text", "tkey", F.xxhash64("id", "tkey").alias("row")).mapInArrow(whole, schema)
+        met = made.join(wanted, (F.col("own_key") == F.col("tkey")) & F.col("own").eqNullSafe(F.col("id"))).select(F.col("uid").alias("node"), "keys")
+        return written(met.dropDuplicates(["node"]) if repeated else met, "keys")
 
     def linked(members: DataFrame, pairs: bool) -> DataFrame:
         """(node, root) of the links between members; only sets that can be similar by their counts are made whole and dealt."""

@@ -139,9 +139,12 @@ def fit_quality(texts: pa.Array, y: np.ndarray, share: float) -> QualityModel:
 
 def score_quality(
     docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", per_label: int = labelled.SAMPLE_PER_LABEL,
-    key_col: str | None = None,
+    key_col: str | None = None, beside: str | None = None,
 ) -> DataFrame:
-    """One row per input row: id (or ``key_col``), score, lines, bad_lines (marginal below one half)."""
+    """One row per input row: id (or ``key_col``), score, lines, bad_lines (marginal below one half).
+
+    With ``beside``: the whole row, and the other three as a struct of that name.
+    """
     model = docs.sparkSession.sparkContext.broadcast(fit_quality(*labelled.sample(docs, labels, label, learn, id_col, text_col, per_label)))
 
     def score(data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
@@ -153,4 +156,4 @@ def score_quality(
         p = held.field.marginals(lines.features(held.edges), lines.chains)
         return [pa.array(held.scores(lines, p, n)), count, pa.array(np.bincount(lines.doc, p < 0.5, n).astype(np.int64))]
 
-    return labelled.score_documents(docs, score, "score double, lines bigint, bad_lines bigint", key_col or id_col, text_col)
+    return labelled.score_documents(docs, score, "score double, lines bigint, bad_lines bigint", key_col or id_col, text_col, beside)

